@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.packing import pack
+from lodestone.llm.simhash import near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public vocabulary lies on this machine; the same on every executor."""
     import public_tokenizers
@@ -31,6 +36,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
