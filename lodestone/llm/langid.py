@@ -278,3 +278,23 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, *, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", steps: int = STEPS) -> DataFrame:
+    """The rows of ``docs`` whose language is told, with all their columns.
+
+    Rejected are texts that are ``und`` and texts whose best language has a mean probability below
+    ``min_score``. Rows are filtered where they are; none moves.
+    """
+    model = train(sample(docs, id_col, text_col, lang_col), steps=steps)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(sent.value) if sent.value else None
+        for batch in batches:
+            if reader:
+                found = reader.predict(batch.column(at).to_pylist())
+                yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.langid import identify
 from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.mixing import LEVELS, mix
 from lodestone.llm.packing import pack
 from lodestone.llm.secrets import scan_secrets
+from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import near_dedup
+from lodestone.llm.token_counts import token_counts
 from lodestone.llm.topk import top_k
 
+#: Bytes of text in a shard of op7: small, so that small tables are split too.
+SHARD_LIMIT = 1 << 20
+#: What op8 and the pipeline mix to: targets of languages; domains and sources are alike.
+MIX = {"weights": {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}, "budget_share": 0.8, "max_epochs": 4, "seed": 1}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +36,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"), limit=SHARD_LIMIT)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), **MIX)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -54,12 +79,59 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_source_mixing": op8_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+def _mix_sql() -> str:
+    """SQL of :func:`mix` at the parameters of MIX: a level after the other, then the seeded prefixes."""
+    steps, above, parent = [], "b0", []
+    for depth, level in enumerate(LEVELS):
+        given = MIX["weights"].get(level, {})
+        weight = f"CASE {level} " + " ".join(f"WHEN '{v}' THEN {w}" for v, w in given.items()) + " ELSE 1 END" if given else "1"
+        keys = ", ".join([*parent, level])
+        family = "PARTITION BY " + ", ".join(parent) if parent else ""
+        join = f"JOIN {above} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above}"
+        n = depth + 1
+        steps.append(f"""n{n} AS (
+  SELECT x.*, budget, CAST(cap AS DOUBLE) / weight AS ratio
+  FROM (SELECT {keys}, CAST(sum(tokens) AS BIGINT) * {MIX['max_epochs']} AS cap, {weight} AS weight FROM leaves GROUP BY {keys}) x {join}),
+o{n} AS (
+  SELECT *, ratio <= (budget - coalesce(sum(cap) OVER ({family} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER ({family} ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS isfull
+  FROM n{n}),
+w{n} AS (
+  SELECT *, (budget - coalesce(sum(CASE WHEN isfull THEN cap END) OVER ({family}), 0))
+    / sum(CASE WHEN NOT isfull THEN weight END) OVER ({family}) AS worth
+  FROM o{n}),
+b{n} AS (SELECT {keys}, CASE WHEN isfull THEN CAST(cap AS DOUBLE) ELSE worth * weight END AS budget FROM w{n})""")
+        above, parent = f"b{n}", [*parent, level]
+    keys = ", ".join(LEVELS)
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         'domain' || CAST(ascii(right(coalesce(source, ''), 1)) % 4 AS VARCHAR) AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaves AS (SELECT {keys}, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY {keys}),
+b0 AS (SELECT floor(CAST(sum(tokens) AS DOUBLE) * {MIX['budget_share']}) AS budget FROM leaves),
+{", ".join(steps)},
+g AS (
+  SELECT {keys}, tokens, CAST(floor(coalesce(budget, 0) + 1e-6) AS BIGINT) AS budget FROM leaves LEFT JOIN b{len(LEVELS)} USING ({keys})),
+e AS (SELECT {keys}, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epoch, tokens, budget FROM g),
+k AS (
+  SELECT d.*, epoch, budget - epoch * tokens AS rest, md5('{MIX['seed']}:' || CAST(epoch AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS key
+  FROM d JOIN e USING ({keys})),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY key, doc_id) AS upto FROM k)
+SELECT doc_id, {keys}, n_tokens, CAST(epoch + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
 WITH d AS (
@@ -100,4 +172,17 @@ s AS (
   WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_sharding": f"""
+WITH d AS (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+         CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes
+  FROM documents),
+l AS (SELECT d.*, CAST(t.depth AS INTEGER) AS depth, h >> (60 - t.depth) AS prefix FROM d, range(0, 61) t(depth)),
+n AS (
+  SELECT depth, prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS n FROM l GROUP BY depth, prefix
+  HAVING sum(bytes) <= {SHARD_LIMIT} OR min(h) = max(h)),
+r AS (SELECT l.*, n.shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY l.depth) AS k FROM l JOIN n USING (depth, prefix))
+SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END || ':0' AS shard, depth, shard_bytes
+FROM r WHERE k = 1""",
+    "op8_source_mixing": _mix_sql(),
 }

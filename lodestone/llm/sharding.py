@@ -11,7 +11,7 @@ from lodestone.plans.scratch import materialize
 BITS = 60
 #: Bits by which a round looks deeper into oversized buckets.
 STEP = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 256 << 20
 
 
 def hash_bits(key: Column) -> Column:

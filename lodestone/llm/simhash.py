@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from lodestone.operators.graph import connected_components
 from lodestone.plans.scratch import materialize
 
@@ -188,11 +190,37 @@ def near_dedup(docs: DataFrame, *, distance: int = DISTANCE, id_col: str = "doc_
     many share is compared in pieces by several tasks.
     """
     made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    out = made.join(components(made, distance), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def components(made: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint of (doc_id, fp)."""
     unique = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
     found = materialize(links(unique.select("fp"), unique.count(), distance).distinct(), "links")
     root = connected_components(found)
     nodes = unique.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    out = made.join(component, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, *, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns."""
+    made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    found = made.join(components(made, distance), "fp")
+    odd = made.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
+        return docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi")
+    # ids that repeat or are null do not name a row: carry the fingerprint with the rows
+    at, schema = docs.columns.index(text_col), docs.withColumn("_fp", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [fingerprint((x.as_py() or "").encode()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
+
+    group = found.groupBy("fp").agg(F.first("component_id").alias("_component")).withColumnRenamed("fp", "_key")
+    rows = docs.mapInArrow(run, schema).join(group, F.col("_fp") == F.col("_key"))
+    first = Window.partitionBy(F.coalesce(F.col("_component").cast("string"), F.col("_fp").cast("string"))).orderBy(F.col(id_col).asc_nulls_last(), "_fp")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)

@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tokens import _words
-
 # Fixed value: the vocabulary's mark for the start of a word.
 START = "▁"
 #: Pre-tokens that a worker remembers.
@@ -56,7 +54,7 @@ class TrieCounter:
                 shared += 1
             del score[shared + 1 :], tokens[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best, number = score[end - 1] + self.unknown, tokens[end - 1] + len(word[end - 1].encode(errors="surrogatepass"))
+                best, number = score[end - 1] + self.unknown, tokens[end - 1] + len(word[end - 1].encode())
                 for start in range(max(0, end - longest), end):
                     p = get(word[start:end])
                     if p is not None:
@@ -86,12 +84,13 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id
         for batch in batches:
             if len(known) > REMEMBERED:
                 known.clear()
-            texts = [_words(x.as_py()) for x in batch.column(1)]
-            fresh = {w for words in texts for w in words if w not in known}
-            known.update((w[1:], n) for w, n in counter.counts(START + w for w in fresh).items())
+            texts = [x.as_buffer().to_pybytes().split() for x in batch.column(1)]
+            fresh = set().union(*texts).difference(known)
+            found = counter.counts({w: START + w.decode(errors="replace") for w in fresh}.values())
+            known.update((w, found[START + w.decode(errors="replace")]) for w in fresh)
             n_words = pa.array([len(words) for words in texts], pa.int64())
             n_tokens = pa.array([sum(map(known.__getitem__, words)) for words in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_words, n_tokens], ["doc_id", "n_words", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
