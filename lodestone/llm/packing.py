@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
         for batch in batches:
             row, number, start, length, crc, rank = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                packed = bpe.packed(text.as_py()) + b"\0\0\0\0"
+                packed = bpe.packed(text.as_buffer().to_pybytes()) + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
                     n = len(part) // 4
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
             numbers = [pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([block] * len(row), pa.int32()), pa.array(rank, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *numbers], ["doc_id", "piece", "start", "length", "ids_crc32", "block", "rank"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, rank long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import regex
 
 #: Words that a worker remembers, at about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 # How the vocabulary's own pre-tokenizer cuts a lower-cased word.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Visible ASCII and Latin-1: normal form C and lower-casing act on each such character alone.
@@ -35,7 +35,7 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self)
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
@@ -48,35 +48,38 @@ class WordBpe:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            shown = "".join([self.letters[b] for b in piece.encode()])
+            shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
             found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         return found
 
-    def _word(self, word: str) -> bytes:
+    def word(self, data: bytes) -> bytes:
+        """Packed ids of one word in UTF-8."""
+        word = data.decode(errors="replace")
+        if word.isascii():  # nearly all words: letters, and perhaps a stop or comma
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self._piece(word[:-1].lower()) + self._piece(word[-1])
         if PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join([self._piece(p) for p in PIECES.findall(word.lower())])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
-    def packed(self, text: str) -> bytes:
-        """Four bytes per id."""
+    def packed(self, text: bytes) -> bytes:
+        """Four bytes per id of a text in UTF-8 (split() of bytes splits at ASCII white space only)."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        known, out = self.words, []
-        for word in _words(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_WHITE_TABLE = {c: " " for c in range(9, 14)}
+class _Words(dict):
+    """Packed ids by word; a word that is not there yet is looked up."""
 
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
 
-def _words(text: str) -> list[str]:
-    """Split at ASCII white space only (str.split() would also split elsewhere)."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_WHITE_TABLE).split(" ") if w]
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.bpe.word(word)
+        return found
