@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lodestone.functions.text import tokenize
 from lodestone.functions.vector import inner_product, span_scaled
@@ -85,7 +85,8 @@ def dense_scores(vectors: DataFrame, questions: DataFrame) -> DataFrame:
 
 # --- fusion, boosts, cutoffs -----------------------------------------------------------------
 
-_Q = Window.partitionBy("question_id")
+def _q() -> WindowSpec:
+    return Window.partitionBy("question_id")
 
 
 def channels(candidates: DataFrame, bm25: DataFrame) -> DataFrame:
@@ -95,13 +96,13 @@ def channels(candidates: DataFrame, bm25: DataFrame) -> DataFrame:
 
 def fuse_weighted(scored: DataFrame, dense_weight: float = DENSE_WEIGHT) -> DataFrame:
     """``fused``: both channels min-max scaled over the question's candidates, then weighted."""
-    part = lambda c: span_scaled(F.col(c), F.min(c).over(_Q), F.max(c).over(_Q))
+    part = lambda c: span_scaled(F.col(c), F.min(c).over(_q()), F.max(c).over(_q()))
     return scored.withColumn("fused", F.round((1 - dense_weight) * part("bm25") + dense_weight * part("dense"), 6))
 
 
 def fuse_rrf(scored: DataFrame, k: int = RRF_K) -> DataFrame:
     """``fused``: the sum of reciprocal ranks of both channels."""
-    rank = lambda c: F.row_number().over(_Q.orderBy(F.desc(c), "id"))
+    rank = lambda c: F.row_number().over(_q().orderBy(F.desc(c), "id"))
     return scored.withColumn("fused", F.round(1 / (k + rank("bm25")) + 1 / (k + rank("dense")), 6))
 
 
@@ -115,7 +116,7 @@ def fuse(scored: DataFrame, mode: str) -> DataFrame:
 
 def boost(scored: DataFrame, member: Column, share: float) -> DataFrame:
     """Members gain ``share`` of the question's present range of scores."""
-    low, high = F.min("fused").over(_Q), F.max("fused").over(_Q)
+    low, high = F.min("fused").over(_q()), F.max("fused").over(_q())
     span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
     return scored.withColumn("fused", F.round(F.col("fused") + F.when(F.coalesce(member, F.lit(False)), share * span).otherwise(F.lit(0.0)), 6))
 
@@ -130,15 +131,15 @@ def route(candidates: DataFrame, present: DataFrame, family: str = "family", rou
 
 def cutoff(ranked: DataFrame, share: float = 0.55, least: int = 3) -> DataFrame:
     """Rows of at least ``share`` of the first score if ``least`` of them are; else the first ``least``."""
-    order = _Q.orderBy("rank")
+    order = _q().orderBy("rank")
     bar = F.first("fused").over(order) * share
-    strong = ranked.withColumn("_bar", bar).withColumn("_n", F.count_if(F.col("fused") >= F.col("_bar")).over(_Q))
+    strong = ranked.withColumn("_bar", bar).withColumn("_n", F.count_if(F.col("fused") >= F.col("_bar")).over(_q()))
     return strong.where(F.when(F.col("_n") >= least, F.col("fused") >= F.col("_bar")).otherwise(F.col("rank") <= least)).drop("_bar", "_n")
 
 
 def context_budget(ranked: DataFrame, size: Column, budget: int) -> DataFrame:
     """The first rows whose sizes together fit; the first always stays."""
-    upto = F.sum(size).over(_Q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(size).over(_q().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("used", upto).where((F.col("used") <= budget) | (F.col("rank") == 1))
 
 
@@ -150,7 +151,7 @@ def mix_floor(scored: DataFrame, k: int, floor: int = 2, rel_floor: float = 0.55
     least ``rel_floor`` of the best score.
     """
     order = [F.desc("fused"), F.desc("bm25"), F.col("id")]
-    seats = scored.withColumn("_all", F.row_number().over(_Q.orderBy(*order)))
+    seats = scored.withColumn("_all", F.row_number().over(_q().orderBy(*order)))
     seats = seats.withColumn("_own", F.row_number().over(Window.partitionBy("question_id", "is_workflow").orderBy(*order)))
     seats = seats.where((F.col("_all") <= k) | (F.col("_own") <= k)).drop("_own")
     cap = max(1, k // 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.queries import retrieval
+from lodestone.queries import chunking, retrieval
 from lodestone.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "retrieval"]
