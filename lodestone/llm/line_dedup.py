@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cuckoo import CuckooFilter
-from lodestone.llm.text import WHITE
+from lodestone.llm.text import WHITE, parts
 from lodestone.plans.scratch import materialize
 
 MIN_CHARS = 40
@@ -46,7 +46,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows, keys = [], []
             for k, text in enumerate(batch.column(1)):
                 found = set(keys_of(text.as_py().split("\n"), min_chars)[1])
@@ -147,7 +147,7 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, *, min_chars: int = MIN_CHA
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gate = sent.value
-            for batch in batches:
+            for batch in parts(batches, 1):
                 ids = batch.column(0).to_pylist()
 
                 def gone(keys: list[bytes], owner: list[int], ids=ids) -> Iterator[int]:
@@ -165,7 +165,7 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, *, min_chars: int = MIN_CHA
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone.hi", "gone.lo")
 
     def run_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             named = [set(zip(hi or (), lo or (), strict=True)) for hi, lo in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
 
             def gone(keys: list[bytes], owner: list[int], named=named) -> Iterator[int]:

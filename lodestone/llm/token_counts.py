@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.text import parts
+
 # Fixed value: the vocabulary's mark for the start of a word.
 START = "▁"
 #: Pre-tokens that a worker remembers.
@@ -81,7 +83,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, known = TrieCounter(load_unigrams(vocabulary_path)), {}
-        for batch in batches:
+        for batch in parts(batches, 1):
             if len(known) > REMEMBERED:
                 known.clear()
             texts = [x.as_buffer().to_pybytes().split() for x in batch.column(1)]
