@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.queries import chunking, graphs, retrieval, validation
+from lodestone.queries import chunking, geometry, graphs, retrieval, validation
 from lodestone.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "graphs", "retrieval", "validation"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "geometry", "graphs", "retrieval", "validation"]
