@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.text import parts
+
 #: The training sample: documents a language at most, each of so many characters at most, of the most frequent languages.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -231,9 +233,12 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    fit = named.join(F.broadcast(frequent), "lang", "left_semi").where(F.length("text").between(1, SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    rows = fit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    named = named.join(F.broadcast(frequent), "lang", "left_semi").where(F.length("text").between(1, SAMPLE_CHARS))
+    first = lambda *ties: Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", *ties)
+    chosen = named.select("lang", "id").withColumn("n", F.row_number().over(first())).where(F.col("n") <= SAMPLE_DOCS)
+    # at most SAMPLE_DOCS * LANGUAGES ids pick their texts; ids that repeat are cut to the bound once more
+    rows = named.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"], "left_semi")
+    rows = rows.withColumn("n", F.row_number().over(first("text"))).where(F.col("n") <= SAMPLE_DOCS)
     return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
@@ -270,7 +275,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         reader = readers.setdefault(id(model), Reader(model)) if model else None
-        for batch in batches:
+        for batch in parts(batches, 2):
             texts = batch.column(2).to_pylist()
             found = reader.predict(texts) if reader else [(UNKNOWN, 0.0)] * len(texts)
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
@@ -292,7 +297,7 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.3, id_col: str = "d
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value) if sent.value else None
-        for batch in batches:
+        for batch in parts(batches, at):
             if reader:
                 found = reader.predict(batch.column(at).to_pylist())
                 yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
