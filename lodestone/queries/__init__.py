@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.queries import chunking, evaluation, geometry, graphs, retrieval, validation
+from lodestone.queries import chunking, evaluation, geometry, graphs, retrieval, streams, validation
 from lodestone.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "evaluation", "geometry", "graphs", "retrieval", "validation"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "evaluation", "geometry", "graphs", "retrieval", "streams", "validation"]
