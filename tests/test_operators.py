@@ -284,3 +284,36 @@ def test_page_fallback(spark):
         return "read by eye"
 
     assert rows(with_fallback(p, read), "page_id", "source", "ocr_error") == [(1, "native_text", None), (2, "ocr_fallback", None), (3, "ocr_failed", "no text layer")]
+
+
+# --- whole diagrams --------------------------------------------------------------------------
+
+
+def test_tiles_and_shared_lanes(spark):
+    from lodestone.operators import diagrams as D
+
+    n = spark.createDataFrame([(1, "t1", "Main", "a", "COO Approval", "approver", 1), (1, "t1", "Main", "b", "Start", "step", 0), (1, "t2", "main", "x", "COO approval", "approver", 2), (1, "t2", "main", "y", "Sta", "step", 3)], "page int, tile string, lane string, id string, label string, kind string, pos int")
+    e = spark.createDataFrame([(1, "t1", "Main", "b", "a", None, 0), (1, "t2", "main", "b", "x", "over 3M", 1)], "page int, tile string, lane string, src string, dst string, condition string, pos int")
+    nodes, edges = D.merge_tiles(n, e)
+    assert rows(nodes, "id") == [("coo_approval",), ("start",)]
+    assert rows(edges, "src", "dst", "condition") == [("b", "coo_approval", "over 3M"), ("start", "coo_approval", None)]
+    n = spark.createDataFrame([(1, "steel", "s", 0), (1, "wood", "w", 1), (1, "page", "coo", 2), (1, "page", "vp", 3)], "page int, lane string, id string, pos int")
+    e = spark.createDataFrame([(1, "steel", "s", "coo", 0), (1, "wood", "w", "coo", 1), (1, "page", "coo", "vp", 2)], "page int, lane string, src string, dst string, pos int")
+    assert rows(D.shared_lanes(n, e), "lane", "id") == [("steel", "coo"), ("steel", "s"), ("steel", "vp"), ("wood", "coo"), ("wood", "vp"), ("wood", "w")]
+
+
+def test_fragments(spark):
+    from lodestone.operators import diagrams as D
+
+    c = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 0.0, "Below"), (1, 2, 10.2, 0.1, 10.0, 50.0, None), (1, 3, 80.0, 50.0, 10.0, 50.0, "500k"), (1, 4, 500.0, 0.0, 510.0, 0.0, None)], "page long, conn long, ax double, ay double, bx double, by double, label string")
+    assert rows(D.merge_fragments(c), "ax", "ay", "bx", "by", "label", "n") == [(0.0, 0.0, 80.0, 50.0, "Below 500k", 3), (500.0, 0.0, 510.0, 0.0, "", 1)]
+    assert D.chain([(1, "a", "b"), (2, "b", "c"), (3, "b", "d")]) is None and D.chain([(1, "a", "b"), (2, "b", "a")]) is None
+
+
+def test_stated_routes():
+    from lodestone.operators.diagrams import label_hits, stated_routes
+
+    labels = ["PM", "PM Review", "Finance", "COO"]
+    assert label_hits("the PM review, then PM", labels) == ["PM Review", "PM"]
+    said = "The flow begins with PM.\n1. Finance\n - over 3M goes to COO\n2. PM Review\nReturns and loops\nCOO"
+    assert stated_routes(said, labels) == {("PM", "Finance"), ("Finance", "COO"), ("Finance", "PM Review")}
