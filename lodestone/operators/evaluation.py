@@ -50,3 +50,24 @@ def coverage(gold: DataFrame, implied: DataFrame, key: list[str]) -> DataFrame:
     g, i = gold.select(*key).distinct().withColumn("g", F.lit(1)), implied.select(*key).distinct().withColumn("i", F.lit(1))
     both = g.join(i, key, "full")
     return both.groupBy(key[0]).agg(F.count("g").alias("gold"), F.count_if(F.col("g").isNotNull() & F.col("i").isNotNull()).alias("covered"), F.count_if(F.col("i").isNull()).alias("missing"), F.count_if(F.col("g").isNull()).alias("asserted"))
+
+
+def hit_flips(before: DataFrame, after: DataFrame, hit: str) -> DataFrame:
+    """(question_id, change): questions that one setting answers and the other does not."""
+    both = before.select("question_id", F.col(hit).alias("_b")).join(after.select("question_id", F.col(hit).alias("_a")), "question_id")
+    return both.where("_a <> _b").select("question_id", F.when(F.col("_a"), "gained").otherwise("lost").alias("change"))
+
+
+def split_tail(text: Column, heading: str) -> Column:
+    """struct(head, tail): a text cut before the first line that is ``heading``; the tail keeps it."""
+    at = F.regexp_instr(text, F.lit(rf"(?m)^{heading}"))
+    head = F.when(at > 0, F.left(text, at - 1)).otherwise(text)
+    return F.struct(head.alias("head"), F.when(at > 0, F.substring(text, at, F.char_length(text))).otherwise(F.lit("")).alias("tail"))
+
+
+def splice_gate(rows: DataFrame, rebuilt: Column, stored: Column) -> DataFrame:
+    """``rows``, if every rebuilt text equals the stored one; else an error before anything is written."""
+    wrong = rows.where(~rebuilt.eqNullSafe(stored)).limit(1_000).count()
+    if wrong:
+        raise ValueError(f"{wrong} or more rebuilt texts differ from what is stored")
+    return rows

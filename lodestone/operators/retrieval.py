@@ -73,6 +73,19 @@ def best(scored: DataFrame, score: str, k: int, *ties: Column | str) -> DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def global_rank(rows: DataFrame, score: str, buckets: int = 10_000) -> DataFrame:
+    """``rows`` with ``rank``, 1 for the highest score; scores are from -1 to 1.
+
+    A rank is the number of rows in higher buckets and the rank in the own bucket, so that no task
+    puts all rows in order.
+    """
+    keyed = rows.withColumn("_b", F.floor(F.col(score) * buckets).cast("long"))
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    base = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))
+    own = F.rank().over(Window.partitionBy("_b").orderBy(F.desc(score)))
+    return keyed.join(base, "_b").withColumn("rank", (F.col("_base") + own).cast("int")).drop("_b", "_base")
+
+
 def dense_scores(vectors: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, id, dense) of every question (question_id, vector) with every row (id, vector).
 

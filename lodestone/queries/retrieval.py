@@ -187,14 +187,13 @@ m AS (SELECT id, round(avg(dense), 6) AS mean FROM ch GROUP BY id)
 SELECT id, mean, CAST(rank() OVER (ORDER BY mean DESC) AS INTEGER) AS rank,
        round((mean - (SELECT avg(mean) FROM m)) / (SELECT stddev_pop(mean) FROM m), 4) AS z FROM m""")
 def hubness_zscore(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     vec = vectors(spark, sf_dir)
     held = vec.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     q = questions(spark, sf_dir).join(vec.withColumnRenamed("id", "question_id"), "question_id")
     mean = R.dense_scores(held, q.select("question_id", "vector")).groupBy("id").agg(F.round(F.avg("dense"), 6).alias("mean"))
     all_ = mean.agg(F.avg("mean").alias("mu"), F.stddev_pop("mean").alias("sigma"))
-    return mean.crossJoin(F.broadcast(all_)).select("id", "mean", F.rank().over(Window.orderBy(F.desc("mean"))).alias("rank"), F.round((F.col("mean") - F.col("mu")) / F.col("sigma"), 4).alias("z"))
+    out = R.global_rank(mean, "mean").crossJoin(F.broadcast(all_))  # one row
+    return out.select("id", "mean", "rank", F.round((F.col("mean") - F.col("mu")) / F.col("sigma"), 4).alias("z"))
 
 
 @query("""SELECT doc_id, source || ' | ' || lang || chr(10) || text AS embed_text, sha256(source || ' | ' || lang || chr(10) || text) AS fingerprint FROM documents""")

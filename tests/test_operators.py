@@ -317,3 +317,22 @@ def test_stated_routes():
     assert label_hits("the PM review, then PM", labels) == ["PM Review", "PM"]
     said = "The flow begins with PM.\n1. Finance\n - over 3M goes to COO\n2. PM Review\nReturns and loops\nCOO"
     assert stated_routes(said, labels) == {("PM", "Finance"), ("Finance", "COO"), ("Finance", "PM Review")}
+
+
+def test_saved_pages_and_gates(spark):
+    from lodestone.operators import diagrams as D
+    from lodestone.operators import evaluation as E
+
+    lane = "struct<name: string, nodes: array<struct<id: string, label: string, kind: string>>, edges: array<struct<`from`: string, `to`: string, condition: string>>>"
+    pages = spark.createDataFrame([("f.pdf", 2, (([("Main", [("a", "Start", "step"), ("b", "PM", "approver")], [("a", "b", "over 3M")])],)))], f"filename string, page int, graph struct<lanes: array<{lane}>>")
+    r = D.lane_chunks(pages).first()
+    assert (r.filename, r.page, r.section) == ("f.pdf", 2, "Main") and "  - Start -> PM [over 3M]" in r.text
+    t = spark.createDataFrame([("head\nApproval thresholds:\n - x",), ("none",)], "t string")
+    cut = t.withColumn("p", E.split_tail(F.col("t"), "Approval thresholds"))
+    assert [tuple(r.p) for r in cut.collect()] == [("head\n", "Approval thresholds:\n - x"), ("none", "")]
+    assert E.splice_gate(cut, F.concat("p.head", "p.tail"), F.col("t")).count() == 2
+    with pytest.raises(ValueError, match="differ"):
+        E.splice_gate(cut, F.col("p.head"), F.col("t"))
+    a = spark.createDataFrame([(1, True), (2, False), (3, True)], "question_id int, hit boolean")
+    b = spark.createDataFrame([(1, False), (2, True), (3, True)], "question_id int, hit boolean")
+    assert rows(E.hit_flips(a, b, "hit")) == [(1, "lost"), (2, "gained")]
