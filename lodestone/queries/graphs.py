@@ -141,6 +141,11 @@ def render_prose(spark, sf_dir):
     return G.render_prose(*both(spark, sf_dir))
 
 
+@query()
+def workflow_narrative(spark, sf_dir):
+    return G.narrative(*both(spark, sf_dir))
+
+
 @query()
 def lane_assignment(spark, sf_dir):
     return G.lanes(*both(spark, sf_dir))

@@ -165,6 +165,12 @@ def test_sequence_stops_at_forks():
     assert G.sequence_of(["a", "b"], [("a", "b", None), ("b", "a", None)]) == ([], False)
 
 
+def test_narrative():
+    text = G.narrative_of({"a": "Start", "b": "PM", "c": "COO", "d": "End"}, [("a", "b", None), ("b", "c", None), ("c", "b", "rejected"), ("c", "d", None)])
+    assert text.split("\n") == ["The workflow begins with Start.", "1. The process moves to PM.", "2. The process moves to COO.", "   - If rejected, it returns to PM.", "   - If approved, it moves to End.", "3. The workflow ends once closed by COO."]
+    assert G.narrative_of({"a": "A"}, []) is None
+
+
 def test_contraction_keeps_thresholds(spark):
     n, e = graph(spark, [("a", "A", "step"), ("j1", "", "junction"), ("j2", "", "junction"), ("b", "B", "step")], [("a", "j1", None), ("j1", "j2", "Below 500k SAR"), ("j2", "b", None)])
     assert rows(G.contract_junctions(n, e), "src", "dst", "condition", "head_margin") == [("a", "b", "Below 500k SAR", 2.0)]
