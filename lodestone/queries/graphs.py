@@ -109,7 +109,7 @@ def edge_set_diff(spark, sf_dir):
     return tag("loss", a.subtract(b)).unionByName(tag("gain", b.subtract(a))).unionByName(tag("kept", a.intersect(b)))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT e.graph, e.src, trim(condition) AS condition, label AS approver FROM e JOIN n ON n.graph = e.graph AND n.id = e.dst WHERE regexp_matches(coalesce(condition, ''), '(?i)\\b\\d[\\d,\\.]*\\s*(?:K|M|EGP|LE)\\b')".replace("e.src, ", ""))
+@query(f"WITH {GRAPH_SQL} SELECT e.graph, trim(condition) AS condition, label AS approver FROM e JOIN n ON n.graph = e.graph AND n.id = e.dst WHERE regexp_matches(coalesce(condition, ''), '(?i)\\b\\d[\\d,\\.]*\\s*(?:K|M|EGP|LE)\\b')")
 def escalation_thresholds(spark, sf_dir):
     return G.escalation(*both(spark, sf_dir))
 
