@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.text import no_white
+from lodestone.llm.text import fresh, no_white
 from lodestone.plans.scratch import materialize
 
 #: Counters of the frequent-item summary of a partition, and winners that may be broadcast (about 100 bytes each).
@@ -77,13 +77,13 @@ def _one_of_repeats(out: DataFrame, rows: DataFrame) -> DataFrame:
 def keep_unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    key, held, digest, place = fresh(docs.columns, "_id", "_digest", "_digest_of_text", "_n")
+    kept = found.where("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(held))
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    if repeated:  # an id stands for several rows: hold each against its text, then drop repeats
-        name = "_digest_of_text"
-        out = docs.withColumn(name, F.unhex(F.sha2(no_white(F.col(text_col)), 256)))
-        out = out.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_digest")), "left_semi")
-        pick = Window.partitionBy(name).orderBy(F.desc(F.char_length(text_col)), F.col(id_col))
-        out = out.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n", name)
-    return out
+    if not repeated:
+        return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    # an id stands for several rows: hold each against its text, then drop repeats
+    out = docs.withColumn(digest, F.unhex(F.sha2(no_white(F.col(text_col)), 256)))
+    out = out.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(held)), "left_semi")
+    pick = Window.partitionBy(digest).orderBy(F.desc(F.char_length(text_col)), F.col(id_col))
+    return out.withColumn(place, F.row_number().over(pick)).where(F.col(place) == 1).select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
+from lodestone.llm.text import fresh
 from lodestone.operators.graph import connected_components
 from lodestone.plans.scratch import materialize
 
@@ -21,8 +23,8 @@ SEED = 42
 DISTANCE = 4
 #: A cell with more members than this is compared in pieces of half as many.
 CELL = 512
-#: The grid gets finer until a fingerprint is expected to meet no more random others than this.
-MEETINGS = 256
+#: What a row of the grid costs, counted in comparisons of two fingerprints.
+ROW_COST = 100
 
 
 def fingerprint(text: bytes) -> int:
@@ -93,13 +95,17 @@ def grid(blocks: int, distance: int = DISTANCE) -> list[int]:
 
 
 def blocks_for(rows: int, distance: int = DISTANCE) -> int:
-    """How many blocks: more as the table grows, so that cells stay small."""
-    for blocks in range(distance + 2, 32):
-        choice = len(grid(blocks, distance))
+    """How many blocks: that with the least cost per fingerprint, in rows of the grid and in comparisons.
+
+    More blocks make more tables with smaller cells; larger inputs need smaller cells.
+    """
+
+    def cost(blocks: int) -> float:
+        tables = comb(blocks, distance)
         # two independent segments have the same count in 3 of 8 cases
-        if choice * rows * 0.375 ** (32 * (blocks - distance) / blocks) / 2 <= MEETINGS:
-            return blocks
-    return 32
+        return tables * (ROW_COST + rows * 0.375 ** (32 * (blocks - distance) / blocks) / 2)
+
+    return min(range(distance + 2, 17), key=cost)
 
 
 # --- cells -----------------------------------------------------------------------------------
@@ -209,18 +215,19 @@ def keep_representatives(docs: DataFrame, *, distance: int = DISTANCE, id_col: s
     made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     found = made.join(components(made, distance), "fp")
     odd = made.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    named, fp, key, group, place = fresh(docs.columns, "_id", "_fp", "_key", "_component", "_n")
     if not odd:
-        kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-        return docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi")
+        kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(named))
+        return docs.join(kept, F.col(id_col) == F.col(named), "left_semi")
     # ids that repeat or are null do not name a row: carry the fingerprint with the rows
-    at, schema = docs.columns.index(text_col), docs.withColumn("_fp", F.lit(0).cast("long")).schema
+    at, schema = docs.columns.index(text_col), docs.withColumn(fp, F.lit(0).cast("long")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint((x.as_py() or "").encode()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
+            found = [fingerprint((x.as_py() or "").encode()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, fp])
 
-    group = found.groupBy("fp").agg(F.first("component_id").alias("_component")).withColumnRenamed("fp", "_key")
-    rows = docs.mapInArrow(run, schema).join(group, F.col("_fp") == F.col("_key"))
-    first = Window.partitionBy(F.coalesce(F.col("_component").cast("string"), F.col("_fp").cast("string"))).orderBy(F.col(id_col).asc_nulls_last(), "_fp")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    by = found.groupBy(F.col("fp").alias(key)).agg(F.first("component_id").alias(group))
+    rows = docs.mapInArrow(run, schema).join(by, F.col(fp) == F.col(key))
+    first = Window.partitionBy(F.coalesce(F.col(group).cast("string"), F.col(fp).cast("string"))).orderBy(F.col(id_col).asc_nulls_last(), fp)
+    return rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)

@@ -41,3 +41,13 @@ def parts(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20)
             end = max(end, at + 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name, with underscores before it until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

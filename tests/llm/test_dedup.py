@@ -42,7 +42,7 @@ def test_exact_dedup(docs, rows, heavy, monkeypatch):
 
 def test_keep_unique_keeps_rows(docs):
     out = exact_dedup.keep_unique(docs(odd_rows()))
-    assert out.columns == ["doc_id", "text", "lang", "source", "kept", "keep_id"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "_id", "_n", "kept", "keep_id"]
     rows = out.collect()
     assert len(rows) == len({plain(t) for _, t, *_ in odd_rows()})
     assert {plain(r.text) for r in rows} == {plain(t) for _, t, *_ in odd_rows()}
