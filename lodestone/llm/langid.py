@@ -232,13 +232,13 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     """(lang, text): SAMPLE_DOCS documents at most of each of LANGUAGES languages at most, none of them held out."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    named = named.join(F.broadcast(frequent), "lang", "left_semi").where(F.length("text").between(1, SAMPLE_CHARS))
-    first = lambda *ties: Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", *ties)
-    chosen = named.select("lang", "id").withColumn("n", F.row_number().over(first())).where(F.col("n") <= SAMPLE_DOCS)
-    # at most SAMPLE_DOCS * LANGUAGES ids pick their texts; ids that repeat are cut to the bound once more
-    rows = named.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"], "left_semi")
-    rows = rows.withColumn("n", F.row_number().over(first("text"))).where(F.col("n") <= SAMPLE_DOCS)
+    fits = F.length("text").between(1, SAMPLE_CHARS)
+    frequent = named.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(fits).alias("fit")).orderBy(F.desc("all"), "lang").limit(LANGUAGES)
+    # a language's rows are thinned by hash to some four times what is wanted before they are put in order
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    rows = named.join(F.broadcast(frequent), "lang").where(fits & (draw * F.col("fit") < 4 * SAMPLE_DOCS))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
     return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
