@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.text import WORD
+from lodestone.llm.text import WORD, fresh
 from lodestone.plans.scratch import materialize
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the seeded order that make a bucket of a leaf: 4096 buckets.
-DIGITS = 3
+#: Hexadecimal digits of the seeded order by which a leaf is cut to buckets (256), and how often the one
+#: bucket where the budget ends is cut again.
+DIGITS = 2
+ROUNDS = 2
 
 
 def domain_of(source: Column) -> Column:
@@ -75,7 +77,8 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, int]], budget_share: fl
     ignored; an empty table gives an empty result. ``weights`` are whole numbers by level and value.
 
     A leaf may hold any share of the rows: its tokens are summed by bucket of the order (combined
-    map-side), and only the one bucket where the sum passes r is put in order.
+    map-side), the bucket where the sum passes r is cut to buckets once more, and only what then is
+    in such a bucket, about one row in 65 536, is put in order.
     """
     empty = F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.regexp_count(F.coalesce(text_col, empty), F.lit(WORD)).cast("long").alias("n_tokens"))
@@ -86,22 +89,28 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, int]], budget_share: fl
     given = given.withColumn("epoch", epochs).select(*LEVELS, "epoch", (F.col("budget") - F.col("epoch") * F.col("tokens")).alias("rest"))
     given = materialize(given, "budgets")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), empty)).cast("binary"))
-    keyed = materialize(rows.join(given, list(LEVELS)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS)), "keyed")
-    bucket = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket = bucket.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bucket = bucket.select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("rest")).alias("whole"), (F.col("before") <= F.col("rest")).alias("begun"))
-    placed = keyed.join(bucket, [*LEVELS, "bucket"])
-    sure = placed.where(F.col("whole") | ~F.col("begun")).withColumn("taken", F.col("whole"))
-    order = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    split = placed.where(~F.col("whole") & F.col("begun")).withColumn("taken", F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest"))
-    out = sure.unionByName(split)
+    live = materialize(rows.join(given, list(LEVELS)).withColumn("key", key).withColumn("before", F.lit(0).cast("long")), "keyed")
+    done: list[DataFrame] = []
+    for number in range(ROUNDS):
+        cut = live.withColumn("bucket", F.substring("key", number * DIGITS + 1, DIGITS))
+        bucket = cut.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("base"))
+        above = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        bucket = bucket.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(above), F.lit(0)))
+        bucket = bucket.select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("rest")).alias("whole"), (F.col("before") <= F.col("rest")).alias("begun"))
+        placed = cut.drop("before").join(bucket, [*LEVELS, "bucket"])
+        done.append(placed.where(F.col("whole") | ~F.col("begun")).withColumn("taken", F.col("whole")).drop("bucket", "begun", "whole"))
+        live = materialize(placed.where(~F.col("whole") & F.col("begun")).drop("bucket", "begun", "whole"), "split")
+    order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = live.withColumn("taken", F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest"))
+    for part in done:
+        out = out.unionByName(part)
     return out.select("doc_id", *LEVELS, "n_tokens", (F.col("epoch") + F.col("taken").cast("long")).alias("repeats"))
 
 
 def apply_mix(docs: DataFrame, chosen: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as ``chosen`` (a result of :func:`mix` over them) repeats it."""
-    keys = chosen.where("repeats > 0").groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(F.max("repeats").alias("_repeats"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.coalesce(lang_col, F.lit("")) == F.col("_lang")) & (F.coalesce(source_col, F.lit("")) == F.col("_source"))
-    joined = docs.join(keys, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+    doc, lang, source, repeats, epoch = fresh(docs.columns, "_id", "_lang", "_source", "_repeats", "_epoch")
+    keys = chosen.where("repeats > 0").groupBy(F.col("doc_id").alias(doc), F.col("lang").alias(lang), F.col("source").alias(source)).agg(F.max("repeats").alias(repeats))
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (F.coalesce(lang_col, F.lit("")) == F.col(lang)) & (F.coalesce(source_col, F.lit("")) == F.col(source))
+    joined = docs.join(keys, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(repeats).cast("int"))))
+    return joined.select(*docs.columns)
