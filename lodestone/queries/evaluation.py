@@ -10,6 +10,7 @@ from lodestone.operators import conversation as S
 from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
 from lodestone.operators.spelling import repair_queries
+from lodestone.plans.scratch import materialize
 from lodestone.queries.registry import query
 from lodestone.queries.retrieval import ASKED, BM25, RANKED, TOP, WEIGHTED, pairs, ranked
 from lodestone.sources.tables import chunks, questions, table
@@ -52,7 +53,7 @@ c AS (SELECT k.*, rel, first_value(fused) OVER (PARTITION BY question_id, rel OR
 n AS (SELECT *, count(*) FILTER (fused >= bar) OVER (PARTITION BY question_id, rel) AS strong FROM c)
 SELECT CAST(rel AS DOUBLE) AS rel, count(*) AS returned, count(DISTINCT question_id) AS questions, count(*) FILTER (is_workflow) AS workflow FROM n WHERE CASE WHEN strong >= 3 THEN fused >= bar ELSE rank <= 3 END GROUP BY rel""")
 def sweep_grid(spark, sf_dir):
-    top = ranked(spark, sf_dir, 6)
+    top = materialize(ranked(spark, sf_dir, 6), "ranked")
     out = None
     for rel in (0.0, 0.55, 0.7):
         one = R.cutoff(top, rel).withColumn("rel", F.lit(rel))
