@@ -63,15 +63,15 @@ def high_windows(text: str, characters: frozenset, window: int, least: float) ->
         if c not in characters:
             counts, start, total = {}, i + 1, 0.0
             continue
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += term[n + 1] - term[n]
         if i - start == window:
             gone = text[start]
             n = counts[gone]
             counts[gone] = n - 1
             total += term[n - 1] - term[n]
             start += 1
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += term[n + 1] - term[n]
         if i - start == window - 1 and whole - total / window >= least - 1e-9:
             if spans and spans[-1][1] >= start:
                 spans[-1] = (spans[-1][0], i + 1)
