@@ -22,10 +22,16 @@ KINDS = ("assign", "access", "hex")
 #: Candidate strings: unbroken runs of key characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: (kind, characters, window in characters, bits a character at least). A window's entropy is at most log2 of
-#: its length; random characters of a class come close to it, words and numbers stay below.
+#: its length; random characters of a class come close to it, words and numbers stay below. The last four are
+#: alphabets in which a key is written whole; their bits are what about 98 of 100 random windows of the least
+#: alphabet reach: lower case and digits, base32, both cases. Letters alone have the same bits as both cases.
 CLASSES = (
     ("entropy_hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0),
     ("entropy_key", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.9),
+    ("entropy_lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.44),
+    ("entropy_upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.4),
+    ("entropy_mixed", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.62),
+    ("entropy_letters", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 20, 3.62),
 )
 #: Strings that are no secrets although they look random.
 ALLOWED = (
@@ -35,6 +41,9 @@ ALLOWED = (
     re.compile(r"(?i).*(example|sample|placeholder|your[_-]|dummy|xxxx|0123456789|abcdefgh).*"),
     re.compile(r"(?i)[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}"),  # a name with a number
 )
+#: Part of a name in camel case: two small letters or more after each capital but the last, or a short word.
+CAMEL = re.compile(r"[a-z]*([A-Z]+[a-z]{2,}|As|At|By|Do|If|In|Is|It|No|Of|On|Or|To|Up)*[A-Z]*[a-z]*")
+FILLER = ALLOWED[3]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -80,15 +89,28 @@ def high_windows(text: str, characters: frozenset, window: int, least: float) ->
     return spans
 
 
+def _is_key(kind: str, span: str) -> bool:
+    """Does a span of this class count, whatever string it is a part of?"""
+    one_case = span.islower() or span.isupper()
+    if kind == "entropy_letters":
+        return one_case or not CAMEL.fullmatch(span)
+    if kind == "entropy_mixed" and one_case:
+        return False  # lower and upper have it, with fewer bits
+    return kind in ("entropy_hex", "entropy_key") or not any(a.fullmatch(span) for a in ALLOWED)
+
+
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) that the entropy method finds."""
     out = []
     for m in CANDIDATE.finditer(text):
         string = m.group()
-        if string.isalpha() or any(a.fullmatch(string) for a in ALLOWED):
+        if FILLER.fullmatch(string):
             continue
+        allowed = string.isalpha() or any(a.fullmatch(string) for a in ALLOWED)
         for kind, characters, window, least in CLASSES:
-            out += [(m.start() + a, m.start() + b, kind) for a, b in high_windows(string, characters, window, least)]
+            if kind == "entropy_letters" or not allowed:
+                spans = high_windows(string, characters, window, least)
+                out += [(m.start() + a, m.start() + b, kind) for a, b in spans if _is_key(kind, string[a:b])]
     return out
 
 
