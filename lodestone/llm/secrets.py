@@ -38,12 +38,14 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # identifiers
     re.compile(r"[0-9_+/=-]+"),  # numbers, dates, rules
     re.compile(r"[A-Za-z_+/=-]+"),  # words and paths without a digit
-    re.compile(r"(?i).*(example|sample|placeholder|your[_-]|dummy|xxxx|0123456789|abcdefgh).*"),
     re.compile(r"(?i)[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}"),  # a name with a number
 )
 #: Part of a name in camel case: two small letters or more after each capital but the last, or a short word.
 CAMEL = re.compile(r"[a-z]*([A-Z]+[a-z]{2,}|As|At|By|Do|If|In|Is|It|No|Of|On|Or|To|Up)*[A-Z]*[a-z]*")
-FILLER = ALLOWED[3]
+#: Marks of samples: what goes is the piece between joining characters that holds one, not a key next to it.
+FILLER = re.compile(r"(?i)example|sample|placeholder|your(?=[_-])|dummy|xxxx|0123456789|abcdefgh")
+#: Characters of a piece on either side of a mark that go with it; in longer pieces marks occur by chance.
+REACH = 40
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -89,6 +91,23 @@ def high_windows(text: str, characters: frozenset, window: int, least: float) ->
     return spans
 
 
+def _without_fillers(run: str) -> str:
+    """The run with blanks for each mark of samples, its piece about it, and the joining character behind that."""
+    kept, end = [], 0
+    for m in FILLER.finditer(run):
+        if m.start() < end:
+            continue
+        start, stop = m.span()
+        while start > max(end, m.start() - REACH) and run[start - 1].isalnum():
+            start -= 1
+        while stop < min(len(run), m.end() + REACH) and run[stop].isalnum():
+            stop += 1
+        stop += run[stop : stop + 1] in ("/", "_", "=", "-")
+        kept += [run[end:start], " " * (stop - start)]
+        end = stop
+    return "".join(kept) + run[end:]
+
+
 def _is_key(kind: str, span: str) -> bool:
     """Does a span of this class count, whatever string it is a part of?"""
     one_case = span.islower() or span.isupper()
@@ -102,15 +121,14 @@ def _is_key(kind: str, span: str) -> bool:
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) that the entropy method finds."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        string = m.group()
-        if FILLER.fullmatch(string):
-            continue
-        allowed = string.isalpha() or any(a.fullmatch(string) for a in ALLOWED)
-        for kind, characters, window, least in CLASSES:
-            if kind == "entropy_letters" or not allowed:
-                spans = high_windows(string, characters, window, least)
-                out += [(m.start() + a, m.start() + b, kind) for a, b in spans if _is_key(kind, string[a:b])]
+    for run in CANDIDATE.finditer(text):
+        for m in CANDIDATE.finditer(_without_fillers(run.group())):
+            string, at = m.group(), run.start() + m.start()
+            allowed = string.isalpha() or any(a.fullmatch(string) for a in ALLOWED)
+            for kind, characters, window, least in CLASSES:
+                if kind == "entropy_letters" or not allowed:
+                    spans = high_windows(string, characters, window, least)
+                    out += [(at + a, at + b, kind) for a, b in spans if _is_key(kind, string[a:b])]
     return out
 
 
