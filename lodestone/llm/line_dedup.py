@@ -20,6 +20,8 @@ MIN_DOCS = 5
 SHARD_KEYS = 65_536
 #: Repeated keys that may be sent to every task, at 24 bytes each; beyond it lines meet them in a join.
 BROADCAST_KEYS = 200_000
+#: Filters that are sent to every task at once, some 34 MB; more go in turns.
+FILTERS_SENT = 128
 
 
 def keys_of(lines: list[str], least: int) -> tuple[list[int], list[bytes]]:
@@ -110,13 +112,40 @@ class Gate:
         return out
 
 
+def pass_filters(keys: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
+    """Those of ``keys`` that the filter of their shard says yes to: all that are ``repeated``, and few others.
+
+    At most FILTERS_SENT filters go to every task; with more shards, each turn looks at the keys of
+    its own. Keys are asked about where they lie, so one that occurs very often is no burden.
+    """
+    built = materialize(build_filters(repeated, shards), "filters")
+    shard = F.pmod("hi", F.lit(shards))
+    if shards > FILTERS_SENT:
+        keys = materialize(keys, "keys")
+    empty = np.zeros(0, np.int64)
+    out = None
+    for first in range(0, shards, FILTERS_SENT):
+        mine = lambda c: c.between(first, first + FILTERS_SENT - 1)  # noqa: B023, E731
+        filters = {r["shard"]: bytes(r["filter"]) for r in built.where(mine(F.col("shard"))).collect()}
+        sent = keys.sparkSession.sparkContext.broadcast(Gate(filters, shards, empty, empty, []))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hi, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                yield batch.filter(pa.array(sent.value.maybe(hi, lo)))
+
+        passed = (keys.where(mine(shard)) if shards > FILTERS_SENT else keys).mapInArrow(run, keys.schema)
+        out = passed if out is None else out.unionByName(passed)
+    return out
+
+
 def drop_lines(docs: DataFrame, repeated: DataFrame, *, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): lines of ``repeated`` keys go, except in a key's last document.
 
     ``repeated`` is (hi, lo, n_docs, last_doc). Up to ``broadcast_keys`` keys go to every task, which
     asks the shard's filter first and the exact table only where the filter says yes; texts stay in
-    their partitions. More keys meet the documents' keys in a join, and a document's dropped keys
-    come to its text by id.
+    their partitions. More keys are joined to those of the documents' keys that pass the filters, and
+    a document's dropped keys come to its text by id.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_lines long, n_dropped long, text string"
@@ -138,8 +167,8 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, *, min_chars: int = MIN_CHA
         return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in every], pa.int64()), pa.array([len(x) for x in drop], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
     n = repeated.count()
+    shards = max(1, -(-n // SHARD_KEYS))
     if n <= broadcast_keys:
-        shards = max(1, -(-n // SHARD_KEYS))
         filters = {r["shard"]: bytes(r["filter"]) for r in build_filters(repeated, shards).collect()}
         table = repeated.select("hi", "lo", "last_doc").collect()
         column = lambda c: np.array([r[c] for r in table], np.int64)
@@ -159,7 +188,7 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, *, min_chars: int = MIN_CHA
 
         return rows.mapInArrow(run, schema)
 
-    keys = line_keys(docs, min_chars, id_col, text_col)
+    keys = pass_filters(line_keys(docs, min_chars, id_col, text_col), repeated, shards)
     gone = keys.join(repeated.select("hi", "lo", "last_doc"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")) & F.col("last_doc").isNotNull())
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumnRenamed("doc_id", "_id")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone.hi", "gone.lo")

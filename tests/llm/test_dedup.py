@@ -158,6 +158,20 @@ def test_line_dedup(docs, limit):
         assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in got) == lines_by_hand(rows)
 
 
+@pytest.mark.parametrize("sent", [2, 100])
+def test_filters_take_part_beyond_the_broadcast_bound(docs, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(line_dedup, "FILTERS_SENT", sent)
+    rows = [(i, "\n".join([*(f"a line that {k} of the documents have in common" for k in range(6)), *(f"line {k} of document {i} that no other document has" for k in range(40))]), "en", "s") for i in range(8)]
+    asked = []
+    plain_pass = line_dedup.pass_filters
+    monkeypatch.setattr(line_dedup, "pass_filters", lambda keys, repeated, shards: asked.append((keys, plain_pass(keys, repeated, shards), shards)) or asked[-1][1])
+    got = line_dedup.line_dedup(docs(rows), broadcast_keys=5).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in got) == lines_by_hand(rows)
+    ((keys, passed, shards),) = asked
+    assert shards == 6 and keys.count() == 8 * 46 and 8 * 6 <= passed.count() < 8 * 46 / 4
+
+
 def test_line_index_is_reversible(docs, spark, tmp_path):
     rows = [r for r in line_rows() if r[0] is not None]
     a, b = docs(rows[:18]), docs(rows[18:])
