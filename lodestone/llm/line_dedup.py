@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.cuckoo import CuckooFilter
+from lodestone.llm.cuckoo import CuckooFilter, Full
 from lodestone.llm.text import WHITE, parts
 from lodestone.plans.scratch import materialize
 
@@ -260,7 +260,7 @@ class LineIndex:
         return self._live().groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
     def refresh(self) -> None:
-        """Bring the filters up to the counts by inserting and deleting what changed."""
+        """Bring the filters up to the counts by inserting and deleting what changed; a full one is built anew, larger."""
         now = materialize(self.counts().where(F.col("n_docs") >= self.min_docs), "held")
         before = self.held if self.held is not None else now.limit(0)
         came = now.join(before, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(1).alias("sign"))
@@ -272,11 +272,18 @@ class LineIndex:
             made = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else CuckooFilter(SHARD_KEYS)
             gone, come = rows[rows["sign"] < 0], rows[rows["sign"] > 0]
             made.delete(gone["hi"].to_numpy(np.int64), gone["lo"].to_numpy(np.int64))
-            made.insert(come["hi"].to_numpy(np.int64), come["lo"].to_numpy(np.int64))
+            try:
+                made.insert(come["hi"].to_numpy(np.int64), come["lo"].to_numpy(np.int64))
+            except Full:
+                return pd.DataFrame({"shard": [key[0]], "filter": pd.Series([None], dtype=object)})
             return pd.DataFrame({"shard": [key[0]], "filter": [made.to_bytes()]})
 
         changed = came.unionByName(went).withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int"))
-        out = changed.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
+        out = materialize(changed.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(change, "shard int, filter binary"), "filters")
+        full = [r["shard"] for r in out.where("filter is null").select("shard").collect()]
+        if full:
+            again = now.where(F.pmod("hi", F.lit(shards)).cast("int").isin(full))
+            out = out.where("filter is not null").unionByName(build_filters(again, shards))
         path = f"{self.folder}/filters-{len(self.changes):06d}"
         out.write.mode("overwrite").parquet(path)
         self.filter_path, self.held = path, now

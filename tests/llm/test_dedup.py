@@ -189,6 +189,21 @@ def test_line_index_is_reversible(docs, spark, tmp_path):
     assert {tuple(r) for r in index.counts().collect()} == before
 
 
+def test_line_index_outgrows_its_filters(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    rows = [(i, "\n".join(f"a line {k} that all the documents of this test have" for k in range(100)), "en", "s") for i in range(5)]
+    index = line_dedup.LineIndex(spark, str(tmp_path / "i"), shards=2)
+    index.insert(docs(rows))
+    index.refresh()
+    assert index.maybe_repeated(docs(rows)).count() == 500
+    index.delete(docs(rows[:1]).select("doc_id"))
+    index.refresh()
+    assert index.maybe_repeated(docs(rows)).count() == 0
+    index.insert(docs(rows[:1]))
+    index.refresh()
+    assert index.maybe_repeated(docs(rows)).count() == 500
+
+
 def test_cuckoo_filter():
     rnd = np.random.default_rng(2)
     hi, lo = rnd.integers(-(2**63), 2**63, (2, 5000))
