@@ -159,6 +159,12 @@ def test_components_of_chains_and_hubs(spark):
     assert G.component_minimum(df.limit(0)).count() == 0
 
 
+def test_walks_reach_the_end_of_long_chains(spark):
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(70)] + [("g", 70, 3)], "graph string, src long, dst long")
+    got = G.reachable(edges, spark.createDataFrame([("g", 0)], "graph string, id long"))
+    assert sorted(rows(got, "id", "depth")) == [(i, i) for i in range(71)]
+
+
 def test_sequence_stops_at_forks():
     assert G.sequence_of(["a", "b", "c"], [("a", "b", None), ("b", "c", ""), ("c", "a", "Rejected")]) == (["a", "b", "c"], False)
     assert G.sequence_of(["a", "b", "c"], [("a", "b", "under 3M"), ("a", "c", "over 3M")]) == (["a"], True)
