@@ -89,7 +89,8 @@ def answer_route_scores(spark, sf_dir):
 @query()
 def route_mentions(spark, sf_dir):
     p = _prose(spark, sf_dir)
-    return D.routes_mentioned(p, p.select("answer_id", F.left("text", F.lit(120)).alias("answer")))
+    told = G.narrative(*graphs.both(spark, sf_dir)).select(F.col("graph").alias("answer_id"), F.col("text").alias("answer"))
+    return D.routes_mentioned(p, p.select("answer_id").join(told, "answer_id", "left").select("answer_id", F.coalesce("answer", F.lit("")).alias("answer")))
 
 
 @query()

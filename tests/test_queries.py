@@ -47,3 +47,19 @@ def test_query_runs(spark, duck, name):
 
 def test_entry(spark, duck):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_route_mentions_reads_whole_answers(spark):
+    from lodestone.functions.text import workflow_routes
+    from lodestone.operators import graph as G
+    from lodestone.queries import graphs
+
+    n, e = graphs.both(spark, SF)
+    told = {r.graph: r.text.lower() for r in G.narrative(n, e).collect()}
+    prose = G.render_prose(n, e)
+    want = {}
+    for r in prose.select("graph", workflow_routes(prose["text"]).alias("routes")).collect():
+        if r.routes:
+            want[r.graph] = (len(r.routes), sum(x.src.lower() in told.get(r.graph, "") and x.dst.lower() in told.get(r.graph, "") for x in r.routes))
+    got = {r.answer_id: (r.routes, r.mentioned) for r in entry_module.queries()["route_mentions"](spark, SF).collect()}
+    assert got == want and sum(m for _, m in got.values()) > 0
