@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.operators.answering import answer, hashing_encoder
 from lodestone.operators.validation import code_whitelist
-from lodestone.plans.scratch import scratch_dir
+from lodestone.plans.scratch import folder
 from lodestone.queries.registry import query
 from lodestone.queries.retrieval import ranked
 from lodestone.queries.validation import corpus
@@ -20,7 +18,7 @@ from lodestone.streaming.sessions import session_history
 @query("""WITH t AS (SELECT conv_id AS session_id, turn, list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
 SELECT session_id, turn, coalesce(array_to_string(h, ','), '') AS history, turn > 0 AS is_followup_possible FROM t""")
 def streaming_sessions(spark, sf_dir):
-    home = f"{scratch_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    home = folder(spark, "sessions")
     path = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(path).schema
     # a stream reads folders; a table in one file is picked out of its folder by name
@@ -55,5 +53,5 @@ def answered_questions(spark, sf_dir):
 @query()
 def embedding_cache(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("embed_text"))
-    out = cached_embeddings(d, f"{scratch_dir(spark)}/embeddings", "hashing-64", hashing_encoder())
+    out = cached_embeddings(d, folder(spark, "embeddings"), "hashing-64", hashing_encoder())
     return out.select("id", F.size("vector").alias("dim"))
