@@ -217,3 +217,32 @@ def test_cuckoo_filter():
     assert (again.table == f.table).all()
     with pytest.raises(Full):
         CuckooFilter(4).insert(hi[:50], lo[:50])
+
+
+def test_repeated_ids_are_one_document(docs):
+    line = "a line of this test that is long enough to be a key"
+    rows = [(7, line, "en", "s")] * 5 + [(None, line, "en", "s")] * 5 + [(i, line, "en", "s") for i in range(3)]
+    assert {(r.n_dropped, r.text) for r in line_dedup.line_dedup(docs(rows)).collect()} == {(0, line)}
+    rows.append((3, line, "en", "s"))
+    got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.line_dedup(docs(rows)).collect())
+    assert got == sorted([("7", 0)] * 5 + [("None", 0)] * 5 + [(str(i), 1) for i in range(4)])
+
+
+def test_deletion_restores_the_texts(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHANGES", 2)
+    rows = [r for r in line_rows() if r[0] is not None]
+    a, b = docs(rows[:16]), docs(rows[16:])
+    index = line_dedup.LineIndex(spark, str(tmp_path / "i"))
+    index.insert(a)
+    before = sorted(map(str, index.dedup(a, broadcast_keys=0).collect()))
+    for _ in range(2):
+        index.insert(b)
+        both = sorted(map(str, [*index.dedup(a).collect(), *index.dedup(b).collect()]))
+        assert both == sorted(map(str, line_dedup.line_dedup(docs(rows)).collect()))
+        index.delete(b.select("doc_id").subtract(a.select("doc_id")))
+        assert sorted(map(str, index.dedup(a).collect())) == before
+    strings = a.withColumn("doc_id", a["doc_id"].cast("string"))
+    index = line_dedup.LineIndex(spark, str(tmp_path / "s"))
+    assert index.dedup(strings.limit(0)).count() == 0
+    index.insert(strings)
+    assert index.dedup(strings).count() == 16
