@@ -278,14 +278,32 @@ def test_top_k(spark):
         want += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:5], 1)]
     from pyspark.sql import functions as F
 
-    for size in (3, 8192):
-        got = topk.top_k(df, is_query=F.col("vec_id") % 50 == 0, k=5, queries_at_once=size, block=64)
+    for size, share in ((3, 10_000), (8192, 50), (4, 120)):
+        got = topk.top_k(df, is_query=F.col("vec_id") % 50 == 0, k=5, queries=size, candidates=share, block=64)
         assert sorted(map(tuple, got.collect())) == want
     assert topk.top_k(df.limit(0), is_query=F.col("vec_id") % 50 == 0).count() == 0
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), is_query=F.col("vec_id") == 0)
     assert few.count() == 2
 
 
+def test_top_k_of_large_components_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    big = float(1 << 21) + 0.3
+    rows = [(0, [big, -big]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [big, big]), (1, [big, big]), (2, [-big, big]), (3, [1e30, 0.0]), (4, [-1e300, 2.0]), (5, [0.5, -0.25]), (6, [5e307, 5e307])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    fine = [(i, [topk.quantized(x) for x in v]) for i, v in rows]
+    want = []
+    for q in ([big, -big], [1.0, 1.0]):
+        w, top = [topk.quantized(x) for x in q], topk.LARGEST
+        scored = sorted((-max(-top, min(top, sum(a * b for a, b in zip(w, v, strict=True)))), i) for i, v in fine if i)
+        want += [(0, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert topk.quantized(-0.001) == -1 and topk.quantized(1e30) == int(1e30) * 256
+    for size in (1, 100):
+        got = topk.top_k(df, is_query=F.col("vec_id") == 0, k=5, candidates=size)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # --- packing ---------------------------------------------------------------------------------
 
 
