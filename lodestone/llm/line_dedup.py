@@ -19,8 +19,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Keys of a shard, about; a filter of it takes some 200 kB.
 SHARD_KEYS = 65_536
-#: Documents that lose lines, with the keys of these, that may be sent to every task in one go; more are joined.
-BROADCAST_KEYS = 200_000
+#: Pairs of a document and a key that it loses which may be sent to every task; by default they are joined whatever their number.
+BROADCAST_KEYS = 0
 #: Tables of changes that an index reads before it writes them as one.
 CHANGES = 32
 #: Filters that are sent to every task at once, some 34 MB; more go in turns.
@@ -273,7 +273,7 @@ class LineIndex:
         few = gone.limit(broadcast_keys + 1).count() <= broadcast_keys
         gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("_gone"))
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        joined = rows.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_id"), "left")
+        joined = rows.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
         return cut_lines(joined.select("doc_id", "text", "_gone.hi", "_gone.lo"), self.min_chars)
 
 
