@@ -93,7 +93,7 @@ def near_rows(n=150, seed=3):
 
 
 @pytest.mark.parametrize("rows", [odd_rows(), near_rows(), []])
-@pytest.mark.parametrize("cell", [4, 512])
+@pytest.mark.parametrize("cell", [4, 4096])
 def test_near_dedup(docs, rows, cell, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", cell)
     got = simhash.near_dedup(docs(rows)).collect()
@@ -102,18 +102,82 @@ def test_near_dedup(docs, rows, cell, monkeypatch):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
 
 
-def test_embedding_is_a_lower_bound_and_tables_cover():
-    rnd = np.random.default_rng(5)
-    a = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64)
+def close_pairs(n=4000, seed=5):
+    rnd = np.random.default_rng(seed)
+    a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
     b = a.copy()
     for _ in range(4):
-        b ^= np.uint64(1) << rnd.integers(0, 64, len(b), dtype=np.uint64)
-    d = np.bitwise_count(a ^ b)
+        b ^= np.uint64(1) << rnd.integers(0, 64, n, dtype=np.uint64)
+    return a, b
+
+
+def test_embedding_is_a_lower_bound():
+    a, b = close_pairs()
+    assert (np.bitwise_count(simhash.embedding_of(a) ^ simhash.embedding_of(b)) <= np.bitwise_count(a ^ b)).all()
+
+
+def test_close_pairs_meet_at_a_home():
+    a, b = close_pairs()
     ea, eb = simhash.embedding_of(a), simhash.embedding_of(b)
-    assert (np.bitwise_count(ea ^ eb) <= d).all()
-    for blocks in (6, 7, 8):
-        masks = np.array([m & ((1 << 64) - 1) for m in simhash.grid(blocks)], np.uint64)
-        assert ((ea[:, None] & masks) == (eb[:, None] & masks)).any(1).all()
+
+    def places(counts, band):
+        out = defaultdict(dict)
+        for rows, cells, roles in simhash._cells(counts, band, 4, 1):
+            for r, c, v in zip(rows.tolist(), cells.tolist(), roles.tolist(), strict=True):
+                out[r][c] = min(v, out[r].get(c, 1))
+        return out
+
+    for grid in (simhash.FIRST, *simhash.SECOND):
+        both = [(places(ea, band), places(eb, band)) for band in grid]
+        for i in range(len(a)):
+            assert any(pa[i][c] == 0 or pb[i][c] == 0 for pa, pb in both for c in set(pa[i]) & set(pb[i]))
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_neighbours_are_all_cells_one_way(reach):
+    segments = [0, 3, 5]
+    every = [sum(((1 << n) - 1) << (2 * s) for n, s in zip(c, segments, strict=True)) for c in np.ndindex(3, 3, 3)]
+    size = lambda c: [bin(c >> (2 * s) & 3).count("1") for s in segments]
+    found = set()
+    for rows, cells in simhash.neighbours(np.array(every, np.uint64), segments, reach):
+        found |= {(every[r], c) for r, c in zip(rows.tolist(), cells.tolist(), strict=True)}
+    near = {(x, y) for x in every for y in every if x != y and sum(abs(p - q) for p, q in zip(size(x), size(y), strict=True)) <= reach}
+    assert found <= near and {frozenset(p) for p in found} == {frozenset(p) for p in near} and len(found) == len(near) / 2
+
+
+def crowd(n=600, seed=9):
+    """Some dense balls, and many far fingerprints that share one band's counts."""
+    rnd = np.random.default_rng(seed)
+    ball = rnd.integers(0, 1 << 63, 3, dtype=np.uint64)[rnd.integers(0, 3, n)]
+    for _ in range(5):
+        ball ^= np.uint64(1) << rnd.integers(0, 64, n, dtype=np.uint64)
+    far = rnd.integers(0, 1 << 63, n, dtype=np.uint64) & ~simhash.mask_of(simhash.FIRST[0])
+    return np.unique(np.concatenate([ball, far, far[:200] ^ np.uint64(1 << 63)])).view(np.int64)
+
+
+@pytest.mark.parametrize("cell", [16, 100, 4096])
+def test_links_connect_what_all_pairs_connect(spark, cell, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    fp = crowd()
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fp], "fp long").repartition(3)).collect()
+    bits = fp.view(np.uint64)
+    assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 64 for r in found)
+
+    def roots(pairs):
+        label = np.arange(len(fp))
+        a, b = (np.array(x) for x in zip(*pairs, strict=True))
+        while True:
+            least = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+            if (label == before).all():
+                return label.tolist()
+
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 4
+    place = {int(x): i for i, x in enumerate(fp)}
+    assert roots([(place[r.a], place[r.b]) for r in found]) == roots(np.argwhere(near).tolist())
 
 
 def test_keep_representatives(docs):
@@ -124,6 +188,8 @@ def test_keep_representatives(docs):
     odd = simhash.keep_representatives(docs(odd_rows()))
     texts = [fingerprint(r.text) for r in odd.collect()]
     assert len(texts) == len(set(texts)) and odd.columns[-1] == "keep_id"
+    rows = [(None, "one two three", "en", "s")] * 40 + [(None, "four five six", "en", "s"), (7, "seven", "en", "s"), (7, "eight", "en", "s"), (7, "seven", "en", "s")]
+    assert sorted(r.text for r in simhash.keep_representatives(docs(rows)).collect()) == ["eight", "four five six", "one two three", "seven"]
 
 
 def line_rows():
