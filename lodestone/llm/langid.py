@@ -12,26 +12,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.text import parts
+from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import broadcast_if_small
 
-#: The training sample: documents a language at most, each of so many characters at most, of the most frequent languages.
+#: The training sample, of every language: so many documents a language at most and in all, each of so many characters
+#: at most, and so many characters in all. Many languages share the sums; each has one document at least.
 SAMPLE_DOCS = 400
+SAMPLE_ALL = 25_600
 SAMPLE_CHARS = 20_000
-LANGUAGES = 64
+SAMPLE_ALL_CHARS = 40_000_000
 HIDDEN = 12
 STEPS = 300
 BATCH = 384
-#: Longest window; a longer run of letters goes on in another one.
+#: Longest window; a longer token goes on in another one.
 WINDOW = 48
-#: Windows whose sums a worker remembers, at about 150 bytes each.
-REMEMBERED = 250_000
+#: Bytes of tokens that a worker remembers with their sums, and what a token costs besides its own bytes.
+REMEMBERED = 64 << 20
+TOKEN_BYTES = 200
 UNKNOWN = "und"
-_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(token: str) -> list[bytes]:
-    """The byte windows of a white-space token: its letters in lower case."""
-    data = _NOT_LETTERS.sub("", token).lower().encode()
+    """The byte windows of a white-space token in lower case; none if it has no letter."""
+    if not (token.isalpha() or _LETTER.search(token)):
+        return []
+    data = token.lower().encode()
     return [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
 
 
@@ -42,7 +48,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiGru:
     """h' = (1 - z) * h + z * tanh(Wx + U(r * h)), in both directions; a softmax at every byte.
 
-    Byte 256 marks both ends of a window, so that a network state knows where words begin and end.
+    Byte 256 marks both ends of a window: the white space around a token, however long.
     """
 
     NAMES = ("wf", "uf", "cf", "wb", "ub", "cb", "vf", "vb", "o")
@@ -186,10 +192,11 @@ class Reader:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.bytes = 0
         self.table = np.zeros((0, len(self.model.classes) + 1), np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.known) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self._reset()
         known, docs, fresh = self.known, [], []
         for text in texts:
@@ -199,6 +206,7 @@ class Reader:
                 if token not in known:
                     known[token] = len(known)
                     fresh.append(token)
+                    self.bytes += TOKEN_BYTES + 4 * len(token)
         if fresh:
             windows, owner = [], []
             for i, token in enumerate(fresh):
@@ -229,16 +237,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(lang, text): SAMPLE_DOCS documents at most of each of LANGUAGES languages at most, none of them held out."""
+    """(lang, text): a bounded part of the documents of every language, none of them held out.
+
+    Of l languages each gives SAMPLE_DOCS documents, or SAMPLE_ALL / l if that is less, but one at
+    least, in a seeded order, while they have no more than SAMPLE_ALL_CHARS / l characters.
+    """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    fits = F.length("text").between(1, SAMPLE_CHARS)
-    frequent = named.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(fits).alias("fit")).orderBy(F.desc("all"), "lang").limit(LANGUAGES)
+    named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.length("text").between(1, SAMPLE_CHARS))
+    found = named.groupBy("lang").agg(F.count(F.lit(1)).alias("fit"))
+    found = materialize(found, "languages")
+    n = max(1, found.count())
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // n))
     # a language's rows are thinned by hash to some four times what is wanted before they are put in order
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    rows = named.join(F.broadcast(frequent), "lang").where(fits & (draw * F.col("fit") < 4 * SAMPLE_DOCS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    rows = named.join(broadcast_if_small(found), "lang").where(draw * F.col("fit") < F.greatest(F.lit(4 * most), F.lit(40)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    rows = rows.withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where((F.col("n") == 1) | (F.col("upto") <= SAMPLE_ALL_CHARS // n))
     return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
@@ -261,11 +277,14 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, held_out, lang_pred, score.
 
     The network learns from :func:`sample`, on the driver, and every whole text is labelled by
-    Python workers: the letters of each white-space token are a window, read in both directions;
-    every byte gets class probabilities, and a document's are their mean. Equal windows of a batch
-    are labelled once. Only the text is an input. Null texts and texts without a letter are ``und``
-    with score 0, as are all texts if nothing could be learned. Rows that repeat an id are rows like
-    others; other columns are ignored; an empty table gives an empty result.
+    Python workers: each white-space token is a window with a mark at either end for the white space
+    around it, read in both directions; every byte and mark gets class probabilities, and a
+    document's are their mean. No state crosses white space, so equal tokens have equal labels and
+    are labelled once while a worker remembers them. Tokens without a letter (numbers, rules of
+    dashes) name no language: they get no labels and no part in the mean. Only the text is an input.
+    Null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing could
+    be learned. Rows that repeat an id are rows like others; other columns are ignored; an empty
+    table gives an empty result.
     """
     model = train(sample(docs, id_col, text_col, lang_col), steps=steps)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -289,7 +308,8 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.3, id_col: str = "d
     """The rows of ``docs`` whose language is told, with all their columns.
 
     Rejected are texts that are ``und`` and texts whose best language has a mean probability below
-    ``min_score``. Rows are filtered where they are; none moves.
+    ``min_score``; so all are rejected if nothing could be learned (no row has both a language and
+    a text with letters). Rows are filtered where they are; none moves.
     """
     model = train(sample(docs, id_col, text_col, lang_col), steps=steps)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -372,3 +372,38 @@ def test_words_equal_the_tokenizer():
     for _ in range(1500):
         text = "".join(rnd.choices(parts, k=rnd.randint(0, 25)))
         assert words.packed(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_language_is_learned(docs, monkeypatch):
+    rows = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"l{i % 90:02d}", "s") for i in range(900)]
+    got = langid.sample(docs(rows), "doc_id", "text", "lang")
+    assert {lang for lang, _ in got} == {f"l{k:02d}" for k in range(90)}
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 180)
+    monkeypatch.setattr(langid, "SAMPLE_ALL_CHARS", 90 * 75)
+    got = langid.sample(docs(rows), "doc_id", "text", "lang")
+    assert max(Counter(lang for lang, _ in got).values()) == 2 and len(got) >= 90
+    monkeypatch.setattr(langid, "SAMPLE_ALL_CHARS", 90)
+    assert max(Counter(lang for lang, _ in langid.sample(docs(rows), "doc_id", "text", "lang")).values()) == 1
+
+
+def test_all_bytes_of_a_token_are_read(monkeypatch):
+    assert langid.windows_of("Abc,1") == [b"abc,1"] and langid.windows_of("1234") == [] and langid.windows_of("É" * 40) == ["é".encode() * 24, "é".encode() * 16]
+    m = langid.BiGru(["a", "b"], 4)
+    texts = ["word " * 50 + "x" * 5000, "one 123 two", None, "12 34"]
+    plain = langid.Reader(m).predict(texts)
+    monkeypatch.setattr(langid, "REMEMBERED", 0)
+    forgetful = langid.Reader(m)
+    for t, want in zip(texts, plain, strict=True):
+        ((lang, score),) = forgetful.predict([t])
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-4)
+
+
+def test_held_out_accuracy_on_the_table(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
