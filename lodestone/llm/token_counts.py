@@ -1,4 +1,4 @@
-"""Token counts under a unigram model, by forward scores shared in a trie of pre-tokens."""
+"""Token counts under a unigram model, by forward scores kept in a trie of pre-tokens."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ from lodestone.llm.text import parts
 
 # Fixed value: the vocabulary's mark for the start of a word.
 START = "▁"
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Nodes of a task's trie, at about 200 bytes each.
+NODES = 750_000
+#: Bytes of words that a task remembers with their counts, what a word costs besides its own, and the longest.
+REMEMBERED = 64 << 20
+WORD_BYTES = 150
+LONG = 256
 
 
 def load_unigrams(path: str) -> dict[str, float]:
@@ -31,68 +35,119 @@ def load_unigrams(path: str) -> dict[str, float]:
 
 
 class TrieCounter:
-    """Numbers of tokens of the best segmentations of many pre-tokens.
+    """Numbers of tokens of the best segmentations of pre-tokens, kept in a trie of these.
 
-    The pre-tokens, in order, are walked as a trie: the node of a prefix holds the best score and the
-    number of tokens of that prefix, and is computed once for all pre-tokens below it; the node where
-    a pre-token ends gives its count. Ties go to fewer tokens. A character that no piece covers costs
-    ``unknown`` and counts as its UTF-8 bytes.
+    The node of a prefix holds the best score of the prefix and its number of tokens. It is made once,
+    from the nodes above it, for all pre-tokens that begin so; the node where a pre-token ends holds
+    its count. Ties go to fewer tokens. A character that no piece covers costs ``unknown`` and counts
+    as its UTF-8 bytes. Beyond ``most`` nodes the trie starts anew.
     """
 
-    def __init__(self, unigrams: dict[str, float]):
-        self.unigrams = unigrams
-        self.longest = max(map(len, unigrams))
+    def __init__(self, unigrams: dict[str, float], most: int = NODES):
+        self.unigrams, self.most = unigrams, most
         self.unknown = min(unigrams.values()) - 10
-        self.nodes = 0
-
-    def counts(self, pretokens: Iterable[str]) -> dict[str, int]:
-        score, tokens, above, out = [0.0], [0], "", {}
-        get, longest = self.unigrams.get, self.longest
-        for word in sorted(set(pretokens)):
-            shared = 0
-            for a, b in zip(above, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del score[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, number = score[end - 1] + self.unknown, tokens[end - 1] + len(word[end - 1].encode())
-                for start in range(max(0, end - longest), end):
-                    p = get(word[start:end])
+        lengths: dict[str, set[int]] = {}
+        for piece in unigrams:
+            lengths.setdefault(piece[-1], set()).add(len(piece))
+        self.lengths = {c: sorted(n) for c, n in lengths.items()}  # of pieces that end with c
+        self._reset()
+
+    def _reset(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.score, self.tokens = [0.0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.child)
+
+    def count(self, word: str) -> int:
+        if len(self.child) > self.most:
+            self._reset()
+        child, score, tokens, get, unknown = self.child, self.score, self.tokens, self.unigrams.get, self.unknown
+        node, path = 0, [0]
+        for end, c in enumerate(word, 1):
+            below = child.get((node, c))
+            if below is None:
+                best, number = score[node] + unknown, tokens[node] + len(c.encode())
+                for n in self.lengths.get(c, ()):
+                    if n > end:
+                        break
+                    p = get(word[end - n : end])
                     if p is not None:
-                        s, n = score[start] + p, tokens[start] + 1
-                        if s > best or (s == best and n < number):
-                            best, number = s, n
+                        above = path[end - n]
+                        s, k = score[above] + p, tokens[above] + 1
+                        if s > best or (s == best and k < number):
+                            best, number = s, k
+                below = child[node, c] = len(score)
                 score.append(best)
                 tokens.append(number)
-            self.nodes += len(word) - shared
-            out[word] = tokens[len(word)]
-            above = word
-        return out
+            path.append(below)
+            node = below
+        return tokens[node]
+
+    def count_long(self, word: str) -> int:
+        """The same by the last scores alone, for words too long to be worth nodes."""
+        most = max(n for lengths in self.lengths.values() for n in lengths)
+        score, tokens = [0.0], [0]  # of the last ``most`` prefixes
+        for end, c in enumerate(word, 1):
+            best, number = score[-1] + self.unknown, tokens[-1] + len(c.encode())
+            for n in self.lengths.get(c, ()):
+                if n > end:
+                    break
+                p = self.unigrams.get(word[end - n : end])
+                if p is not None:
+                    s, k = score[-n] + p, tokens[-n] + 1
+                    if s > best or (s == best and k < number):
+                        best, number = s, k
+            score.append(best)
+            tokens.append(number)
+            if len(score) > 2 * most:
+                del score[:-most], tokens[:-most]
+        return tokens[-1]
+
+    def counts(self, pretokens: Iterable[str]) -> dict[str, int]:
+        return {word: self.count(word) for word in pretokens}
+
+
+class _Words(dict):
+    """Counts by word in UTF-8; a word that is not there yet goes through the trie."""
+
+    def __init__(self, counter: TrieCounter):
+        self.counter, self.bytes = counter, 0
+
+    def __missing__(self, word: bytes) -> int:
+        text = START + word.decode(errors="replace")
+        if len(word) > LONG:
+            return self.counter.count_long(text)
+        found = self[word] = self.counter.count(text)
+        self.bytes += WORD_BYTES + len(word)
+        return found
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_tokens of the whole text.
 
     A pre-token is a word between ASCII white space, with the mark of a word's start before it.
-    Null and empty texts have no words. Each batch's new pre-tokens form one trie; their counts are
-    remembered by the worker, up to REMEMBERED of them. Rows that repeat an id are rows like others;
-    other columns are ignored; an empty table gives an empty result. No row leaves its partition.
+    Null and empty texts have no words. A task keeps one trie for all its documents, up to NODES
+    nodes, and the counts of words of LONG bytes or less, up to REMEMBERED bytes; longer words get no
+    nodes. Rows that repeat an
+    id are rows like others; other columns are ignored; an empty table gives an empty result. No row
+    leaves its partition.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = TrieCounter(load_unigrams(vocabulary_path)), {}
+        known = _Words(TrieCounter(load_unigrams(vocabulary_path)))
         for batch in parts(batches, 1):
-            if len(known) > REMEMBERED:
-                known.clear()
-            texts = [x.as_buffer().to_pybytes().split() for x in batch.column(1)]
-            fresh = set().union(*texts).difference(known)
-            found = counter.counts({w: START + w.decode(errors="replace") for w in fresh}.values())
-            known.update((w, found[START + w.decode(errors="replace")]) for w in fresh)
-            n_words = pa.array([len(words) for words in texts], pa.int64())
-            n_tokens = pa.array([sum(map(known.__getitem__, words)) for words in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_words, n_tokens], ["doc_id", "n_words", "n_tokens"])
+            n_words, n_tokens = [], []
+            for text in batch.column(1):
+                if known.bytes > REMEMBERED:
+                    known.clear()
+                    known.bytes = 0
+                words = text.as_buffer().to_pybytes().split()
+                n_words.append(len(words))
+                n_tokens.append(sum(map(known.__getitem__, words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")

@@ -89,6 +89,12 @@ def test_trie_counts():
     words = {"".join(rnd.choices("abcd漢", k=rnd.randint(0, 9))) for _ in range(400)}
     assert counter.counts(words) == {w: best_segmentation(w, unigrams, counter.unknown) for w in words}
     assert counter.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+    assert all(counter.count_long(w) == n for w, n in counter.counts(words).items())
+    long = "".join(rnd.choices("abcd漢", k=3000))
+    assert counter.count_long(long) == best_segmentation(long, unigrams, counter.unknown)
+    small = token_counts.TrieCounter(unigrams, most=7)
+    assert small.counts(words) == counter.counts(words) and small.nodes < 7 + 9
+    assert len(counter.score) == counter.nodes + 1  # asked again, no node is made twice
 
 
 def test_token_counts(docs):
@@ -106,6 +112,35 @@ def test_token_counts(docs):
     assert got == sorted(want)
 
 
+def test_token_counts_on_the_table(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    path = tokenizer_path("piece_bpe_32k.model")
+    unigrams = token_counts.load_unigrams(path)
+    longest, unknown, known = max(map(len, unigrams)), min(unigrams.values()) - 10, {}
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            ways = [(best[-1][0] + unknown, -best[-1][1] - len(word[end - 1].encode()))]
+            ways += [(best[s][0] + unigrams[word[s:end]], -best[s][1] - 1) for s in range(max(0, end - longest), end) if word[s:end] in unigrams]
+            s, n = max(ways)
+            best.append((s, -n))
+        return best[-1][1]
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(d, path).collect()}
+    for r in d.select("doc_id", "text").collect():
+        words = [w.decode() for w in (r.text or "").encode().split()]
+        for w in words:
+            if w not in known:
+                known[w] = plain("▁" + w)
+        assert got[r.doc_id] == (len(words), sum(known[w] for w in words))
+
+
 # --- secrets ---------------------------------------------------------------------------------
 
 
