@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,18 +17,18 @@ HEAVY_ROWS = 8
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_cp, digest) of every row; the only pass over the texts."""
+    """(doc_id, n_cp, digest, row) of every row; the only pass over the texts. ``row`` is a number of the row's own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("n_cp"), F.unhex(F.sha2(no_white(text), 256)).alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("n_cp"), F.unhex(F.sha2(no_white(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
-def _best() -> list:
-    """Of a group: the row with most code points, then the smallest id; and the group's size."""
-    return [F.min(F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count(F.lit(1)).alias("group_size")]
+def _first() -> Column:
+    """Of a group: the row with most code points, then the smallest id, then some row of these."""
+    return F.min(F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))
 
 
 def heavy_groups(rows: DataFrame) -> DataFrame:
-    """At most WINNERS rows (digest, keep_id, group_size, keep_cp), each counted exactly.
+    """At most WINNERS rows (digest, best, group_size), each counted exactly.
 
     The candidates come from Misra-Gries counters that every task keeps over its own rows and
     that are merged (``approx_top_k`` is the engine's form of the summary: a full table of counters
@@ -36,8 +36,20 @@ def heavy_groups(rows: DataFrame) -> DataFrame:
     """
     top = rows.select(F.xxhash64("digest").alias("h")).agg(F.expr(f"approx_top_k(h, {WINNERS}, {COUNTERS})").alias("top"))
     names = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= HEAVY_ROWS).select(F.col("t.item").alias("h"))
-    counted = rows.join(F.broadcast(names), F.xxhash64("digest") == F.col("h"), "left_semi").groupBy("digest").agg(*_best())
-    return counted.where(F.col("group_size") >= HEAVY_ROWS).select("digest", F.col("best.keep_id").alias("keep_id"), "group_size", (-F.col("best.neg")).alias("keep_cp"))
+    counted = rows.join(F.broadcast(names), F.xxhash64("digest") == F.col("h"), "left_semi").groupBy("digest").agg(_first().alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return counted.where(F.col("group_size") >= HEAVY_ROWS)
+
+
+def resolve(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_cp, digest, row, best, group_size) of every row; ``best`` names the row of the group that stays."""
+    rows = materialize(digests(docs, id_col, text_col), "digests")
+    winners = materialize(heavy_groups(rows), "winners")
+    group = Window.partitionBy("digest")
+    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    light = light.withColumn("best", _first().over(group)).withColumn("group_size", F.count(F.lit(1)).over(group))
+    heavy = rows.join(F.broadcast(winners), "digest")
+    columns = ["doc_id", "n_cp", "digest", "row", "best", "group_size"]
+    return heavy.select(*columns).unionByName(light.select(*columns))
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,38 +64,28 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     most WINNERS rows; what is left holds no group above about 3.5 / COUNTERS of the rows, and is
     shuffled by digest.
     """
-    rows = materialize(digests(docs, id_col, text_col), "digests")
-    winners = materialize(heavy_groups(rows), "winners")
-    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    light = light.withColumn("best", F.min(F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").alias("keep_id"))).over(group)).withColumn("group_size", F.count(F.lit(1)).over(group))
-    light = light.select("doc_id", "n_cp", "digest", F.col("best.keep_id").alias("keep_id"), (-F.col("best.neg")).alias("keep_cp"), "group_size")
-    heavy = rows.join(F.broadcast(winners), "digest").select("doc_id", "n_cp", "digest", "keep_id", "keep_cp", "group_size")
-    out = heavy.unionByName(light)
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
-    out = _one_of_repeats(out.withColumn("kept", same), rows)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def _one_of_repeats(out: DataFrame, rows: DataFrame) -> DataFrame:
-    """Where rows repeat an id, length and digest, only one of them is kept."""
-    repeats = rows.groupBy("doc_id", "n_cp", "digest").count().where("count > 1").limit(1).count()
-    if not repeats:
-        return out
-    first = Window.partitionBy("doc_id", "n_cp", "digest").orderBy(F.lit(0))
-    return out.withColumn("kept", F.col("kept") & ((F.row_number().over(first) == 1)))
+    out = resolve(docs, id_col, text_col)
+    return out.select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    found = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    key, held, digest, place = fresh(docs.columns, "_id", "_digest", "_digest_of_text", "_n")
-    kept = found.where("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(held))
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are found again by id. Where an id stands for several rows they are held against length and
+    digest too; what then is alike is thinned in two steps, so that not even an id of very many rows
+    meets in one task whole.
+    """
+    found = materialize(resolve(docs, id_col, text_col), "resolved")
+    named, held, size, digest, salt, place = fresh(docs.columns, "_id", "_digest", "_size", "_digest_of_text", "_salt", "_n")
+    kept = found.where(F.col("row") == F.col("best.keep_row")).select(F.col("doc_id").alias(named), F.col("digest").alias(held), F.col("n_cp").alias(size))
+    same = F.col(id_col).eqNullSafe(F.col(named))
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
-        return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    # an id stands for several rows: hold each against its text, then drop repeats
-    out = docs.withColumn(digest, F.unhex(F.sha2(no_white(F.col(text_col)), 256)))
-    out = out.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(held)), "left_semi")
-    pick = Window.partitionBy(digest).orderBy(F.desc(F.char_length(text_col)), F.col(id_col))
-    return out.withColumn(place, F.row_number().over(pick)).where(F.col(place) == 1).select(*docs.columns)
+        return docs.join(kept, same, "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = docs.withColumn(digest, F.unhex(F.sha2(no_white(text), 256)))
+    out = out.join(kept, same & (F.col(digest) == F.col(held)) & (F.char_length(text) == F.col(size)), "left_semi")
+    out = out.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(256)))
+    for group in ([digest, salt], [digest]):
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(salt))).where(F.col(place) == 1).drop(place)
+    return out.select(*docs.columns)

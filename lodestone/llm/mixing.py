@@ -53,13 +53,18 @@ def budgets(leaves: DataFrame, *, weights: dict[str, dict[str, int]], budget_sha
     The root has ``budget_share`` of all tokens. From there down, a node's budget goes to its children
     by weight (1 where none is given), none above ``max_epochs`` times its tokens. A shortage goes to
     siblings first; as a node's own cap is the sum below it, only what no sibling can take has
-    gone to the siblings of an ancestor.
+    gone to the siblings of an ancestor. What lies below a weight of 0 gives nothing and adds to no
+    cap, so that its part goes to others as well.
     """
+    alive = F.lit(True)
+    for level in LEVELS:
+        alive = alive & (_weight(level, weights) > 0)
+    leaves = leaves.withColumn("usable", F.when(alive, F.col("tokens")).otherwise(F.lit(0)))
     total = leaves.agg(F.sum("tokens").alias("all"))
     above = total.select(F.floor(F.coalesce("all", F.lit(0)) * F.lit(float(budget_share))).cast("double").alias("budget"))
     for depth, level in enumerate(LEVELS):
         parent = list(LEVELS[:depth])
-        nodes = leaves.groupBy(*parent, level).agg((F.sum("tokens") * F.lit(int(max_epochs))).alias("cap")).withColumn("weight", _weight(level, weights))
+        nodes = leaves.groupBy(*parent, level).agg((F.sum("usable") * F.lit(int(max_epochs))).alias("cap")).withColumn("weight", _weight(level, weights))
         nodes = nodes.join(above, parent) if parent else nodes.join(F.broadcast(above), F.lit(True))  # one row
         above = _fill(nodes, parent or ["one"], level) if parent else _fill(nodes.withColumn("one", F.lit(1)), ["one"], level)
         above = above.select(*parent, level, F.col("share").alias("budget"))
@@ -72,13 +77,14 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, int]], budget_share: fl
     Tokens are words between ASCII white space. A leaf whose budget is e times its tokens and r more
     gives every document e times, and in epoch e the documents that its seeded order puts first,
     while their tokens sum to r or less. The order of an epoch is by MD5 of seed, epoch and doc_id.
-    Rows that repeat an id in a leaf come together in the order, and are taken all or none. Null
-    languages and sources are the leaf of empty text; null texts have no tokens; other columns are
-    ignored; an empty table gives an empty result. ``weights`` are whole numbers by level and value.
+    Rows that repeat an id in a leaf come together in the order, and are taken all or none; so are
+    rows without an id. Null languages and sources are the leaf of empty text; null texts have no
+    tokens; other columns are ignored; an empty table gives an empty result. ``weights`` are whole
+    numbers from 0 by level and value; 0 takes nothing.
 
     A leaf may hold any share of the rows: its tokens are summed by bucket of the order (combined
     map-side), the bucket where the sum passes r is cut to buckets once more, and only what then is
-    in such a bucket, about one row in 65 536, is put in order.
+    in such a bucket, about one id in 65 536, is put in order, an id's rows as one.
     """
     empty = F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.regexp_count(F.coalesce(text_col, empty), F.lit(WORD)).cast("long").alias("n_tokens"))
@@ -100,8 +106,14 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, int]], budget_share: fl
         placed = cut.drop("before").join(bucket, [*LEVELS, "bucket"])
         done.append(placed.where(F.col("whole") | ~F.col("begun")).withColumn("taken", F.col("whole")).drop("bucket", "begun", "whole"))
         live = materialize(placed.where(~F.col("whole") & F.col("begun")).drop("bucket", "begun", "whole"), "split")
-    order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = live.withColumn("taken", F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest"))
+    by_id = live.groupBy(*LEVELS, "key", F.col("doc_id").alias("_id")).agg(F.sum("n_tokens").alias("n"), F.first("before").alias("_before"), F.first("rest").alias("_rest"))
+    order = Window.partitionBy(*LEVELS).orderBy("key", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_id = by_id.withColumn("taken", F.col("_before") + F.sum("n").over(order) <= F.col("_rest")).select(*LEVELS, "key", "_id", "taken")
+    by_id = by_id.select(*[F.col(c).alias(f"_{c}") for c in (*LEVELS, "key")], "_id", "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    for c in (*LEVELS, "key"):
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    out = live.join(by_id, same).select(*live.columns, "taken")
     for part in done:
         out = out.unionByName(part)
     return out.select("doc_id", *LEVELS, "n_tokens", (F.col("epoch") + F.col("taken").cast("long")).alias("repeats"))

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.text import parts
 from lodestone.llm.tokens import WordBpe
 from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import broadcast_if_small
 
 CAPACITY = 2048
 
@@ -112,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, block = WordBpe.load(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in parts(batches, 1):
             row, number, start, length, crc, rank = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 packed = bpe.packed(text.as_buffer().to_pybytes()) + b"\0\0\0\0"
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_c
     slots = Slots(minimum_bin_slack(counts, capacity), capacity)
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = per_block.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = made.join(base, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
+    ranked = made.join(broadcast_if_small(base), ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     kind = made.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import broadcast_if_small
 
 BITS = 60
 #: Bits by which a round looks deeper into oversized buckets.
@@ -20,7 +21,7 @@ def hash_bits(key: Column) -> Column:
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, h, bytes, depth, prefix, shard_bytes) for rows (doc_id, h, bytes).
+    """(doc_id, h, bytes, row, depth, prefix, shard_bytes) for rows (doc_id, h, bytes, row).
 
     A bucket is the rows whose hash begins with the ``depth`` bits of ``prefix``. Starting from one
     bucket of all rows, only buckets above ``limit`` bytes are split on their next bit; those whose
@@ -41,10 +42,10 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         fits = node.where((F.col("bytes") <= limit) | (F.col("first") == F.col("last"))).select("depth", "prefix", F.col("bytes").alias("shard_bytes"))
         leaf = levels.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"])
         leaf = leaf.groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
-        joined = materialize(pending.withColumn("fine", F.shiftright("h", low)).join(leaf, "fine", "left").select("doc_id", "h", "bytes", "leaf.depth", "leaf.prefix", "leaf.shard_bytes"), "shards")
+        joined = materialize(pending.withColumn("fine", F.shiftright("h", low)).join(broadcast_if_small(leaf), "fine", "left").select("doc_id", "h", "bytes", "row", "leaf.depth", "leaf.prefix", "leaf.shard_bytes"), "shards")
         settled = joined.where("depth is not null")
         done = settled if done is None else done.unionByName(settled)
-        pending = joined.where("depth is null").select("doc_id", "h", "bytes")
+        pending = joined.where("depth is null").select("doc_id", "h", "bytes", "row")
         if pending.isEmpty():
             break
     return done
@@ -54,20 +55,24 @@ def shard(docs: DataFrame, *, limit: int = SHARD_BYTES, id_col: str = "doc_id",
     """One row per document: doc_id, bytes (of the text in UTF-8), shard, depth, shard_bytes.
 
     Every shard holds ``limit`` bytes at most, but for a single document that is larger. ``shard`` is
-    the bucket's hash prefix in binary, a colon and a page number. The page is 0 unless rows of one
-    hash (repeats of an id) together exceed the limit; these fill pages in order. Null texts have no
+    the bucket's hash prefix in binary, a colon and a page. The page is 0 unless rows of one hash
+    (repeats of an id) together exceed the limit; these are dealt to parts of about the limit, so
+    that no task has all of them, and fill the pages (part.page) of a part in order. Null texts have no
     bytes; a null id hashes like empty text; other columns are ignored; an empty table gives an empty
     result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), hash_bits(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), hash_bits(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"))
     out = directory(materialize(rows, "keys"), limit)
     name = F.lpad(F.bin("prefix"), F.col("depth"), "0")
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(name)
     fits = out.where(F.col("shard_bytes") <= limit).select("doc_id", "bytes", F.concat(name, F.lit(":0")).alias("shard"), "depth", "shard_bytes")
-    same = Window.partitionBy("h")
-    order = same.orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    paged = out.where(F.col("shard_bytes") > limit).withColumn("most", F.max("bytes").over(same)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).withColumn("n", F.row_number().over(same.orderBy("bytes", "doc_id")) - 1)
+    # rows of one hash are dealt to parts of about the limit, and each part is cut to pages on its own
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("shard_bytes") / F.lit(limit)).cast("long"))
+    paged = out.where(F.col("shard_bytes") > limit).withColumn("part", part)
+    same = Window.partitionBy("h", "part")
+    order = same.orderBy("bytes", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    paged = paged.withColumn("most", F.max("bytes").over(same)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).withColumn("n", F.row_number().over(same.orderBy("bytes", "doc_id", "row")) - 1)
     page = F.when(2 * F.col("most") > limit, F.col("n").cast("long")).otherwise(F.floor(F.col("before") / (F.lit(limit) - F.col("most"))))
-    paged = paged.withColumn("page", page).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "page")))
-    paged = paged.select("doc_id", "bytes", F.concat(name, F.lit(":"), F.col("page").cast("string")).alias("shard"), "depth", "shard_bytes")
+    paged = paged.withColumn("page", page).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "part", "page")))
+    paged = paged.select("doc_id", "bytes", F.concat(name, F.lit(":"), F.col("part").cast("string"), F.lit("."), F.col("page").cast("string")).alias("shard"), "depth", "shard_bytes")
     return fits.unionByName(paged)

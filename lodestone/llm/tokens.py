@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import regex
 
-#: Words that a worker remembers, at about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Bytes of words and their ids that a worker remembers, beyond which the memory starts anew; what a word costs besides
+#: its own bytes, and the longest word that is remembered.
+REMEMBERED = 128 << 20
+WORD_BYTES = 150
+LONG = 1024
 # How the vocabulary's own pre-tokenizer cuts a lower-cased word.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Visible ASCII and Latin-1: normal form C and lower-casing act on each such character alone.
@@ -37,6 +40,7 @@ class WordBpe:
         self.letters = _byte_letters()
         self.words = _Words(self)
         self.pieces: dict[str, bytes] = {}
+        self.bytes = 0
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":
@@ -49,7 +53,10 @@ class WordBpe:
         found = self.pieces.get(piece)
         if found is None:
             shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            if len(piece) <= LONG:
+                self.pieces[piece] = found
+                self.bytes += WORD_BYTES + len(piece) + len(found)
         return found
 
     def word(self, data: bytes) -> bytes:
@@ -67,10 +74,10 @@ class WordBpe:
 
     def packed(self, text: bytes) -> bytes:
         """Four bytes per id of a text in UTF-8 (split() of bytes splits at ASCII white space only)."""
-        if len(self.words) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.words.clear()
-        if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
+            self.bytes = 0
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -81,5 +88,8 @@ class _Words(dict):
         self.bpe = bpe
 
     def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = self.bpe.word(word)
+        found = self.bpe.word(word)
+        if len(word) <= LONG:
+            self[word] = found
+            self.bpe.bytes += WORD_BYTES + len(word) + len(found)
         return found

@@ -207,6 +207,40 @@ def test_secret_spans(docs):
     assert secrets.scan_secrets(docs([])).count() == 0
 
 
+def test_secrets_of_the_table(spark):
+    import hashlib
+    import os
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    from lodestone.llm.queries import QUERIES
+
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = {r.doc_id: r for r in QUERIES["op5_secret_scan"](spark, sf).collect()}
+    seen = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m.group(1)) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+        n, mine = Counter(s[2] for s in spans), got[r.doc_id]
+        assert (mine.n_assign, mine.n_access, mine.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert mine.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        rest = mine.spans.split(",") if mine.spans else []
+        assert [s for s in rest if not s.startswith("entropy_")] == (joined.split(",") if joined else [])
+        for s in rest:
+            kind, a, b = s.split(":")
+            seen[kind] += 1
+            if kind.startswith("entropy_"):
+                _, characters, window, least = next(c for c in secrets.CLASSES if c[0] == kind)
+                part = text[int(a) : int(b)]
+                assert set(part) <= characters and any(entropy(part[i : i + window]) >= least - 1e-9 for i in range(len(part) - window + 1))
+    assert seen["assign"] and seen["access"] + seen["hex"]
+
+
 # --- sharding --------------------------------------------------------------------------------
 
 
@@ -231,6 +265,7 @@ def test_sharding(docs):
         for d in range(r.depth + 1):
             total[r.shard.split(":")[0][:d]] += r.bytes
     assert all(total[p[:-1]] > limit for p in prefixes if p)
+    assert len({r.shard for r in got if r.doc_id == 700}) >= 2
     assert sharding.shard(docs([]), limit=limit).count() == 0
 
 
@@ -264,6 +299,26 @@ def test_mixing(docs):
     assert mixing.mix(docs([]), weights=weights).count() == 0
 
 
+def test_weight_zero_gives_its_part_to_others(docs):
+    rows = [(i, "w " * 10, lang, source) for i, (lang, source) in enumerate([("en", "src1")] * 10 + [("en", "src2")] * 10 + [("de", "src1")] * 20)]
+    weights = {"lang": {"en": 1, "de": 1}, "source": {"src2": 0}}
+    got = mixing.mix(docs(rows), weights=weights, budget_share=1.0, max_epochs=1).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.lang, r.source] += r.n_tokens * r.repeats
+    assert taken == {("en", "src1"): 100, ("en", "src2"): 0, ("de", "src1"): 200}
+    rows = [(i, "w " * 10, "en", "src1") for i in range(10)] + [(i, "w " * 10, "de", "src5") for i in range(10, 30)] + [(i, "w " * 10, "fr", "src1") for i in range(30, 60)]
+    got = mixing.mix(docs(rows), weights={"lang": {"fr": 0}}, budget_share=0.5, max_epochs=1).collect()
+    assert sum(r.n_tokens * r.repeats for r in got) == 300 and all(r.repeats == (r.lang != "fr") for r in got)
+
+
+def test_mixing_of_rows_without_id(docs):
+    rows = [(None, "w w w", "en", "src1")] * 300 + [(i, "w w w", "en", "src1") for i in range(300)]
+    got = mixing.mix(docs(rows), weights={}, budget_share=0.4, max_epochs=1).collect()
+    assert len(got) == 600 and len({r.repeats for r in got if r.doc_id is None}) == 1
+    assert sum(r.n_tokens * r.repeats for r in got) <= 0.4 * 1800
+
+
 def fill(budget, children):
     """name -> share: by weight, none above its cap, the rest to the others again."""
     share, open_ = {}, dict(children)
