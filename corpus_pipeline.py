@@ -12,7 +12,7 @@ from lodestone.llm.mixing import apply_mix, mix
 from lodestone.llm.packing import pack
 from lodestone.llm.queries import MIX, tokenizer_path
 from lodestone.llm.simhash import keep_representatives
-from lodestone.plans.scratch import materialize
+from lodestone.plans.scratch import mark, materialize, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage has written besides its result goes when that is written."""
+    docs, keep = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        made, held = stage(spark, docs, sf_dir), mark()
+        docs = materialize(made, name)
+        release(keep | (mark() - held))
     return STAGES[-1][1](spark, docs, sf_dir)
