@@ -114,8 +114,14 @@ def share_of(text: Column, inside: str, among: str = r"\p{L}") -> Column:
     return n(inside) / F.nullif(n(among), F.lit(0))
 
 
+def arabic_share(text: Column) -> Column:
+    """Letters of the Arabic blocks among all letters; signs and digits count nowhere. Null without letters."""
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    return share_of(letters, r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿")
+
+
 def is_arabic(text: Column, least: float = 0.2) -> Column:
-    return F.coalesce(share_of(text, r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿") >= least, F.lit(False))
+    return F.coalesce(arabic_share(text) >= least, F.lit(False))
 
 
 def text_quality_ok(text: Column) -> Column:
@@ -163,6 +169,21 @@ def slug(text: Column, most: int = 40) -> Column:
     return F.when(short == "", F.lit("node")).otherwise(short)
 
 
+def unique_slugs(slugs: Column) -> Column:
+    """An array of slugs with a number, from _2, behind those that were there before; a name so made is taken too."""
+    def free(taken: Column, s: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat_ws("_", s, n.cast("string")))
+        return F.when(F.array_contains(taken, s), F.filter(made, lambda m: ~F.array_contains(taken, m))[0]).otherwise(s)
+
+    return F.aggregate(slugs, F.array().cast("array<string>"), lambda taken, s: F.array_append(taken, free(taken, s)))
+
+
+def display_name(filename: Column) -> Column:
+    """A file's name for readers: no suffix, underscores as blanks, a leading PCN01 as P-CN-01."""
+    stem = F.translate(F.regexp_replace(filename, r"(?i)\.pdf$", ""), "_", " ")
+    return F.trim(F.regexp_replace(stem, r"^([PM])([A-Z]{2,3})(\d{2})\b", "$1-$2-$3"))
+
+
 def normal_label(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 

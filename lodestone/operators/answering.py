@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.masking import masked_for_translation, unmasked_translation
 from lodestone.functions.text import is_arabic, strip_reasoning, workflow_intent
 from lodestone.operators.retrieval import context_budget
 from lodestone.operators.validation import format_context, validate
@@ -52,6 +53,17 @@ def generate(prompts: DataFrame, generator: Generator, prompt: str = "prompt") -
     return out.withColumn("response", strip_reasoning(F.col("response")))
 
 
+def translate(rows: DataFrame, generator: Generator, *, to_english: bool, text: str = "text", out: str = "translated") -> DataFrame:
+    """``rows`` with ``out``: the text in the other language, codes and glossary terms kept by masks.
+
+    Where the generator fails the text stays as it is and ``error_type`` says why.
+    """
+    asked = rows.withColumn("_m", masked_for_translation(F.col(text), to_english)).withColumn("_prompt", F.col("_m.prompt"))
+    said = generate(asked, generator, "_prompt")
+    back = unmasked_translation(F.col("response"), F.col("_m.codes"), F.col("_m.terms"))
+    return said.withColumn(out, F.when(F.col("error_type").isNull(), back).otherwise(F.col(text))).drop("_m", "_prompt", "response")
+
+
 def answer(questions: DataFrame, hits: DataFrame, generator: Generator, whitelist: DataFrame, budget: int = 18_000) -> DataFrame:
     """Checked answers to (answer_id, question) from ranked hits (answer_id, rank, filename, section, label, text, n_chars)."""
     size = (F.col("n_chars") + F.char_length("filename") + 16).cast("long")

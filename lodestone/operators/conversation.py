@@ -95,7 +95,7 @@ def followup_gate(messages: DataFrame, query: str = "query", has_history: str =
     acronyms = F.transform(F.regexp_extract_all(raw, F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)), F.lower)
     vocab = F.array_union("_w", F.transform(F.filter("_w", lambda w: F.contains(w, F.lit("'"))), _stem))
     listed = lambda words: F.array_sort(F.array_intersect(vocab, F.array(*[F.lit(w) for w in words])))
-    clauses = F.slice(F.split("_q", "[,;.]"), 2, 1_000)
+    clauses = F.slice(F.split("_q", "[,;.]"), F.lit(2), F.size(F.split("_q", "[,;.]")))
     heads = F.concat(F.slice("_w", 1, HEAD_WORDS), F.array_compact(F.transform(clauses, lambda c: F.try_element_at(_words(c), F.lit(1)))))
     fragment = F.lit(False)
     for start in FRAGMENT_STARTS:

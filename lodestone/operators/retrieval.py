@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -159,36 +158,32 @@ def context_budget(ranked: DataFrame, size: Column, budget: int) -> DataFrame:
 def mix_floor(scored: DataFrame, k: int, floor: int = 2, rel_floor: float = 0.55, intent: str = "intent") -> DataFrame:
     """The k best of each question; where ``intent`` holds, diagrams and prose keep seats.
 
-    At most 2k + k rows a question reach the second step: its k best overall and of each population.
-    The weakest of the population with too many seats make room, in two passes, for rows of at
-    least ``rel_floor`` of the best score.
+    Every population is a list in order of score, of which a first part is seated. Diagrams lack
+    ``floor`` seats (a third of k at most), then prose a third of k: who lacks seats moves up its own
+    list as far as scores reach ``rel_floor`` of the best, and the other list ends that much earlier.
+    So the seats of both lists are two numbers per question, and rows are kept by their place.
     """
     order = [F.desc("fused"), F.desc("bm25"), F.col("id")]
-    seats = scored.withColumn("_all", F.row_number().over(_q().orderBy(*order)))
-    seats = seats.withColumn("_own", F.row_number().over(Window.partitionBy("question_id", "is_workflow").orderBy(*order)))
-    seats = seats.where((F.col("_all") <= k) | (F.col("_own") <= k)).drop("_own")
-    cap = max(1, k // 3)
-
-    def mix(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_all")
-        ranked = list(rows.head(k).itertuples())
-        if rows[intent].iloc[0] and floor > 0:
-            top = max((r.fused for r in ranked), default=0.0)
-            bar = top * rel_floor if top > 0 else float("-inf")
-            for want, side in ((min(floor, cap), True), (cap, False)):
-                have, chosen = sum(r.is_workflow == side for r in ranked), {r.Index for r in ranked}
-                spare = [r for r in rows.itertuples() if r.is_workflow == side and r.Index not in chosen and r.fused >= bar]
-                extra = spare[: max(0, want - have)]
-                if extra:
-                    other = [r for r in ranked if r.is_workflow != side]
-                    kept = other[: max(0, len(other) - len(extra))]
-                    ranked = sorted([r for r in ranked if r.is_workflow == side] + kept + extra, key=lambda r: -r.fused)
-        out = rows.loc[[r.Index for r in ranked]].drop(columns="_all")
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    schema = scored.withColumn("rank", F.lit(0)).schema
-    return seats.groupBy("question_id").applyInPandas(mix, schema)
+    side = Window.partitionBy("question_id", "is_workflow")
+    rows = scored.withColumn("_all", F.row_number().over(_q().orderBy(*order))).withColumn("_own", F.row_number().over(side.orderBy(*order)))
+    rows = rows.where((F.col("_all") <= k) | (F.col("_own") <= k))
+    best = F.max("fused").over(_q())
+    bar = F.when(best > 0, best * rel_floor)
+    rows = rows.withColumn("_fits", bar.isNull() | (F.col("fused") >= bar))
+    of = lambda when, wf: F.count_if(when & (F.col("is_workflow") == wf)).over(_q())
+    first = F.col("_all") <= k
+    rows = rows.withColumn("_w", of(first, True)).withColumn("_p", of(first, False)).withColumn("_w_fit", of(F.col("_fits"), True)).withColumn("_p_fit", of(F.col("_fits"), False))
+    third = max(1, k // 3)
+    up = lambda have, want, fit: F.greatest(F.least(F.lit(want), F.col(fit)) - have, F.lit(0))
+    w, p = F.col("_w"), F.col("_p")
+    gain = up(w, min(floor, third), "_w_fit")
+    w, p = w + gain, F.greatest(p - gain, F.lit(0))
+    gain = up(p, third, "_p_fit")
+    w, p = F.greatest(w - gain, F.lit(0)), p + gain
+    mixed = F.col(intent) & F.lit(floor > 0)
+    seated = F.when(mixed, F.col("_own") <= F.when(F.col("is_workflow"), w).otherwise(p)).otherwise(first)
+    out = rows.where(seated).withColumn("rank", F.row_number().over(_q().orderBy("_all")))
+    return out.select(*scored.columns, "rank")
 
 
 def hybrid_search(scored: DataFrame, *, k: int = 6, mode: str = "weighted", family_boost: float = 0.15, workflow_boost: float = 0.06, floor: int = 2, min_rel: float = 0.55, min_hits: int = 3) -> DataFrame:

@@ -45,7 +45,7 @@ def connector_fragments(spark, sf_dir):
     s = segments(spark, sf_dir)
     grid = lambda c: (F.floor(F.col(c) / 50) * 50).cast("double").alias(c)
     label = F.when(F.col("conn") % 5 == 0, F.concat(F.lit("over "), F.col("conn").cast("string"))).alias("label")
-    return D.merge_fragments(s.select("page", "conn", *map(grid, ("ax", "ay", "bx", "by")), label))
+    return D.merge_fragments(s.select("page", "conn", *map(grid, ("ax", "ay", "bx", "by")), label)).drop("members")
 
 
 @query(r"""WITH p AS (SELECT c_nationkey AS page, 'Over ' || CAST(floor(c_acctbal) AS BIGINT) || ' K' AS text, c_custkey FROM customer),

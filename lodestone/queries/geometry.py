@@ -78,9 +78,4 @@ def content_boxes(spark, sf_dir):
 
 @query()
 def cluster_spans(spark, sf_dir):
-    return G.cluster_spans(spans(spark, sf_dir))
-
-
-@query()
-def page_tiles(spark, sf_dir):
-    return G.tiles(G.content_box(boxes(spark, sf_dir)), 200.0)
+    return G.cluster_spans(spans(spark, sf_dir)).drop("size", "spans")

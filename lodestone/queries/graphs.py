@@ -111,7 +111,7 @@ def edge_set_diff(spark, sf_dir):
 
 @query(f"WITH {GRAPH_SQL} SELECT e.graph, trim(condition) AS condition, label AS approver FROM e JOIN n ON n.graph = e.graph AND n.id = e.dst WHERE regexp_matches(coalesce(condition, ''), '(?i)\\b\\d[\\d,\\.]*\\s*(?:K|M|EGP|LE)\\b')")
 def escalation_thresholds(spark, sf_dir):
-    return G.escalation(*both(spark, sf_dir))
+    return G.escalation(*both(spark, sf_dir)).drop("pos")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, u AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e),

@@ -30,7 +30,7 @@ def test_families(spark):
 
 
 def test_language_and_quality(spark):
-    for t, want in (("hello world", False), ("ما هو النموذج", True), ("ما P-CM-01", True), ("123 !!", False)):
+    for t, want in (("hello world", False), ("ما هو النموذج", True), ("ما P-CM-01", True), ("123 !!", False), ("hello ؟؟", False), ("hello world ٣٤٥", False), ("؟؟", False)):
         assert one(spark, T.is_arabic(F.col("t")), t=t) is want
     for t, want in (("A page of ordinary text, long enough.", True), ("short", False), ("1234567890 1234567890 ab", False), (None, False)):
         assert one(spark, T.text_quality_ok(F.col("t")), t=t) is want
@@ -51,14 +51,45 @@ def test_answers(spark):
 
 def test_masking_round_trip(spark):
     text = "use F-P-CM-01-02 and p-tn-02"
-    masked, codes = M.mask_codes_text(text)
-    assert masked == "use ZQ0ZQ and ZQ1ZQ"
-    assert M.unmask_codes_text(masked, codes) == text
-    assert M.unmask_codes_text("zq 1 zq only", codes) == "p-tn-02 only (F-P-CM-01-02)"
+    masked = one(spark, M.mask_codes(F.col("t")), t=text)
+    assert tuple(masked) == ("use ZQ0ZQ and ZQ1ZQ", ["F-P-CM-01-02", "p-tn-02"])
+    codes = F.array(*[F.lit(c) for c in masked.found])
+    assert one(spark, M.unmask_codes(F.col("t"), codes), t=masked.masked) == text
+    assert one(spark, M.unmask_codes(F.col("t"), codes), t="zq 1 zq only  ") == "p-tn-02 only (F-P-CM-01-02)"
+    assert one(spark, M.unmask_codes(F.col("t"), codes), t="ZQ0ZQ, ZQ1ZQ, ZQ1ZQ, ZQ9ZQ and ZQ99999999999ZQ") == "F-P-CM-01-02, p-tn-02, p-tn-02, ZQ9ZQ and ZQ99999999999ZQ"
     arabic = "من يوقع بعد مدير المشروع في قسم المشتريات"
-    masked, terms = M.mask_terms_text(arabic)
-    assert terms == ["PM", "Purchasing"] and "مدير المشروع" not in masked
-    assert M.unmask_terms_text("who", terms) == "who (PM Purchasing)"
-    assert M.mask_terms_text("the CMS and CM", english=True) == ("the CMS and GZ0GZ", ["CM"])
+    masked = one(spark, M.mask_terms(F.col("t")), t=arabic)
+    assert masked.found == ["PM", "Purchasing"] and "مدير المشروع" not in masked.masked
+    assert one(spark, M.unmask_terms(F.col("t"), F.array(F.lit("PM"), F.lit("Purchasing"))), t="who   ") == "who (PM Purchasing)"
+    # towards Arabic the preferred Arabic form is what comes back
+    masked = one(spark, M.mask_terms(F.col("t"), english=True), t="the CMS, Commercial Dept. and CM")
+    assert tuple(masked) == ("the CMS, GZ0GZ and GZ1GZ", ["قسم التجارة", "مدير الإنشاءات"])
     df = spark.createDataFrame([(text,), (None,)], "t string").withColumn("m", M.mask_codes(F.col("t")))
     assert [r[0] for r in df.select(M.unmask_codes(F.col("m.masked"), F.col("m.found"))).collect()] == [text, ""]
+
+
+def test_translation(spark):
+    from lodestone.operators.answering import translate
+
+    for said, want in (("Translation: the form", "the form"), ("«the form»", "the form"), ("English text here", "English text here"), ('"a" and "b"', 'a" and "b'), (None, ""), ("'", "'")):
+        assert one(spark, M.clean_translation(F.col("t")), t=said) == want
+    hints = M.hint_block()
+    assert all(x in hints for x in (*M.GLOSSARY, *M.AMBIGUOUS)) and hints.index("CEO") < hints.index("Tendering")
+
+    def model(prompt):
+        if "fail" in prompt:
+            raise TimeoutError
+        last = prompt.split("\n\n")[-1]
+        return f'Translation: "{last[::1].replace("من", "who")}"' if "GZ0GZ" in last else "lost it all"
+
+    rows = spark.createDataFrame([(1, "من مدير المشروع F-P-CM-01-02"), (2, "P-CM-01 بعد"), (3, "fail")], "id int, text string")
+    got = {r.id: (r.translated, r.error_type) for r in translate(rows, model, to_english=True).collect()}
+    assert got == {1: ("who PM F-P-CM-01-02", None), 2: ("lost it all (P-CM-01)", None), 3: ("fail", "timeout")}
+    back = translate(spark.createDataFrame([("ask the PM about P-CM-01",)], "text string"), lambda p: p.split("\n\n")[-1], to_english=False).first()
+    assert back.translated == "ask the مدير المشروع about P-CM-01"
+
+
+def test_names(spark):
+    assert one(spark, T.display_name(F.col("t")), t="PCN01_Subcontract_Form.PDF") == "P-CN-01 Subcontract Form"
+    assert one(spark, T.display_name(F.col("t")), t="Bonds Request - WF.pdf") == "Bonds Request - WF"
+    assert one(spark, T.unique_slugs(F.array(*[F.lit(s) for s in ("a", "a", "a_2", "b", "a")])), t="") == ["a", "a_2", "a_2_2", "b", "a_3"]
