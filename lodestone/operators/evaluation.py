@@ -2,14 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lodestone.plans.scratch import materialize
+
+
+#: Passages that go to all tasks at once.
+PASSAGES = 5_000
 
 
 def gold_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(question_id, id): documents that hold the whole passage."""
-    pairs = docs.join(F.broadcast(items.select("question_id", "passage")) if items.limit(5_001).count() <= 5_000 else items.select("question_id", "passage"), F.contains(F.col("text"), F.col("passage")))
-    return pairs.select("question_id", "id")
+    """(question_id, id): documents that hold the whole passage, character by character.
+
+    The passages, a stated set, are an automaton (Aho-Corasick) that reads each text once, whatever
+    their number. Items without a passage have no gold. Documents stay where they are.
+    """
+    import ahocorasick
+
+    spark = docs.sparkSession
+    held = materialize(items.where("passage <> ''").select("question_id", "passage"), "passages")
+    turns = max(1, -(-held.count() // PASSAGES))
+    kind, qkind = docs.schema["id"].dataType.simpleString(), items.schema["question_id"].dataType.simpleString()
+    out = None
+    for turn in range(turns):
+        by_text: dict[str, list] = {}
+        for r in held.where(F.pmod(F.xxhash64("question_id"), F.lit(turns)) == turn).collect():
+            by_text.setdefault(r["passage"], []).append(r["question_id"])
+        sent = spark.sparkContext.broadcast(by_text)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for text, ids in sent.value.items():
+                machine.add_word(text, (text, ids))
+            if not len(machine):
+                return
+            machine.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for i, text in enumerate(batch.column(1)):
+                    seen = {t: ids for _, (t, ids) in machine.iter(text.as_py())} if text.is_valid else {}
+                    for ids in seen.values():
+                        rows += [i] * len(ids)
+                        found += ids
+                yield pa.RecordBatch.from_arrays([pa.array(found, qtype), batch.column(0).take(pa.array(rows, pa.int64()))], ["question_id", "id"])
+
+        qtype = to_arrow_type(items.schema["question_id"].dataType)
+        part = docs.select("id", "text").mapInArrow(run, f"question_id {qkind}, id {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hits(ranked: DataFrame, gold: DataFrame, at: list[int]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Lexical, dense and hybrid retrieval for batches of questions."""
+"""What is done with the best chunks of each question; scoring itself is in :mod:`lodestone.operators.search`."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lodestone.functions.text import tokenize
-from lodestone.functions.vector import inner_product, span_scaled
+from lodestone.functions.text import singular
 from lodestone.plans.sizes import broadcast_if_small
 
 K1, B, FLOOR_SHARE, RRF_K, DENSE_WEIGHT = 1.5, 0.75, 0.25, 60, 0.4
@@ -17,55 +16,15 @@ K1, B, FLOOR_SHARE, RRF_K, DENSE_WEIGHT = 1.5, 0.75, 0.25, 60, 0.4
 
 
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term) with repeats."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokenize(F.col(text_col))).alias("term"))
+    """(id, term) with repeats: words are put in the singular after they are rows, inside generated code."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).select("id", singular(F.col("word")).alias("term"))
 
 
 def vocabulary(docs: DataFrame, **kw) -> DataFrame:
     return terms(docs, **kw).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.size(tokenize(F.col(text_col))).cast("long").alias("dl"))
-
-
-def idf_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: bool = True) -> DataFrame:
-    """(term, df, idf): ln(N - df + 0.5) - ln(df + 0.5); negative values become FLOOR_SHARE times the mean.
-
-    A document names each of its terms once, so df needs one aggregation, combined map-side. The
-    table is over the whole corpus: routing filters candidates, never these counts.
-    """
-    once = docs.select(F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    out = once.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row
-    out = out.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "raw")
-    if not floor:
-        return out.withColumnRenamed("raw", "idf")
-    mean = out.agg(F.avg("raw").alias("mean"))
-    out = out.crossJoin(F.broadcast(mean))  # one row
-    return out.select("term", "df", F.when(F.col("raw") < 0, FLOOR_SHARE * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def bm25_scores(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", floor: bool = True) -> DataFrame:
-    """(question_id, id, bm25) of all pairs that share a term.
-
-    Only terms that a question has are counted per document: questions' terms meet the exploded
-    tokens before the first shuffle. A term that a question repeats counts as often.
-    """
-    asked = terms(questions, "question_id", "query").groupBy(F.col("id").alias("question_id"), "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = broadcast_if_small(asked.select("term").distinct())
-    length = document_lengths(docs, id_col, text_col)
-    average = length.agg(F.avg("dl").alias("avgdl"))
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("t"))
-    rows = tokens.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    tf = rows.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = idf_table(docs, id_col, text_col, floor).join(wanted, "term", "left_semi")
-    scored = tf.join(weight, "term").crossJoin(F.broadcast(average))  # one row
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = scored.select("id", "term", gain.alias("gain"))
-    return scored.join(asked, "term").groupBy("question_id", "id").agg(F.round(F.sum(F.col("gain") * F.col("times")), 6).alias("bm25"))
-
-
 def best(scored: DataFrame, score: str, k: int, *ties: Column | str) -> DataFrame:
     """The k best rows of each question, with ``rank`` from 1."""
     order = Window.partitionBy("question_id").orderBy(F.desc(score), *(ties or ("id",)))
@@ -85,54 +44,12 @@ def global_rank(rows: DataFrame, score: str, buckets: int = 10_000) -> DataFrame
     return keyed.join(base, "_b").withColumn("rank", (F.col("_base") + own).cast("int")).drop("_b", "_base")
 
 
-def dense_scores(vectors: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, id, dense) of every question (question_id, vector) with every row (id, vector).
-
-    The question side is a stated set: it is sent to every task if small, and the rows stay put.
-    """
-    asked = broadcast_if_small(questions.select("question_id", F.col("vector").alias("asked")))
-    pairs = vectors.crossJoin(asked)
-    return pairs.select("question_id", "id", F.round(inner_product(F.col("vector"), F.col("asked")), 6).alias("dense"))
-
-
-# --- fusion, boosts, cutoffs -----------------------------------------------------------------
+# --- cutoffs and seats -----------------------------------------------------------------------
 
 def _q() -> WindowSpec:
     return Window.partitionBy("question_id")
 
 
-def channels(candidates: DataFrame, bm25: DataFrame) -> DataFrame:
-    """Every candidate (question_id, id, dense, ...) with its lexical score; 0 where it shares no term."""
-    return candidates.join(bm25, ["question_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-
-
-def fuse_weighted(scored: DataFrame, dense_weight: float = DENSE_WEIGHT) -> DataFrame:
-    """``fused``: both channels min-max scaled over the question's candidates, then weighted."""
-    part = lambda c: span_scaled(F.col(c), F.min(c).over(_q()), F.max(c).over(_q()))
-    return scored.withColumn("fused", F.round((1 - dense_weight) * part("bm25") + dense_weight * part("dense"), 6))
-
-
-def fuse_rrf(scored: DataFrame, k: int = RRF_K) -> DataFrame:
-    """``fused``: the sum of reciprocal ranks of both channels."""
-    rank = lambda c: F.row_number().over(_q().orderBy(F.desc(c), "id"))
-    return scored.withColumn("fused", F.round(1 / (k + rank("bm25")) + 1 / (k + rank("dense")), 6))
-
-
-def fuse(scored: DataFrame, mode: str) -> DataFrame:
-    if mode == "weighted":
-        return fuse_weighted(scored)
-    if mode == "rrf":
-        return fuse_rrf(scored)
-    raise ValueError(f"unknown fusion: {mode!r}")
-
-
-def boost(scored: DataFrame, member: Column, share: float) -> DataFrame:
-    """Members gain ``share`` of the question's present range of scores."""
-    low, high = F.min("fused").over(_q()), F.max("fused").over(_q())
-    span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-    return scored.withColumn("fused", F.round(F.col("fused") + F.when(F.coalesce(member, F.lit(False)), share * span).otherwise(F.lit(0.0)), 6))
-
-
 def route(candidates: DataFrame, present: DataFrame, family: str = "family", routes: str = "routes") -> DataFrame:
     """Candidates of the routed families, and those without a family; all of them if no routed family is ``present``."""
     known = broadcast_if_small(present.agg(F.collect_set(family).alias("_known")))
@@ -186,8 +103,6 @@ def mix_floor(scored: DataFrame, k: int, floor: int = 2, rel_floor: float = 0.55
     return out.select(*scored.columns, "rank")
 
 
-def hybrid_search(scored: DataFrame, *, k: int = 6, mode: str = "weighted", family_boost: float = 0.15, workflow_boost: float = 0.06, floor: int = 2, min_rel: float = 0.55, min_hits: int = 3) -> DataFrame:
-    """Fusion, boosts, seats and cutoff over :func:`channels` with columns boosted, is_workflow, intent."""
-    fused = boost(fuse(scored, mode), F.col("boosted"), family_boost)
-    fused = boost(fused, F.col("is_workflow") & F.col("intent"), workflow_boost)
-    return cutoff(mix_floor(fused, k, floor), min_rel, min_hits)
+def hybrid_search(seats: DataFrame, *, k: int = 6, floor: int = 2, min_rel: float = 0.55, min_hits: int = 3) -> DataFrame:
+    """Seats and cutoff over the k best of each population (see ``Search.top`` with ``sides``)."""
+    return cutoff(mix_floor(seats, k, floor), min_rel, min_hits)

@@ -9,10 +9,11 @@ from lodestone.functions.text import summarize
 from lodestone.operators import conversation as S
 from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
+from lodestone.operators.search import Search
 from lodestone.operators.spelling import repair_queries
 from lodestone.plans.scratch import materialize
 from lodestone.queries.registry import query
-from lodestone.queries.retrieval import ASKED, BM25, RANKED, TOP, WEIGHTED, pairs, ranked
+from lodestone.queries.retrieval import ASKED, BM25, RANKED, TOP, WEIGHTED, ranked, search
 from lodestone.sources.tables import chunks, questions, table
 
 GOLD_SQL = "gold AS (SELECT item_id AS question_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -23,7 +24,7 @@ def _gold(spark, sf_dir):
 
 
 def _bm25_hits(spark, sf_dir):
-    top = R.best(R.bm25_scores(table(spark, sf_dir, "documents"), questions(spark, sf_dir)), "bm25", 5)
+    top = Search(chunks(spark, sf_dir).select("id", "text"), questions(spark, sf_dir)).top("bm25", 5, only_shared=True)
     return E.hits(top, _gold(spark, sf_dir), [1, 3, 5])
 
 
@@ -64,13 +65,9 @@ def sweep_grid(spark, sf_dir):
 @query(f"""WITH {WEIGHTED}, q AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS bm25_rank, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS dense_rank, {TOP} AS fused_rank FROM fu)
 SELECT question_id, id, CAST(bm25_rank AS INTEGER) AS bm25_rank, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM q WHERE id = question_id""")
 def channel_ranks(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    q = Window.partitionBy("question_id")
-    rank = lambda name, *o: F.row_number().over(q.orderBy(*o)).alias(name)
-    fused = R.fuse_weighted(pairs(spark, sf_dir))
-    out = fused.select("question_id", "id", rank("bm25_rank", F.desc("bm25"), "id"), rank("dense_rank", F.desc("dense"), "id"), rank("fused_rank", F.desc("fused"), F.desc("bm25"), "id"))
-    return out.where("id = question_id")
+    own = questions(spark, sf_dir).select("question_id", F.col("question_id").alias("id"))
+    out = search(spark, sf_dir).ranks(own, ["bm25", "dense", "weighted"])
+    return out.withColumnRenamed("weighted_rank", "fused_rank")
 
 
 @query("""WITH t AS (SELECT item_id, 'doc_' || (item_id * 3) AS doc, lower(left(text, 12)) AS target FROM benchmark), d AS (SELECT 'doc_' || doc_id AS doc, lower(text) AS body FROM documents)

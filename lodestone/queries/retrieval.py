@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import embed_text, route_families, singular, tokenize, workflow_intent
 from lodestone.operators import retrieval as R
-from lodestone.plans.sizes import broadcast_if_small
+from lodestone.operators.search import Search
 from lodestone.queries.registry import query
 from lodestone.sources.tables import chunks, questions, table, vectors
 
@@ -18,7 +18,7 @@ def tok(text: str) -> str:
       CASE WHEN length(w) > 3 AND w LIKE '%s' AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 1) ELSE w END)"""
 
 
-ASKED = """asked AS (SELECT item_id AS question_id, left(text, 80) AS query, text AS passage FROM benchmark)"""
+ASKED = """asked AS (SELECT item_id AS question_id, text AS query, text AS passage FROM benchmark)"""
 BM25 = f"""{ASKED},
 t AS (SELECT doc_id AS id, {tok('text')} AS t FROM documents),
 dl AS (SELECT id, len(t) AS dl FROM t),
@@ -31,13 +31,14 @@ qt AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unn
 bm AS (
   SELECT question_id, tf.id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * times), 6) AS bm25
   FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.id = tf.id, av GROUP BY question_id, tf.id)"""
+#: Every question with every document; what has no vector has dense scores of 0.
 PAIRS = f"""{BM25},
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ch AS (
-  SELECT a.question_id, c.id, d.source AS family, d.doc_id % 8 = 0 AS is_workflow, a.query,
-         round(list_inner_product(c.v, q.v), 6) AS dense, coalesce(bm25, 0) AS bm25
-  FROM asked a JOIN v q ON q.id = a.question_id JOIN v c ON true JOIN documents d ON d.doc_id = c.id
-  LEFT JOIN bm ON bm.question_id = a.question_id AND bm.id = c.id)"""
+  SELECT a.question_id, d.doc_id AS id, d.source AS family, d.doc_id % 8 = 0 AS is_workflow, a.query,
+         coalesce(round(list_inner_product(c.v, q.v), 6), 0.0) AS dense, coalesce(bm25, 0) AS bm25
+  FROM asked a CROSS JOIN documents d LEFT JOIN v q ON q.id = a.question_id LEFT JOIN v c ON c.id = d.doc_id
+  LEFT JOIN bm ON bm.question_id = a.question_id AND bm.id = d.doc_id)"""
 
 
 def span(c: str) -> str:
@@ -45,27 +46,34 @@ def span(c: str) -> str:
     return f"(({c} - {low}) / CASE WHEN {high} = {low} THEN 1.0 ELSE {high} - {low} END)"
 
 
+def boosted(name: str, before: str, member: str, share: float) -> str:
+    """SQL for ``before`` with members raised by a share of the range."""
+    return f"""{name}_s AS (SELECT *, max(fused) OVER w - min(fused) OVER w AS sp FROM {before} WINDOW w AS (PARTITION BY question_id)),
+{name} AS (SELECT * EXCLUDE (sp) REPLACE (round(fused + CASE WHEN {member} THEN {share} * CASE WHEN sp = 0 THEN 1.0 ELSE sp END ELSE 0.0 END, 6) AS fused) FROM {name}_s)"""
+
+
 WEIGHTED = f"""{PAIRS},
 fu AS (SELECT *, round((1 - 0.4) * {span('bm25')} + 0.4 * {span('dense')}, 6) AS fused FROM ch)"""
 TOP = "row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, bm25 DESC, id)"
 RANKED = f"""{WEIGHTED},
 r AS (SELECT *, CAST({TOP} AS INTEGER) AS rank FROM fu)"""
+OWN_FAMILY = "coalesce(family = 'src' || (question_id % 20), false)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions with their vectors and the family each is boosted by."""
+    q = F.col("question_id")
+    vec = vectors(spark, sf_dir).withColumnRenamed("id", "question_id")
+    return questions(spark, sf_dir).join(vec, "question_id", "left").withColumn("boost_family", F.concat(F.lit("src"), (q % 20).cast("string")))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with every chunk that has a vector: lexical and dense scores."""
-    asked = questions(spark, sf_dir)
-    vec = vectors(spark, sf_dir)
-    c = chunks(spark, sf_dir).select("id", "filename", "family", "is_workflow", F.char_length("text").alias("n_chars"))
-    q = asked.join(vec.withColumnRenamed("id", "question_id"), "question_id").select("question_id", "vector")
-    dense = R.dense_scores(vec.join(c.select("id"), "id", "left_semi"), q)
-    bm25 = R.bm25_scores(table(spark, sf_dir, "documents"), asked)
-    out = R.channels(dense, bm25).join(c, "id")
-    return out.join(broadcast_if_small(asked.select("question_id", "query")), "question_id")
+def search(spark: SparkSession, sf_dir: str, asked_by: DataFrame | None = None) -> Search:
+    c = chunks(spark, sf_dir).select("id", "family", "is_workflow", "text")
+    return Search(c, asked(spark, sf_dir) if asked_by is None else asked_by, vectors(spark, sf_dir))
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.best(R.fuse_weighted(pairs(spark, sf_dir)), "fused", k, F.desc("bm25"), "id")
+    return search(spark, sf_dir).top("weighted", k)
 
 
 @query(f"SELECT doc_id, array_to_string({tok('text')}, ' ') AS tokens, len({tok('text')}) AS n_tokens FROM documents")
@@ -81,21 +89,19 @@ def vocab_counts(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, sf_dir):
-    return R.idf_table(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    none = questions(spark, sf_dir).limit(0)
+    return Search(chunks(spark, sf_dir).select("id", "text"), none).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS INTEGER) AS rank FROM bm) SELECT question_id, rank, id, bm25 FROM r WHERE rank <= 3")
 def bm25_topk(spark, sf_dir):
-    scores = R.bm25_scores(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
-    return R.best(scores, "bm25", 3).select("question_id", "rank", "id", "bm25")
+    found = Search(chunks(spark, sf_dir).select("id", "text"), questions(spark, sf_dir)).top("bm25", 3, only_shared=True)
+    return found.select("question_id", "rank", "id", "bm25")
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ch) SELECT question_id, rank, id, dense FROM r WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
-    vec = vectors(spark, sf_dir)
-    held = vec.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    q = questions(spark, sf_dir).join(vec.withColumnRenamed("id", "question_id"), "question_id")
-    return R.best(R.dense_scores(held, q.select("question_id", "vector")), "dense", 5).select("question_id", "rank", "id", "dense")
+    return search(spark, sf_dir).top("dense", 5).select("question_id", "rank", "id", "dense")
 
 
 @query(f"WITH {RANKED} SELECT question_id, rank, id, fused FROM r WHERE rank <= 6")
@@ -111,8 +117,7 @@ fu AS (SELECT *, round(1 / (60 + a) + 1 / (60 + b), 6) AS fused FROM k),
 r AS (SELECT *, CAST({TOP} AS INTEGER) AS rank FROM fu)
 SELECT question_id, rank, id, fused FROM r WHERE rank <= 6""")
 def hybrid_rrf(spark, sf_dir):
-    out = R.best(R.fuse_rrf(pairs(spark, sf_dir)), "fused", 6, F.desc("bm25"), "id")
-    return out.select("question_id", "rank", "id", "fused")
+    return search(spark, sf_dir).rrf(6).select("question_id", "rank", "id", "fused")
 
 
 _ROUTED = """rt AS (
@@ -121,34 +126,32 @@ _ROUTED = """rt AS (
 
 @query(f"""WITH {PAIRS}, {_ROUTED},
 kn AS (SELECT list(DISTINCT source) AS known FROM documents),
-c AS (SELECT ch.*, list_intersect(routes, known) AS named FROM ch JOIN rt USING (question_id), kn)
-SELECT question_id, id, dense FROM c WHERE len(named) = 0 OR family IS NULL OR list_contains(named, family)""")
+c AS (SELECT ch.*, list_intersect(routes, known) AS named FROM ch JOIN rt USING (question_id), kn),
+o AS (SELECT * FROM c WHERE len(named) = 0 OR family IS NULL OR list_contains(named, family)),
+f AS (SELECT *, round((1 - 0.4) * {span('bm25')} + 0.4 * {span('dense')}, 6) AS fused FROM o),
+r AS (SELECT *, CAST({TOP} AS INTEGER) AS rank FROM f)
+SELECT question_id, rank, id, fused FROM r WHERE rank <= 6""")
 def route_filter(spark, sf_dir):
+    """Routing takes candidates away before scores are scaled; statistics stay those of the whole corpus."""
     q = F.col("question_id")
     routes = F.when(q % 3 == 0, F.array(F.concat(F.lit("src"), (q % 20).cast("string")))).when(q % 3 == 1, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>"))
-    out = R.route(pairs(spark, sf_dir).withColumn("routes", routes), table(spark, sf_dir, "documents").select(F.col("source").alias("family")))
-    return out.select("question_id", "id", "dense")
+    found = search(spark, sf_dir, asked(spark, sf_dir).withColumn("routes", routes)).top("weighted", 6, routed=True)
+    return found.select("question_id", "rank", "id", "fused")
 
 
-@query(f"""WITH {WEIGHTED},
-s AS (SELECT *, max(fused) OVER w - min(fused) OVER w AS sp FROM fu WINDOW w AS (PARTITION BY question_id)),
-b AS (SELECT * REPLACE (round(fused + CASE WHEN family = 'src' || (question_id % 20) THEN 0.15 * CASE WHEN sp = 0 THEN 1.0 ELSE sp END ELSE 0.0 END, 6) AS fused) FROM s),
+@query(f"""WITH {WEIGHTED}, {boosted('b', 'fu', OWN_FAMILY, 0.15)},
 r AS (SELECT *, CAST({TOP} AS INTEGER) AS rank FROM b)
 SELECT question_id, rank, id, fused FROM r WHERE rank <= 6""")
 def soft_boost(spark, sf_dir):
-    member = F.col("family") == F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string"))
-    out = R.boost(R.fuse_weighted(pairs(spark, sf_dir)), member, 0.15)
-    return R.best(out, "fused", 6, F.desc("bm25"), "id").select("question_id", "rank", "id", "fused")
+    return search(spark, sf_dir).top("weighted", 6, boosts=[("family", 0.15)]).select("question_id", "rank", "id", "fused")
 
 
-@query(f"""WITH {WEIGHTED},
-s AS (SELECT *, max(fused) OVER w - min(fused) OVER w AS sp FROM fu WINDOW w AS (PARTITION BY question_id)),
-b AS (SELECT * REPLACE (round(fused + CASE WHEN is_workflow AND question_id % 2 = 0 THEN 0.06 * CASE WHEN sp = 0 THEN 1.0 ELSE sp END ELSE 0.0 END, 6) AS fused) FROM s),
+@query(f"""WITH {WEIGHTED}, {boosted('b', 'fu', 'is_workflow AND question_id % 2 = 0', 0.06)},
 r AS (SELECT *, CAST({TOP} AS INTEGER) AS rank FROM b)
 SELECT question_id, rank, id, fused FROM r WHERE rank <= 6""")
 def workflow_boost(spark, sf_dir):
-    out = R.boost(R.fuse_weighted(pairs(spark, sf_dir)), F.col("is_workflow") & (F.col("question_id") % 2 == 0), 0.06)
-    return R.best(out, "fused", 6, F.desc("bm25"), "id").select("question_id", "rank", "id", "fused")
+    q = asked(spark, sf_dir).withColumn("intent", F.col("question_id") % 2 == 0)
+    return search(spark, sf_dir, q).top("weighted", 6, boosts=[("workflow", 0.06)]).select("question_id", "rank", "id", "fused")
 
 
 @query(f"""WITH {RANKED},
@@ -165,35 +168,67 @@ k AS (SELECT r.*, length(d.text) + length('doc_' || r.id) + 16 AS size FROM r JO
 u AS (SELECT *, CAST(sum(size) OVER (PARTITION BY question_id ORDER BY rank) AS BIGINT) AS used FROM k)
 SELECT question_id, rank, id, used FROM u WHERE used <= 18000 OR rank = 1""")
 def context_budget(spark, sf_dir):
-    size = (F.col("n_chars") + F.char_length("filename") + 16).cast("long")
-    return R.context_budget(ranked(spark, sf_dir, 6), size, 18_000).select("question_id", "rank", "id", "used")
+    c = chunks(spark, sf_dir).select("id", (F.char_length("text") + F.char_length("filename") + 16).cast("long").alias("size"))
+    return R.context_budget(ranked(spark, sf_dir, 6).join(c, "id"), F.col("size"), 18_000).select("question_id", "rank", "id", "used")
+
+
+def seats_sql(scored: str, intent: str, k: int = 6, floor: int = 2, rel: float = 0.55) -> str:
+    """SQL for the rows of ``scored`` that have seats, as ``st`` with a new rank."""
+    third = max(1, k // 3)
+    return f"""so AS (
+  SELECT *, {intent} AS wants, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, bm25 DESC, id) AS a,
+         row_number() OVER (PARTITION BY question_id, is_workflow ORDER BY fused DESC, bm25 DESC, id) AS o, max(fused) OVER (PARTITION BY question_id) AS best FROM {scored}),
+se AS (
+  SELECT question_id, count(*) FILTER (is_workflow AND a <= {k}) AS w, count(*) FILTER (NOT is_workflow AND a <= {k}) AS p,
+         count(*) FILTER (is_workflow AND (best <= 0 OR fused >= best * {rel})) AS wf, count(*) FILTER (NOT is_workflow AND (best <= 0 OR fused >= best * {rel})) AS pf FROM so GROUP BY question_id),
+s1 AS (SELECT *, greatest(least({min(floor, third)}, wf) - w, 0) AS gw FROM se),
+s2 AS (SELECT *, w + gw AS w1, greatest(p - gw, 0) AS p1 FROM s1),
+s3 AS (SELECT *, greatest(least({third}, pf) - p1, 0) AS gp FROM s2),
+st AS (
+  SELECT so.* REPLACE (row_number() OVER (PARTITION BY question_id ORDER BY a) AS a) FROM so JOIN s3 USING (question_id)
+  WHERE CASE WHEN NOT wants THEN a <= {k} WHEN is_workflow THEN o <= greatest(w1 - gp, 0) ELSE o <= p1 + gp END)"""
+
+
+@query(f"WITH {WEIGHTED}, {seats_sql('fu', 'question_id % 2 = 0')} SELECT question_id, CAST(a AS INTEGER) AS rank, id, fused, is_workflow FROM st")
+def mix_floor(spark, sf_dir):
+    q = asked(spark, sf_dir).withColumn("intent", F.col("question_id") % 2 == 0)
+    rows = search(spark, sf_dir, q).top("weighted", 6, sides=True)
+    return R.mix_floor(rows.drop("rank"), 6).select("question_id", "rank", "id", "fused", "is_workflow")
 
 
-@query()
-def mix_floor(spark, sf_dir):
-    rows = R.fuse_weighted(pairs(spark, sf_dir)).withColumn("intent", F.col("question_id") % 2 == 0)
-    return R.mix_floor(rows, 6).select("question_id", "rank", "id", "fused", "is_workflow")
+WORKFLOW_SQL = "regexp_matches(lower(query), 'workflow|work flow|flow chart|flowchart|diagram|approval chain|approval cycle|approval flow|approval route|who approves|who signs|who authorises|who authorizes|sign off|signs off|signature matrix|signatory|next step|what happens after|what happens next|goes to|sequence|order of approval|routed|routing|escalate|escalation|sent back|rejected|cycle|steps in')"
+_INTENT = f"({WORKFLOW_SQL} OR question_id % 4 = 0)"
+HYBRID = f"""{WEIGHTED}, {boosted('b1', 'fu', OWN_FAMILY, 0.15)}, {boosted('b2', 'b1', f'is_workflow AND {_INTENT}', 0.06)}, {seats_sql('b2', _INTENT)},
+cu AS (SELECT *, max(fused) OVER (PARTITION BY question_id) * 0.55 AS bar FROM st),
+cn AS (SELECT *, count(*) FILTER (fused >= bar) OVER (PARTITION BY question_id) AS strong FROM cu),
+hy AS (SELECT question_id, CAST(a AS INTEGER) AS rank, id, fused, is_workflow FROM cn WHERE CASE WHEN strong >= 3 THEN fused >= bar ELSE a <= 3 END)"""
+
+
+def hybrid(spark, sf_dir):
+    q = asked(spark, sf_dir).withColumn("intent", workflow_intent(F.col("query")) | (F.col("question_id") % 4 == 0))
+    return R.hybrid_search(search(spark, sf_dir, q).top("weighted", 6, boosts=[("family", 0.15), ("workflow", 0.06)], sides=True).drop("rank"))
 
 
-@query()
+@query(f"WITH {HYBRID} SELECT * FROM hy")
 def hybrid_search(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("intent", workflow_intent(F.col("query")) | (F.col("question_id") % 4 == 0))
-    rows = rows.withColumn("boosted", F.col("family") == F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")))
-    return R.hybrid_search(rows).select("question_id", "rank", "id", "fused", "is_workflow")
+    return hybrid(spark, sf_dir).select("question_id", "rank", "id", "fused", "is_workflow")
 
 
 @query(f"""WITH {PAIRS},
-m AS (SELECT id, round(avg(dense), 6) AS mean FROM ch GROUP BY id)
-SELECT id, mean, CAST(rank() OVER (ORDER BY mean DESC) AS INTEGER) AS rank,
-       round((mean - (SELECT avg(mean) FROM m)) / (SELECT stddev_pop(mean) FROM m), 4) AS z FROM m""")
+m AS (SELECT id, CAST(sum(CAST(round(dense * 1e6) AS BIGINT)) AS BIGINT) AS micro FROM ch GROUP BY id),
+a AS (SELECT count(*)::DOUBLE AS n, sum(micro) / 1e6 AS s, sum(CAST(micro AS HUGEINT) * micro) AS ss, (SELECT count(*) FROM asked)::DOUBLE AS q FROM m)
+SELECT id, floor((2 * micro + q) / (2 * q)) / 1e6 AS mean, CAST(rank() OVER (ORDER BY micro DESC) AS INTEGER) AS rank,
+       round((micro / 1e6 - s / n) / sqrt(CAST(ss AS DOUBLE) / 1e12 / n - s / n * (s / n)), 4) AS z FROM m, a""")
 def hubness_zscore(spark, sf_dir):
-    vec = vectors(spark, sf_dir)
-    held = vec.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    q = questions(spark, sf_dir).join(vec.withColumnRenamed("id", "question_id"), "question_id")
-    mean = R.dense_scores(held, q.select("question_id", "vector")).groupBy("id").agg(F.round(F.avg("dense"), 6).alias("mean"))
-    all_ = mean.agg(F.avg("mean").alias("mu"), F.stddev_pop("mean").alias("sigma"))
-    out = R.global_rank(mean, "mean").crossJoin(F.broadcast(all_))  # one row
-    return out.select("id", "mean", "rank", F.round((F.col("mean") - F.col("mu")) / F.col("sigma"), 4).alias("z"))
+    """Mean score over all questions: sums are of whole millionths, so no order of tasks changes them."""
+    q = questions(spark, sf_dir).count()
+    sums = search(spark, sf_dir).dense_sums()
+    micro = F.col("micro").cast("decimal(38,0)")
+    n, s, ss = F.col("n").cast("double"), F.col("s").cast("double") / 1e6, F.col("ss").cast("double") / 1e12
+    all_ = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("micro").alias("s"), F.sum((micro * micro).cast("decimal(38,0)")).alias("ss"))
+    out = R.global_rank(sums.withColumn("score", F.col("micro") / 1e6 / q), "score").crossJoin(F.broadcast(all_))  # one row
+    z = (F.col("micro") / 1e6 - s / n) / F.sqrt(ss / n - s / n * (s / n))
+    return out.select("id", (F.floor((2 * F.col("micro") + q) / F.lit(2.0 * q)) / 1e6).alias("mean"), "rank", F.round(z, 4).alias("z"))
 
 
 @query("""SELECT doc_id, source || ' | ' || lang || chr(10) || text AS embed_text, sha256(source || ' | ' || lang || chr(10) || text) AS fingerprint FROM documents""")

@@ -21,9 +21,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
 
 
-def questions(spark: SparkSession, sf_dir: str, chars: int = 80) -> DataFrame:
-    """The first 80 characters of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.left("text", F.lit(chars)).alias("query"), F.col("text").alias("passage"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, query): the benchmark passages, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"), F.col("text").alias("passage"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

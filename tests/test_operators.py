@@ -8,6 +8,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import retrieval as R
 from lodestone.operators import validation as V
 from lodestone.operators.answering import answer, generate, hashing_encoder
+from lodestone.operators.search import Recipe, Search
 from lodestone.operators.spelling import repair_queries
 from lodestone.sources import files
 from lodestone.sources.pages import with_fallback
@@ -43,9 +44,9 @@ def test_mix_floor(spark):
     assert [r.id for r in single.collect()] == [0]
 
 
-def test_fusion_rejects_unknown_mode(spark):
+def test_fusion_rejects_unknown_mode():
     with pytest.raises(ValueError, match="unknown fusion"):
-        R.fuse(scored(spark, 1.0), "none")
+        Recipe("none")
 
 
 def test_route_never_empties(spark):
