@@ -38,9 +38,9 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         fine = materialize(fine, "prefixes")
         levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(base + STEP))))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(fine, {base + STEP} - depth)"))
-        node = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        fits = node.where((F.col("bytes") <= limit) | (F.col("first") == F.col("last"))).select("depth", "prefix", F.col("bytes").alias("shard_bytes"))
-        leaf = levels.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"])
+        node = Window.partitionBy("depth", "prefix")  # 2 ** STEP rows at most
+        levels = levels.withColumn("shard_bytes", F.sum("bytes").over(node)).withColumn("single", F.min("first").over(node) == F.max("last").over(node))
+        leaf = levels.where((F.col("shard_bytes") <= limit) | F.col("single"))
         leaf = leaf.groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
         joined = materialize(pending.withColumn("fine", F.shiftright("h", low)).join(broadcast_if_small(leaf), "fine", "left").select("doc_id", "h", "bytes", "row", "leaf.depth", "leaf.prefix", "leaf.shard_bytes"), "shards")
         settled = joined.where("depth is not null")
