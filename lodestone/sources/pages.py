@@ -22,6 +22,26 @@ def page_text(pages: DataFrame) -> DataFrame:
     return out.withColumn("source", F.when(text_quality_ok(F.col("text")), "native_text").otherwise("native_text_low_quality"))
 
 
+def layout_lines(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, idx, text, size, bold): lines of spans (doc_id, page, line, span, text, size, flags).
+
+    A line's text is that of its spans in a row, its size their largest, and it is bold if one is (bit 4
+    of the flags); lines without any character go.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "")
+    bold = F.max(F.col("flags").bitwiseAND(F.lit(16)) != 0)
+    out = spans.groupBy("doc_id", "page", F.col("line").alias("idx")).agg(text.alias("text"), F.max("size").alias("size"), bold.alias("bold"))
+    return out.where("text <> ''")
+
+
+def fallback_rates(pages: DataFrame, doc: str = "filename") -> DataFrame:
+    """(doc, pages, native, flagged, rate) of pages with ``source``, and the same over all in the row of a null document."""
+    flagged = F.col("source") != "native_text"
+    by = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"), F.count_if(~flagged).alias("native"), F.count_if(flagged).alias("flagged"))
+    whole = by.agg(*[F.sum(c).alias(c) for c in ("pages", "native", "flagged")]).select(F.lit(None).cast(by.schema[doc].dataType).alias(doc), "pages", "native", "flagged")
+    return by.unionByName(whole).withColumn("rate", F.round(F.col("flagged") / F.col("pages"), 4))
+
+
 def with_fallback(pages: DataFrame, read: Callable[[str], str], content: str = "html") -> DataFrame:
     """Low-quality pages go through ``read``; a failure leaves the native text and names the error.
 
