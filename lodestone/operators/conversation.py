@@ -54,6 +54,12 @@ def last_turns(turns: DataFrame, session: str = "session_id", order: str = "turn
     return turns.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
+def with_previous(turns: DataFrame, columns: list[str], session: str = "session_id", order: str = "turn") -> DataFrame:
+    """``turns`` with ``previous_<column>`` of the turn before in the session, null for the first."""
+    w = Window.partitionBy(session).orderBy(order)
+    return turns.select("*", *[F.lag(c).over(w).alias(f"previous_{c}") for c in columns])
+
+
 def _words(q: Column) -> Column:
     return F.regexp_extract_all(q, F.lit("[a-z0-9']+"), F.lit(0))
 

@@ -116,3 +116,13 @@ def splice_gate(rows: DataFrame, rebuilt: Column, stored: Column) -> DataFrame:
     if wrong:
         raise ValueError(f"{wrong} or more rebuilt texts differ from what is stored")
     return rows
+
+
+def worst(rows: DataFrame, key: str, score: Column, n: int) -> DataFrame:
+    """(key, least): the n keys with the lowest minimum, ties by key."""
+    return rows.groupBy(key).agg(F.min(score).alias("least")).orderBy("least", key).limit(n)
+
+
+def most_common(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, n): the n most frequent values, ties by value."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(n)

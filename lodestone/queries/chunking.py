@@ -167,7 +167,7 @@ s AS (SELECT doc_id, heading_idx, coalesce(string_agg(text, chr(10) ORDER BY idx
 
 @query(f"""WITH RECURSIVE {SECTIONS_SQL}, {WINDOW_SQL}, few AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hh GROUP BY doc_id HAVING count(*) >= 3)),
 cs AS (SELECT s.doc_id, 'section' AS made_by, heading_idx AS place, raw_heading, md5(body) AS text_md5 FROM s LEFT JOIN hh ON hh.doc_id = s.doc_id AND hh.hat = s.heading_idx WHERE length(body) >= 30 AND s.doc_id NOT IN (SELECT doc_id FROM few))
-SELECT * FROM cs UNION ALL SELECT doc_id, 'window', window, NULL, md5(text) FROM wi WHERE length(text) >= 30 AND doc_id IN (SELECT doc_id FROM few)""")
+SELECT * FROM cs UNION ALL SELECT doc_id, 'window', "window", NULL, md5(text) FROM wi WHERE length(text) >= 30 AND doc_id IN (SELECT doc_id FROM few)""")
 def chunk_documents(spark, sf_dir):
     out = C.chunk_documents(layout(spark, sf_dir), table(spark, sf_dir, "documents"), detect=lambda ls: C.stitch(C.run_ons(C.duplicate_numbers(C.inline_lists(C.heading_candidates(C.drop_running_headers(C.with_next(ls)), C.median_sizes(ls)))))))
     return out.select("doc_id", "made_by", "place", "raw_heading", F.md5("text").alias("text_md5"))

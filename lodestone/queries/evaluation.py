@@ -11,9 +11,11 @@ from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
 from lodestone.operators.search import Search
 from lodestone.operators.spelling import repair_queries
-from lodestone.plans.scratch import materialize
+from lodestone.plans.scratch import folder, materialize
 from lodestone.queries.registry import query
 from lodestone.queries.retrieval import ASKED, BM25, RANKED, TOP, WEIGHTED, ranked, search
+from lodestone.sources.files import answer_log as log_lines
+from lodestone.sources.files import append_new
 from lodestone.sources.tables import chunks, questions, table
 
 GOLD_SQL = "gold AS (SELECT item_id AS question_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -96,26 +98,54 @@ def session_last4(spark, sf_dir):
     return S.last_turns(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "role", "back")
 
 
-_Q = "m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'and for the ' || left(text, 20) WHEN 1 THEN 'Who approves the rest of ' || left(text, 9) ELSE text END AS query, turn > 0 AS has_history FROM conversations)"
+#: Turns of conversations, some with the openings of a follow-up before them or the words of one behind.
+_Q = """m AS (
+  SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'and for the ' || text WHEN 1 THEN 'Who approves the rest of ' || text WHEN 2 THEN 'Which form does that need? ' || text WHEN 3 THEN 'is there ' || text WHEN 4 THEN 'list ' || conv_id
+    WHEN 5 THEN 'Does IT sign, or who else; you said it' WHEN 6 THEN 'What follows after this, ' || conv_id ELSE text END AS query, turn > 0 AS has_history FROM conversations)"""
 
 
 def _messages(spark, sf_dir):
-    t = F.col("turn")
-    said = F.when(t % 4 == 0, F.concat(F.lit("and for the "), F.left("text", F.lit(20)))).when(t % 4 == 1, F.concat(F.lit("Who approves the rest of "), F.left("text", F.lit(9)))).otherwise(F.col("text"))
+    t, k = F.col("turn"), F.col("conv_id").cast("string")
+    before = lambda s, c: F.concat(F.lit(s), c)
+    said = F.when(t % 8 == 0, before("and for the ", F.col("text"))).when(t % 8 == 1, before("Who approves the rest of ", F.col("text"))).when(t % 8 == 2, before("Which form does that need? ", F.col("text"))).when(t % 8 == 3, before("is there ", F.col("text")))
+    said = said.when(t % 8 == 4, before("list ", k)).when(t % 8 == 5, F.lit("Does IT sign, or who else; you said it")).when(t % 8 == 6, before("What follows after this, ", k)).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("query"), (t > 0).alias("has_history"))
 
 
-@query(f"""WITH {_Q}, q AS (SELECT *, trim(regexp_replace(lower(query), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS q FROM m)
-SELECT conv_id, turn, starts_with(q, 'and for') AND has_history AS fragment, len(regexp_extract_all(q, '[a-z0-9'']+')) AS n_words, list_contains(regexp_extract_all(q, '[a-z0-9'']+'), 'rest') AND has_history AS residual FROM q""")
-def followup_gate_simple(spark, sf_dir):
-    out = S.followup_gate(_messages(spark, sf_dir))
-    q = F.trim(F.regexp_replace(F.lower("query"), r"\s+", " "))
-    starts = F.array_contains("reasons", "starts with a fragment opener") & q.startswith("and for")
-    rest = F.exists("reasons", lambda r: r.startswith("refers to a remainder") & r.rlike(r"\brest\b"))
-    return out.select("conv_id", "turn", starts.alias("fragment"), F.size(F.regexp_extract_all(q, F.lit("[a-z0-9']+"), F.lit(0))).cast("long").alias("n_words"), rest.alias("residual"))
-
-
-@query()
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _stem(w: str) -> str:
+    return f"string_split({w}, '''')[1]"
+
+
+#: Words with their neighbours, then one flag for each reason.
+GATE_SQL = rf"""{_Q},
+q AS (SELECT *, trim(regexp_replace(lower(coalesce(query, '')), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS q, list_transform(regexp_extract_all(coalesce(query, ''), '\b[A-Z]{{2,}}\b'), lambda x: lower(x)) AS caps FROM m),
+w AS (SELECT *, regexp_extract_all(q, '[a-z0-9'']+') AS w FROM q),
+p AS (SELECT conv_id, turn, caps, unnest(w) AS x, generate_subscripts(w, 1) AS i, w FROM w),
+n AS (SELECT *, {_stem('x')} AS stem, contains(x, '''') AS short, coalesce({_stem('w[i + 1]')}, '') AS after, CASE WHEN i > 1 THEN {_stem('w[i - 1]')} ELSE '' END AS before FROM p WHERE i <= 6),
+b AS (
+  SELECT conv_id, turn, list_sort(list(DISTINCT stem)) AS back FROM n
+  WHERE NOT list_contains(caps, stem) AND CASE
+    WHEN stem = 'there' THEN NOT short AND NOT list_contains({_listed(S.EXISTENTIAL_FOLLOWERS)}, after)
+    WHEN list_contains({_listed(S.DETERMINERS)}, stem) THEN short OR list_contains({_listed(S.AUX)}, after) OR list_contains({_listed(S.NEGATIONS)}, after) OR (list_contains({_listed(S.AUX)}, before) AND after <> '') OR list_contains({_listed(S.SEQUENCE_PREPOSITIONS)}, before)
+    ELSE list_contains({_listed(S.ANAPHORA)}, stem) END GROUP BY conv_id, turn),
+v AS (SELECT *, list_distinct(list_concat(w, list_transform(list_filter(w, lambda x: contains(x, '''')), lambda x: {_stem('x')}))) AS vocab, list_concat(w[1:6], list_transform(regexp_split_to_array(q, '[,;.]')[2:], lambda c: regexp_extract(c, '[a-z0-9'']+'))) AS heads FROM w),
+g AS (
+  SELECT v.*, coalesce(back, []) AS back, list_sort(list_filter(vocab, lambda x: list_contains({_listed(S.RESIDUAL)}, x))) AS rest, list_sort(list_filter(vocab, lambda x: list_contains({_listed(S.DISCOURSE)}, x))) AS talk,
+         list_bool_or(list_transform({_listed(S.FRAGMENT_STARTS)}, lambda s: starts_with(q, s))) AS fragment, coalesce(list_bool_or(list_transform(heads, lambda x: list_contains({_listed(S.WH_WORDS + S.AUX)}, x))), false) AS opens
+  FROM v LEFT JOIN b ON b.conv_id = v.conv_id AND b.turn = v.turn),
+r AS (
+  SELECT *, concat_ws('; ', CASE WHEN fragment THEN 'starts with a fragment opener' END, CASE WHEN len(back) > 0 THEN 'back-reference (' || array_to_string(back, ', ') || ')' END,
+    CASE WHEN len(rest) > 0 THEN 'refers to a remainder (' || array_to_string(rest, ', ') || ')' END, CASE WHEN len(talk) > 0 THEN 'refers to the conversation (' || array_to_string(talk, ', ') || ')' END,
+    CASE WHEN NOT opens THEN CASE WHEN list_contains({_listed(S.IMPERATIVES)}, w[1]) THEN 'imperative opener (' || w[1] || ')' ELSE 'does not open like a standalone question' END END,
+    CASE WHEN len(w) <= 3 THEN 'very short (' || len(w) || ' words)' END) AS said FROM g)"""
+
+
+@query(f"""WITH {GATE_SQL}
+SELECT conv_id, turn, has_history AND q <> '' AND said <> '' AS is_followup, CASE WHEN NOT has_history THEN 'no history' WHEN q = '' THEN 'empty query' WHEN said = '' THEN 'opens like a standalone question, nothing to resolve against history' ELSE said END AS reasons FROM r""")
 def followup_gate(spark, sf_dir):
     return S.followup_gate(_messages(spark, sf_dir)).select("conv_id", "turn", "is_followup", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -134,16 +164,15 @@ def session_history(spark, sf_dir):
     return S.format_history(t, "conv_id")
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS x FROM conversations)
+SELECT conv_id, turn, rtrim(left(coalesce(nullif(regexp_extract(x, '^(.*?[.!?]) ', 1), ''), x), 200)) AS summary FROM l""")
 def answer_summaries(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", summarize(F.col("text")).alias("summary"))
 
 
-@query("""WITH prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) SELECT * FROM prev""")
+@query("""WITH prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_role FROM conversations) SELECT * FROM prev""")
 def previous_turn(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+    return S.with_previous(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["turn", "role"], "conv_id").drop("role")
 
 
 @query()
@@ -160,21 +189,29 @@ def mask_roundtrip(spark, sf_dir):
     return m.select("conv_id", "turn", unmask_codes(F.col("m.masked"), F.col("m.found")).alias("restored"), F.size("m.found").alias("n_codes"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("""SELECT 'first' AS run, count(*) FILTER (doc_id % 3 = 0) AS written, count(*) FILTER (doc_id % 3 = 0) AS held FROM documents
+UNION ALL SELECT 'second', count(*) FILTER (doc_id % 3 <> 0), count(*) FROM documents UNION ALL SELECT 'third', 0, count(*) FROM documents""")
 def resume_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """A sink that stopped after a third of the documents goes on with the others, and then has nothing left to do."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "source"), folder(spark, "resumed")
+    rows = []
+    for run, part in (("first", d.where("doc_id % 3 = 0")), ("second", d), ("third", d)):
+        rows.append((run, append_new(part, path), spark.read.parquet(path).select("doc_id").distinct().count()))
+    return spark.createDataFrame(rows, "run string, written long, held long")
 
 
 @query("""SELECT source, CAST(min(n_chars) AS BIGINT) AS least FROM documents GROUP BY source ORDER BY least, source LIMIT 10""")
 def worst_sources(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("n_chars").alias("least")).orderBy("least", "source").limit(10)
+    return E.worst(table(spark, sf_dir, "documents"), "source", F.col("n_chars"), 10)
 
 
-@query(f"WITH {ASKED} SELECT question_id % 4 AS k, count(*) AS n FROM asked GROUP BY k ORDER BY n DESC, k")
+@query(f"WITH {ASKED} SELECT question_id % 4 AS k, count(*) AS n FROM asked GROUP BY k ORDER BY n DESC, k LIMIT 3")
 def most_common(spark, sf_dir):
-    return questions(spark, sf_dir).groupBy((F.col("question_id") % 4).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k")
+    return E.most_common(questions(spark, sf_dir).select((F.col("question_id") % 4).alias("k")), "k", 3)
 
 
-@query("""SELECT user_id, event_type, ts, value, md5(props) AS detail FROM events""")
+@query("""SELECT 'user_id=' || user_id || ' event_type=' || event_type || ' event_id=' || event_id || ' answer_chars=' || length(props) AS value FROM events""")
 def answer_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "value", F.md5("props").alias("detail"))
+    """Contents (question, answer) stay out of the log."""
+    e = table(spark, sf_dir, "events")
+    return log_lines(e.select("user_id", "event_type", F.col("props").alias("question"), "event_id", F.char_length("props").alias("answer_chars")))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.vector import inner_product
 from lodestone.operators.answering import answer, hashing_encoder
 from lodestone.operators.validation import code_whitelist
 from lodestone.plans.scratch import folder
 from lodestone.queries.registry import query
-from lodestone.queries.retrieval import ranked
+from lodestone.queries.retrieval import RANKED, ranked
 from lodestone.queries.validation import corpus
 from lodestone.sources.files import cached_embeddings
-from lodestone.sources.tables import questions, table
+from lodestone.sources.tables import chunks, questions, table
 from lodestone.streaming.sessions import session_history
 
 
@@ -32,10 +33,12 @@ def streaming_sessions(spark, sf_dir):
     return out.select("session_id", "turn", F.array_join(F.transform("history_turns", lambda x: x.cast("string")), ",").alias("history"), "is_followup_possible")
 
 
-@query()
+@query(f"""WITH {RANKED}
+SELECT question_id AS answer_id, 'clean' AS verdict, true AS ok, 'F-P-CM-' || lpad(CAST(id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 7 AS VARCHAR), 2, '0') AS cited, CAST(NULL AS VARCHAR) AS error_type FROM r WHERE rank = 1""")
 def answered_questions(spark, sf_dir):
     """Retrieval, prompt, a generator that repeats the first cited form, and the verdict."""
-    hits = ranked(spark, sf_dir, 6).select(F.col("question_id").alias("answer_id"), "rank", "id", "filename", F.col("family").alias("section"))
+    hits = ranked(spark, sf_dir, 6).select(F.col("question_id").alias("answer_id"), "rank", "id")
+    hits = hits.join(chunks(spark, sf_dir).select("id", "filename", F.col("family").alias("section")), "id")
     text = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.char_length("text").alias("n_chars"))
     hits = hits.join(text, "id").withColumn("label", F.lit(None).cast("string"))
     asked = questions(spark, sf_dir).select(F.col("question_id").alias("answer_id"), F.col("query").alias("question"))
@@ -50,8 +53,8 @@ def answered_questions(spark, sf_dir):
     return out.select("answer_id", "verdict", "ok", F.array_join("cited", ",").alias("cited"), "error_type")
 
 
-@query()
+@query("SELECT doc_id AS id, 64 AS dim, text <> '' AS unit FROM documents")
 def embedding_cache(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("embed_text"))
     out = cached_embeddings(d, folder(spark, "embeddings"), "hashing-64", hashing_encoder())
-    return out.select("id", F.size("vector").alias("dim"))
+    return out.select("id", F.size("vector").alias("dim"), (F.abs(inner_product(F.col("vector"), F.col("vector")) - 1) < 1e-9).alias("unit"))

@@ -81,7 +81,15 @@ def validator_report(spark, sf_dir):
     return V.validator_report(checked(spark, sf_dir)).withColumn("unknown_forms", F.array_join("unknown_forms", ","))
 
 
-@query()
+DOC_SQL = r"(?i)\b([PM])\s*[-‐‑‒–—−]\s*([A-Z]{1,5})\s*[-‐‑‒–—−]\s*(\d{1,3})\b"
+_NORMAL = r"lambda x: regexp_replace(upper(regexp_replace(x, '\s+', '', 'g')), '[‐‑‒–—−]', '-', 'g')"
+
+
+@query(f"""WITH {CORPUS_SQL}, {ANSWERS_SQL}, wl AS (SELECT list(DISTINCT code) AS forms FROM (SELECT unnest({codes_sql('text')}) AS code FROM corpus)),
+c AS (SELECT answer_id, answer, {codes_sql('answer')} AS cited, list_transform(regexp_extract_all(answer, '{DOC_SQL}'), {_NORMAL}) AS docs FROM answers),
+u AS (SELECT c.*, list_filter(cited, lambda x: NOT list_contains(forms, x)) AS unknown, list_sort(list_distinct(list_filter(docs, lambda d: NOT coalesce(list_bool_or(list_transform(cited, lambda f: contains(f, d))), false) AND NOT regexp_matches(d, '^P-CM-0[0-4]$')))) AS bad FROM c, wl)
+SELECT answer_id, CASE WHEN len(unknown) > 0 THEN 'blocked' ELSE 'clean' END AS verdict, array_to_string(bad, ',') AS unknown_doc_codes,
+       CASE WHEN len(unknown) > 0 THEN 'Answer withheld: it cited form number(s) ' || array_to_string(unknown, ', ') || ' that do not appear in the process corpus. Please check the source document directly.' ELSE answer END AS display_answer FROM u""")
 def validate_blocked(spark, sf_dir):
     known = V.doc_code_whitelist(table(spark, sf_dir, "documents").select(F.concat(F.lit("P-CM-0"), (F.col("doc_id") % 5).cast("string")).alias("doc_code")))
     out = V.validate(answers(spark, sf_dir), V.code_whitelist(corpus(spark, sf_dir)), None, known, "block")
@@ -118,7 +126,11 @@ def incomplete_rollup(spark, sf_dir):
     return V.incomplete_workflows(hits).select("answer_id", "filename", "page", "section", F.array_join(F.array_sort("gaps"), ",").alias("gaps"))
 
 
-@query()
+@query(f"""WITH {graphs.GRAPH_SQL},
+o AS (SELECT graph, count(*) AS k, list(label ORDER BY id) AS lone FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph = n.graph AND (e.src = n.id OR e.dst = n.id)) GROUP BY graph),
+g AS (SELECT DISTINCT e.graph, k, lone, (e.graph % 10) / 9.0 AS coverage FROM e LEFT JOIN o ON o.graph = e.graph)
+SELECT graph, true AS readable, concat_ws('; ', k || ' step(s) with no route in or out: ' || array_to_string(list_transform(lone[1:4], lambda x: '“' || x || '”'), ', ') || CASE WHEN k > 4 THEN ' and ' || (k - 4) || ' more' ELSE '' END,
+  CASE WHEN coverage < 1 THEN CASE WHEN graph % 4 = 0 THEN '2 of 9 text spans unclassified on this page' ELSE 'only ' || CAST(round(100 * coverage) AS INTEGER) || '% of the page''s text could be placed' END END) AS gaps FROM g""")
 def workflow_gap_report(spark, sf_dir):
     n, e = graphs.both(spark, sf_dir)
     by = n.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("nodes"))
