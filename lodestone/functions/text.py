@@ -198,6 +198,12 @@ def refused(answer: Column) -> Column:
     return contains_any(F.lower(answer), REFUSAL_MARKS)
 
 
+def refused_with(answer: Column, refusal: Column | str, chars: int = 28) -> Column:
+    """Does an answer hold the beginning of this refusal?"""
+    start = F.left(F.lower(F.lit(refusal) if isinstance(refusal, str) else refusal), F.lit(chars))
+    return F.contains(F.lower(F.coalesce(answer, F.lit(""))), start)
+
+
 def target_tokens(target: Column) -> Column:
     """What survives translation: a code as a whole, or else the figures."""
     return F.when(F.trim(target).rlike(FULL_CODE), F.array(F.trim(target))).otherwise(F.regexp_extract_all(target, F.lit(FIGURE), F.lit(0)))

@@ -137,6 +137,14 @@ def resolve(messages: DataFrame, label: Column, rewritten: Column, has_hits: Col
     return messages.withColumn("mode", mode).withColumn("query_used", F.when(F.col("mode") == "followup", better).otherwise(F.col("query")))
 
 
+def clean_label(text: Column) -> Column:
+    """CONTINUATION or FOLLOWUP: what the first line that names a label says, FOLLOWUP if it names both or none does."""
+    words = lambda line: F.array_distinct(F.filter(F.regexp_extract_all(F.upper(line), F.lit("[A-Z]+"), F.lit(0)), lambda w: w.isin("FOLLOWUP", "CONTINUATION")))
+    named = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), words), lambda w: F.size(w) > 0)
+    first = F.get(named, F.lit(0))
+    return F.when(F.size(first) == 1, first[0]).otherwise(F.lit("FOLLOWUP"))
+
+
 def clean_rewrite(text: Column, fallback: Column) -> Column:
     """The first line that says something, without preamble and quotes; else, or if under three words or over 300 characters, ``fallback``."""
     line = F.try_element_at(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != ""), F.lit(1))

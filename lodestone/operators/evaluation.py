@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
+from lodestone.functions.text import refused, refused_with, target_tokens, tokenize
 from lodestone.plans.scratch import materialize
 
 
@@ -57,6 +59,19 @@ def gold_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def answerable(items: DataFrame, doc: str = "doc") -> DataFrame:
+    """Items that some document answers."""
+    return items.where(~F.col(doc).eqNullSafe("none"))
+
+
+def paired(first: DataFrame, second: DataFrame, key: str = "id", order: str = "place") -> DataFrame:
+    """(key, place, question, question_other): items of both sets, numbered from 1 in the order of the first."""
+    other = second.select(key, F.col("question").alias("question_other"))
+    both = first.join(other, key).select(key, "question", "question_other", F.col(order).alias("_o"))
+    # an evaluation set is a stated set, so one ordered window is small
+    return both.withColumn("place", F.row_number().over(Window.orderBy("_o", key))).select(key, "place", "question", "question_other")
+
+
 def hits(ranked: DataFrame, gold: DataFrame, at: list[int]) -> DataFrame:
     """(question_id, hit_k for each k): is a gold document among the first k? Only questions with gold count."""
     found = ranked.join(gold, ["question_id", "id"], "left_semi").groupBy("question_id").agg(F.min("rank").alias("best"))
@@ -78,6 +93,63 @@ def verify_items(targets: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).where("problem is not null").select("item_id", "doc", "target", "problem")
 
 
+# --- outcomes --------------------------------------------------------------------------------
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, lang, doc, scoring, targets, answer, docs, reused) with outcome, doc_hit and missed.
+
+    Without a document the right answer is a refusal ('ok', else 'INVENTED'). 'manual' items are not
+    scored. Other answers must hold every target; of Arabic ones only what survives translation is
+    demanded (codes and figures), and 'n/a' is the outcome if that is nothing. ``doc_hit`` is null
+    where nothing was retrieved for the question itself.
+    """
+    answer = F.lower(F.coalesce("answer", F.lit("")))
+    arabic = F.col("lang") == "ar"
+    want = F.transform("targets", lambda t: F.struct(t.alias("t"), F.when(arabic, target_tokens(t)).otherwise(F.array(t)).alias("w")))
+    want = F.filter(want, lambda x: F.size(x["w"]) > 0)
+    missed = F.transform(F.filter(want, lambda x: F.exists(x["w"], lambda w: ~F.contains(answer, F.lower(w)))), lambda x: x["t"])
+    none, manual = F.col("doc").eqNullSafe("none"), F.col("scoring").eqNullSafe("manual")
+    scored = F.when(F.size(want) == 0, "n/a").when(F.size(missed) == 0, "ok").otherwise("WRONG")
+    outcome = F.when(none, F.when(refused(F.col("answer")), "ok").otherwise("INVENTED")).when(manual, "manual").otherwise(scored)
+    hit = F.array_contains("docs", F.col("doc"))
+    doc_hit = F.when(none, F.lit(None)).when(manual, hit).when(~F.coalesce("reused", F.lit(False)), hit)
+    return rows.withColumn("outcome", outcome).withColumn("doc_hit", doc_hit.cast("boolean")).withColumn("missed", F.when(none | manual, F.array().cast("array<string>")).otherwise(missed))
+
+
+def outcome_rates(rows: DataFrame, *by: str) -> DataFrame:
+    """Of :func:`outcomes`: n, ok, scored (no 'manual', no 'n/a'), rate, doc_hits, docs, manual, not_scoreable."""
+    scored = F.col("outcome").isin("ok", "WRONG", "INVENTED")
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.count_if(scored).alias("scored"), F.count_if("doc_hit").alias("doc_hits"),
+        F.count("doc_hit").alias("docs"), F.count_if(F.col("outcome") == "manual").alias("manual"), F.count_if(F.col("outcome") == "n/a").alias("not_scoreable"),
+    )
+    return out.withColumn("rate", F.round(F.col("ok") / F.nullif(F.col("scored"), F.lit(0)), 4))
+
+
+def generation_report(rows: DataFrame, refusal: str, *by: str) -> DataFrame:
+    """One row (by ``by``) over answers (doc, targets, answer, docs, verdict, cited, seconds).
+
+    Answerable items: retrieved, answered, lucky (answered without the document), blocked (retrieved but
+    not answered). Others: refused, and leaked (a form was cited all the same). All: flagged verdicts,
+    the slowest answer, and the upper median of seconds.
+    """
+    none = F.col("doc").eqNullSafe("none")
+    answer = F.lower(F.coalesce("answer", F.lit("")))
+    retrieved, right = F.array_contains("docs", F.col("doc")), ~F.exists("targets", lambda t: ~F.contains(answer, F.lower(t)))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), n(~none).alias("answerable"), n(~none & retrieved).alias("retrieved"), n(~none & right).alias("answered"), n(~none & right & ~retrieved).alias("lucky"), n(~none & retrieved & ~right).alias("blocked"),
+        n(none & refused_with(F.col("answer"), refusal)).alias("refused"), n(none & (F.size("cited") > 0)).alias("leaked"), n(F.col("verdict") != "clean").alias("flagged"), F.max("seconds").alias("slowest"), upper_median(F.col("seconds")).alias("median"),
+    )
+
+
+def term_overlap(pairs: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
+    """``pairs`` with ``shared``, the terms of the query that the text has, sorted, and ``missing``, those it lacks."""
+    q, t = F.array_distinct(tokenize(F.col(query))), tokenize(F.col(text))
+    return pairs.withColumn("shared", F.array_sort(F.array_intersect(q, t))).withColumn("missing", F.array_sort(F.array_except(q, t)))
+
+
 def confusion(rows: DataFrame, retrieved: Column, right: Column) -> DataFrame:
     """(cell, n): right or wrong answers by whether the gold was retrieved; 'lucky' answers had none."""
     cell = F.when(retrieved & right, "ok").when(~retrieved & right, "lucky").when(retrieved & ~right, "wrong").otherwise("blocked")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import form_codes, normal_code, uncited_doc_codes
+from lodestone.functions.text import display_name, form_codes, normal_code, uncited_doc_codes
 from lodestone.plans.sizes import broadcast_if_small
 
 REFUSAL = "Answer withheld: it cited form number(s) {} that do not appear in the process corpus. Please check the source document directly."
@@ -121,6 +121,14 @@ def variant_label(variant: Column, family: Column, n: Column) -> Column:
     )
 
 
+def source_cards(hits: DataFrame) -> DataFrame:
+    """(answer_id, place, filename, shown, sections): a card per document of an answer's hits, in order of its best hit."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "section"))), lambda x: x["section"])
+    by = hits.groupBy("answer_id", "filename").agg(F.min("rank").alias("rank"), F.array_distinct(F.array_compact(rows)).alias("sections"))
+    order = Window.partitionBy("answer_id").orderBy("rank", "filename")
+    return by.select("answer_id", F.row_number().over(order).alias("place"), "filename", display_name(F.col("filename")).alias("shown"), "sections")
+
+
 def format_context(hits: DataFrame) -> DataFrame:
     """(answer_id, context): hits (answer_id, rank, filename, section, label, text) in order, with blank lines between."""
     head = F.concat(F.lit("["), F.col("filename"), F.lit(" | "), F.coalesce("section", F.lit("None")), F.lit("]"))

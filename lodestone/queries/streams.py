@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.vector import inner_product
-from lodestone.operators.answering import answer, hashing_encoder
+from lodestone.operators.answering import answer, ask, hashing_encoder
+from lodestone.operators.search import Search
 from lodestone.operators.validation import code_whitelist
 from lodestone.plans.scratch import folder
 from lodestone.queries.registry import query
-from lodestone.queries.retrieval import RANKED, ranked
+from lodestone.queries.retrieval import ASKED, BM25, RANKED, ranked
 from lodestone.queries.validation import corpus
 from lodestone.sources.files import cached_embeddings
 from lodestone.sources.tables import chunks, questions, table
 from lodestone.streaming.sessions import session_history
 
 
-@query("""WITH t AS (SELECT conv_id AS session_id, turn, list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
-SELECT session_id, turn, coalesce(array_to_string(h, ','), '') AS history, turn > 0 AS is_followup_possible FROM t""")
+@query("""WITH t AS (SELECT conv_id AS session_id, turn, text, turn % 7 = 6 AS clear, count(*) FILTER (turn % 7 = 6) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations),
+k AS (SELECT *, list('Q: ' || md5(text) || ' A: ' || turn || ' H: ' || turn * 2 || ',' || turn * 2 + 1) OVER (PARTITION BY session_id, part ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM t WHERE NOT clear)
+SELECT session_id, turn, coalesce(array_to_string(h, '; '), '') AS history, coalesce(len(h), 0) > 0 AS is_followup_possible FROM k""")
 def streaming_sessions(spark, sf_dir):
     home = folder(spark, "sessions")
     path = f"{sf_dir}/conversations.parquet"
@@ -26,11 +28,12 @@ def streaming_sessions(spark, sf_dir):
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     single = spark.read.parquet(path).inputFiles()[0].rstrip("/").endswith("/conversations.parquet")
     rows = rows.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if single else rows.parquet(path)
-    turns = rows.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("query"))
+    turns = rows.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("query"), F.concat(F.col("turn").cast("string"), F.lit(". More of it.")).alias("answer"), F.array((F.col("turn") * 2).cast("long"), (F.col("turn") * 2 + 1).cast("long")).alias("hits"), (F.col("turn") % 7 == 6).alias("clear"))
     stream = session_history(turns).writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out")
     stream.awaitTermination()
     out = spark.read.parquet(f"{home}/out")
-    return out.select("session_id", "turn", F.array_join(F.transform("history_turns", lambda x: x.cast("string")), ",").alias("history"), "is_followup_possible")
+    said = lambda x: F.concat(F.lit("Q: "), F.md5(x["query"]), F.lit(" A: "), F.regexp_replace(x["answer_summary"], r"\.$", ""), F.lit(" H: "), F.array_join(F.transform(x["hits"], lambda h: h.cast("string")), ","))
+    return out.select("session_id", "turn", F.array_join(F.transform("history", said), "; ").alias("history"), "is_followup_possible")
 
 
 @query(f"""WITH {RANKED}
@@ -58,3 +61,37 @@ def embedding_cache(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("embed_text"))
     out = cached_embeddings(d, folder(spark, "embeddings"), "hashing-64", hashing_encoder())
     return out.select("id", F.size("vector").alias("dim"), (F.abs(inner_product(F.col("vector"), F.col("vector")) - 1) < 1e-9).alias("unit"))
+
+
+_MESSAGES = """asked AS (SELECT item_id AS question_id, CASE item_id % 3 WHEN 1 THEN array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:8], ' ') ELSE text END AS query, text AS passage FROM benchmark WHERE item_id % 3 <> 2)"""
+
+
+@query(f"""WITH {BM25.replace(ASKED, _MESSAGES)}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS rank FROM bm),
+h AS (SELECT question_id AS answer_id, id FROM r WHERE rank = 1 UNION ALL SELECT item_id, item_id FROM benchmark WHERE item_id % 3 = 2)
+SELECT answer_id, CASE answer_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'followup' ELSE 'continuation' END AS mode, 'clean' AS verdict, 'F-P-CM-' || lpad(CAST(id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 7 AS VARCHAR), 2, '0') AS cited,
+       CASE WHEN answer_id % 3 = 2 THEN 'Said before.' || chr(10) || chr(10) ELSE '' END || 'The form is F-P-CM-' || lpad(CAST(id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 7 AS VARCHAR), 2, '0') || '.' AS recorded FROM h""")
+def session_answers(spark, sf_dir):
+    """New questions, follow-ups that are rewritten from the history, and continuations that replay the last hits."""
+    c = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    plain = chunks(spark, sf_dir).select("id", "filename", "text")
+    q, k = questions(spark, sf_dir), F.col("question_id")
+    said = F.when(k % 3 == 0, F.concat(F.lit("Which form holds this? "), F.col("query"))).when(k % 3 == 1, "and for that one?").otherwise("carry on please")
+    own = c.withColumnRenamed("id", "question_id").select("question_id", F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit("doc_"), k.cast("string")).alias("filename"), F.lit("s").alias("section"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("variant"), "text")).alias("previous_hits"))
+    m = q.join(own, "question_id", "left").select(k.alias("answer_id"), F.when(k % 3 == 0, F.col("query")).otherwise(said).alias("question"), F.when(k % 3 != 0, F.concat(F.lit("Q: "), F.col("query"))).alias("history"), F.lit("Said before.").alias("previous_answer"), "previous_hits")
+
+    def find(asked):
+        top = Search(plain.select("id", "text"), asked.withColumnRenamed("answer_id", "question_id")).top("bm25", 3, only_shared=True)
+        none = F.lit(None).cast("string")
+        return top.select(F.col("question_id").alias("answer_id"), "rank", "id").join(c, "id").select("answer_id", "rank", F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("filename"), F.lit("s").alias("section"), none.alias("family"), none.alias("variant"), "text")
+
+    def said_by(prompt: str) -> str:
+        import re
+
+        if prompt.startswith("Is the new message"):
+            return "Label: CONTINUATION" if "carry on" in prompt else "FOLLOWUP"
+        if prompt.startswith("Write the new message"):
+            return " ".join(prompt.split("Q: ")[1].split("\n\nNew message")[0].split()[:8])
+        return f"The form is {re.search('F-P-CM-[0-9]{2}-[0-9]{2}', prompt).group()}."
+
+    out = ask(m, find, said_by, code_whitelist(corpus(spark, sf_dir)))
+    return out.select("answer_id", "mode", "verdict", F.array_join("cited", ",").alias("cited"), "recorded")

@@ -74,6 +74,28 @@ def append_new(df: DataFrame, path: str, key: str = "doc_id", partition: str | N
     return spark.read.parquet(path).count() - before
 
 
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object a line in UTF-8, nulls written too, in as many files as there are partitions."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(df: DataFrame, path: str, most: int = 10_000) -> int:
+    """One indented array in a single file, for reports that people read; an error if there are over ``most`` rows."""
+    import json
+
+    rows = [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).toPandas()["j"]]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; use write_json")
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(rows, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    return len(rows)
+
+
 def fingerprint(rows: DataFrame, model: str, text: str, key: str) -> str:
     """A name for these texts under this model, whatever the order of rows.
 

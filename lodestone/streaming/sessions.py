@@ -1,4 +1,4 @@
-"""Sessions over a stream of turns: each keeps its last four."""
+"""Sessions over a stream of turns: each keeps its last four, with answers and hits."""
 
 from __future__ import annotations
 
@@ -6,28 +6,40 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.functions.text import summarize
+
 MAX_TURNS = 4
-OUTPUT = "session_id long, turn long, query string, history_turns array<long>, is_followup_possible boolean"
-STATE = "turns array<long>"
+TURN = "struct<turn: long, query: string, answer_summary: string, answer: string, hits: array<long>>"
+OUTPUT = f"session_id long, turn long, query string, history array<{TURN}>, is_followup_possible boolean"
+STATE = f"turns array<{TURN}>"
 
 
 def _keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kept = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("turn")
+    kept = [tuple(t) for t in state.get[0]] if state.exists else []
     out = []
-    for turn, query in zip(rows["turn"].tolist(), rows["query"].tolist(), strict=True):
-        out.append((key[0], turn, query, list(kept), bool(kept)))
-        kept = [*kept, turn][-MAX_TURNS:]
+    for r in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
+        if r.clear:
+            kept = []
+            continue
+        out.append((key[0], r.turn, r.query, list(kept), bool(kept)))
+        hits = [int(h) for h in (r.hits if r.hits is not None else ())]
+        kept = [*kept, (int(r.turn), r.query, r.answer_summary, r.answer, hits)][-MAX_TURNS:]
     state.update((kept,))
-    yield pd.DataFrame(out, columns=["session_id", "turn", "query", "history_turns", "is_followup_possible"])
+    yield pd.DataFrame(out, columns=["session_id", "turn", "query", "history", "is_followup_possible"])
 
 
 def session_history(turns: DataFrame) -> DataFrame:
-    """Every turn of a stream (session_id, turn, query) with the four turns before it in its session.
+    """Every turn of a stream (session_id, turn, query, and perhaps answer, hits, clear) with the four before it in its session.
 
-    The state of a session is at most four numbers. A session's turns of a micro-batch are taken in
-    order; batches are taken as they come.
+    A turn is kept with its question as it was typed, the first sentence of its answer, the answer
+    and its hits, so that it can be described or replayed. A row with ``clear`` forgets the session and
+    is no turn. The state of a session is four turns at most. A session's turns of a micro-batch are
+    taken in order; batches are taken as they come.
     """
-    return turns.groupBy("session_id").applyInPandasWithState(_keep, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    have = lambda c, kind: (F.col(c) if c in turns.columns else F.lit(None)).cast(kind).alias(c)
+    rows = turns.select("session_id", "turn", "query", have("answer", "string"), have("hits", "array<long>"), have("clear", "boolean"))
+    rows = rows.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumn("clear", F.coalesce("clear", F.lit(False))).withColumn("answer_summary", summarize(F.col("answer")))
+    return rows.groupBy("session_id").applyInPandasWithState(_keep, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
