@@ -227,7 +227,7 @@ class Search:
         wanted = self.spark.createDataFrame([(t,) for t in asked.terms], "term string")
         held = {r["term"]: r["idf"] for r in self.idf().join(F.broadcast(wanted), "term").collect()}  # terms of the stated set
         place = {t: i for i, t in enumerate(asked.terms)}
-        weight = np.array([held.get(t, 0.0) for t in asked.terms])
+        weight = np.array([*(held.get(t, 0.0) for t in asked.terms), 0.0])  # the last is that of all other terms
         avgdl = self.avgdl
         kind = self.tokens.schema["id"].dataType.simpleString()
 

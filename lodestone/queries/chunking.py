@@ -209,7 +209,8 @@ def empty_pages(spark, sf_dir):
 _ROUTE_SQL = """p AS (SELECT conv_id AS doc_id, turn AS page, text FROM conversations),
 b AS (SELECT doc_id, upper(string_agg(text, chr(10) ORDER BY page)) AS full_text, count(*) AS pages, max(length(trim(text))) < 20 AS scanned FROM p GROUP BY doc_id),
 i AS (SELECT *, CAST(contains(full_text, 'TION') AS INTEGER) + CAST(contains(full_text, 'YOU') AS INTEGER) + CAST(contains(full_text, 'PLEASE') AS INTEGER) AS iso FROM b),
-r AS (SELECT doc_id, CASE WHEN scanned THEN 'workflow' WHEN iso >= 2 OR pages >= 4 THEN 'process' ELSE 'workflow' END AS kind, pages, iso AS iso_sections, scanned, ((iso >= 2) <> (pages >= 4)) AND NOT scanned AS signals_disagree FROM i)"""
+r AS (SELECT doc_id, CASE WHEN scanned THEN 'workflow' WHEN iso >= 2 OR pages >= 4 THEN 'process' ELSE 'workflow' END AS kind,
+  CASE WHEN scanned THEN 'no extractable text on any page' WHEN iso >= 2 AND pages >= 4 THEN iso || ' ISO sections and ' || pages || ' pages' WHEN iso >= 2 THEN iso || ' ISO sections' WHEN pages >= 4 THEN pages || ' pages' ELSE iso || ' ISO sections, ' || pages || ' page(s)' END AS why, pages, iso AS iso_sections, scanned, ((iso >= 2) <> (pages >= 4)) AND NOT scanned AS signals_disagree FROM i)"""
 
 
 def _routed(spark, sf_dir):
@@ -220,7 +221,7 @@ def _routed(spark, sf_dir):
 
 @query(f"WITH {_ROUTE_SQL} SELECT * FROM r")
 def doc_routing(spark, sf_dir):
-    return _routed(spark, sf_dir).drop("why")
+    return _routed(spark, sf_dir)
 
 
 @query(f"WITH {_ROUTE_SQL} SELECT kind, count(*) AS n, count(*) FILTER (scanned) AS n_scanned, count(*) FILTER (signals_disagree) AS n_disagree FROM r GROUP BY kind")

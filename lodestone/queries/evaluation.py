@@ -72,10 +72,10 @@ def channel_ranks(spark, sf_dir):
     return out.withColumnRenamed("weighted_rank", "fused_rank")
 
 
-@query("""WITH t AS (SELECT item_id, 'doc_' || (item_id * 3) AS doc, lower(left(text, 12)) AS target FROM benchmark), d AS (SELECT 'doc_' || doc_id AS doc, lower(text) AS body FROM documents)
+@query("""WITH t AS (SELECT item_id, 'doc_' || (item_id * 3) AS doc, lower(text) AS target FROM benchmark), d AS (SELECT 'doc_' || doc_id AS doc, lower(text) AS body FROM documents)
 SELECT item_id, t.doc, target, CASE WHEN body IS NULL THEN 'no such document' ELSE 'target not in document' END AS problem FROM t LEFT JOIN d USING (doc) WHERE body IS NULL OR NOT contains(body, target)""")
 def verify_eval_items(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("doc_"), (F.col("item_id") * 3).cast("string")).alias("doc"), F.lower(F.left("text", F.lit(12))).alias("target"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("doc_"), (F.col("item_id") * 3).cast("string")).alias("doc"), F.lower("text").alias("target"))
     return E.verify_items(t, chunks(spark, sf_dir))
 
 

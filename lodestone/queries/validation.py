@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import amounts, doc_family, family_and_variant, form_codes
+from lodestone.functions.text import amounts, doc_family, doc_metadata, eastern_digits, family_and_variant, form_codes, strip_reasoning, target_tokens
 from lodestone.operators import validation as V
+from lodestone.operators.diagrams import lane_chunks
+from lodestone.plans.scratch import folder
 from lodestone.queries import graphs
 from lodestone.queries.registry import query
+from lodestone.sources.files import ground_truth, load_corpus
 from lodestone.sources.tables import table
 
 #: Every document names a form; every turn of a conversation cites one, with a typographic hyphen.
@@ -148,12 +151,12 @@ def context_blocks(spark, sf_dir):
     return V.format_context(h).select("answer_id", F.md5("context").alias("context_md5"))
 
 
-@query("""WITH m AS (SELECT user_id AS doc, CASE WHEN event_type LIKE 'c%' THEN 'F-P-' ELSE 'P-' END || upper(event_type) AS code, count(*) AS n, false AS from_name FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY from_name DESC, starts_with(code, 'F-'), n DESC, code) AS r FROM m) SELECT doc, code, 'text' AS source FROM r WHERE r = 1""")
+@query("""WITH m AS (SELECT user_id AS doc, CASE WHEN event_type LIKE 'c%' THEN 'F-P-' ELSE 'P-' END || upper(event_type) AS code, count(*) AS n, user_id % 4 = 0 AND event_type LIKE 'c%' AS from_name FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY from_name DESC, starts_with(code, 'F-'), n DESC, code) AS r FROM m) SELECT doc, code, CASE WHEN from_name THEN 'filename' ELSE 'text' END AS source FROM r WHERE r = 1""")
 def family_code_resolution(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     code = F.concat(F.when(F.col("event_type").startswith("c"), "F-P-").otherwise("P-"), F.upper("event_type"))
-    m = e.groupBy(F.col("user_id").alias("doc"), code.alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("from_name", F.lit(False))
+    m = e.groupBy(F.col("user_id").alias("doc"), code.alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("from_name", (F.col("doc") % 4 == 0) & F.col("code").startswith("F-P-C"))
     return V.family_codes(m)
 
 
@@ -175,3 +178,54 @@ def doc_code_families(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", doc_family(code, name).alias("family"))
 
 
+
+
+@query(f"""WITH {_HITS}, d AS (SELECT answer_id, family, filename, min(rank) AS rank FROM h GROUP BY ALL),
+p AS (SELECT *, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY answer_id, family))
+SELECT answer_id, filename, '(This is version "' || right(filename, 2) || '" of "' || family || '". ' || n || ' different versions of this process appear in the context; they are separate documents and their steps are NOT interchangeable.)' AS label FROM p WHERE n > 1""")
+def variant_labels(spark, sf_dir):
+    v = V.variant_conflicts(_hits(spark, sf_dir))
+    return v.select("answer_id", "filename", V.variant_label(F.col("variant"), F.col("family"), F.col("n")).alias("label"))
+
+
+#: Answers as a model gives them: with its reasoning, eastern digits, codes, a control block.
+_SAID = """s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think>' || text || '</think> ' WHEN 1 THEN '<THINK>open ' ELSE '' END || 'Doc. No.: P-CM-0' || (doc_id % 9) || chr(10) || 'Title ' || doc_id || chr(10) || 'Effective Date ٣' || CASE WHEN doc_id % 3 = 0 THEN '٧۱' ELSE '' END || ' within ' || doc_id || ' days, 2.5%' AS said FROM documents)"""
+
+
+@query(rf"""WITH {_SAID}, t AS (SELECT doc_id, said, trim(regexp_replace(regexp_replace(said, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*', '', 'g')) AS plain FROM s)
+SELECT doc_id, plain, CASE WHEN doc_id % 3 = 0 THEN '٣,٧,۱' ELSE '٣' END AS eastern, array_to_string(regexp_extract_all(said, '\d+(?:[.,]\d+)?%?'), ' ') AS targets, 'P-CM-0' || (doc_id % 9) AS doc_code, 'Title ' || doc_id AS title FROM t""")
+def answer_texts(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    s = k.cast("string")
+    before = F.when(k % 4 == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit("</think> "))).when(k % 4 == 1, "<THINK>open ").otherwise("")
+    said = F.concat(before, F.lit("Doc. No.: P-CM-0"), (k % 9).cast("string"), F.lit("\nTitle "), s, F.lit("\nEffective Date ٣"), F.when(k % 3 == 0, "٧۱").otherwise(""), F.lit(" within "), s, F.lit(" days, 2.5%"))
+    d = d.select("doc_id", said.alias("said"))
+    meta = doc_metadata(F.col("said"), F.lit("x.pdf"))
+    return d.select("doc_id", strip_reasoning(F.col("said")).alias("plain"), F.array_join(eastern_digits(F.col("said")), ",").alias("eastern"), F.array_join(target_tokens(F.col("said")), " ").alias("targets"), meta["doc_code"].alias("doc_code"), meta["title"].alias("title"))
+
+
+@query(f"WITH RECURSIVE {graphs.GRAPH_SQL}, {graphs.PROSE_SQL} SELECT 'g' || graph || '.pdf' AS filename, 1 AS page, CAST(graph AS VARCHAR) AS section, text FROM pr")
+def saved_pages(spark, sf_dir):
+    """Pages as they are saved (lanes of nodes and edges in one record), rendered anew from the record."""
+    n, e = graphs.both(spark, sf_dir)
+    nodes = n.groupBy("graph").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id"), "label", "kind"))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["kind"].alias("kind"))).alias("nodes"))
+    ways = e.groupBy("graph").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("src").cast("string").alias("from"), F.col("dst").cast("string").alias("to"), "condition"))), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["condition"].alias("condition"))).alias("edges"))
+    name = F.col("graph").cast("string")
+    lane = F.array(F.struct(name.alias("name"), "nodes", "edges"))
+    pages = nodes.join(ways, "graph").select(F.concat(F.lit("g"), name, F.lit(".pdf")).alias("filename"), F.lit(1).alias("page"), F.struct(lane.alias("lanes")).alias("graph"))
+    return lane_chunks(pages)
+
+
+@query("""SELECT filename, text, source FROM (SELECT 'doc_' || doc_id AS filename, text, CASE doc_id % 3 WHEN 0 THEN 'vlm_description' WHEN 1 THEN 'pdf_vector' END AS source, doc_id FROM documents)
+WHERE coalesce(source, '') <> 'vlm_description' AND doc_id % 7 <> 4""")
+def corpus_files(spark, sf_dir):
+    """Chunks of two JSON files: processes, and diagrams of which some have blank labels only; without machine descriptions."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    label = F.when(k % 7 == 4, " ").otherwise("A")
+    graph = F.struct(F.lit("l").alias("name"), F.array(F.struct(F.lit("a").alias("id"), label.alias("label"), F.lit("step").alias("kind"))).alias("nodes"))
+    rows = d.select(k.alias("_k"), F.concat(F.lit("doc_"), k.cast("string")).alias("filename"), "text", F.when(k % 3 == 0, "vlm_description").when(k % 3 == 1, "pdf_vector").alias("source_type"), graph.alias("graph"))
+    home = folder(spark, "corpus")
+    rows.where("_k % 7 <> 4 and _k % 2 = 0").drop("_k").write.json(f"{home}/chunks")
+    rows.where("_k % 7 = 4 or _k % 2 = 1").drop("_k").write.json(f"{home}/diagrams")
+    out = ground_truth(load_corpus(spark, f"{home}/chunks", [f"{home}/none", f"{home}/diagrams"], lines=True))
+    return out.select("filename", "text", F.col("source_type").alias("source"))

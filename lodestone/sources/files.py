@@ -23,21 +23,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of chunks under one fixed schema; unknown fields are ignored and missing ones null."""
+def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of chunks, or with ``lines`` a chunk a line, under one fixed schema; unknown fields are ignored and missing ones null."""
     if not exists(spark, path):
         raise CorpusMissing(path)
-    return spark.read.schema(CHUNK).option("multiLine", True).json(path)
+    return spark.read.schema(CHUNK).option("multiLine", not lines).json(path)
 
 
-def load_corpus(spark: SparkSession, chunks: str, workflows: list[str] | None = None) -> DataFrame:
+def load_corpus(spark: SparkSession, chunks: str, workflows: list[str] | None = None, lines: bool = False) -> DataFrame:
     """Process chunks and, after them, readable diagrams of the first of ``workflows`` that exists."""
     from lodestone.operators.validation import readable
 
-    out = read_chunks(spark, chunks)
+    out = read_chunks(spark, chunks, lines)
     found = next((w for w in workflows or [] if exists(spark, w)), None)
     if found:
-        extra = read_chunks(spark, found)
+        extra = read_chunks(spark, found, lines)
         out = out.unionByName(extra.where(readable(F.col("graph.nodes"))), allowMissingColumns=True)
     return out
 
@@ -55,7 +55,10 @@ def scan_folder(spark: SparkSession, folder: str, suffix: str = ".pdf", recursiv
     else:
         rows = reader.option("recursiveFileLookup", True).load(folder)
         rows = rows.where(F.lower("path").endswith(suffix.lower()))
-        rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(e) for e in exclude])))
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+        below = F.split(F.substring("path", len(root) + 1, 1_000_000), "/")  # folders above the root do not count
+        rows = rows.where(~F.arrays_overlap(below, F.array(*[F.lit(e) for e in exclude])))
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 
 

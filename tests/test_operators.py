@@ -290,6 +290,9 @@ def test_files(spark, tmp_path):
         (tmp_path / "d" / name).write_bytes(b"x")
     assert rows(files.scan_folder(spark, str(tmp_path / "d")), "filename") == [("a.pdf",)]
     assert rows(files.scan_folder(spark, str(tmp_path / "d"), recursive=True), "filename") == [("a.pdf",), ("b.PDF",)]
+    (tmp_path / "other" / "root" / "Other").mkdir(parents=True)
+    (tmp_path / "other" / "root" / "Other" / "e.pdf").write_bytes(b"x")
+    assert rows(files.scan_folder(spark, str(tmp_path / "other" / "root"), recursive=True), "filename") == [("e.pdf",)]
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, t string")
     assert files.append_new(df, str(tmp_path / "o")) == 2 and files.append_new(df.union(spark.createDataFrame([(3, "c")], df.schema)), str(tmp_path / "o")) == 1
     assert rows(files.merge_append(df.withColumnRenamed("t", "filename"), spark.createDataFrame([(9, "b"), (9, "z")], "doc_id long, filename string")), "doc_id") == [(1,), (2,), (9,)]
