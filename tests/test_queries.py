@@ -85,20 +85,18 @@ def test_spelling_by_brute_force(spark, duck):
         by_length.setdefault(len(w), []).append(w)
     best: dict = {}
     for r in entry_module.queries()["spelling_repair"](spark, SF).collect():
-        out = r.query
-        edits = 0
+        out, edits = r.query, set()
         for w in sorted(set(re.findall("[a-z0-9]+", r.query.lower()))):
             one = w[:-1] if len(w) > 3 and w.endswith("s") and w[-2] not in "sui" else w
             if one not in best:
                 best[one] = None
-                if len(one) >= 4 and not re.search("[0-9]", one) and one not in freq:
-                    close = [t for n in range(len(one) - 3, len(one) + 4) for t in by_length.get(n, ()) if difflib.SequenceMatcher(None, one, t).real_quick_ratio() >= 0.9 and difflib.SequenceMatcher(None, one, t).quick_ratio() >= 0.9]
-                    scored = sorted((-ratio, -freq[t], t) for t in close if (ratio := difflib.SequenceMatcher(None, one, t).ratio()) >= 0.9)
-                    best[one] = scored[0][2] if scored else None
+                if len(one) >= 4 and not one.isdigit() and one not in freq:
+                    close = difflib.get_close_matches(one, [t for n in range(len(one) - 3, len(one) + 4) for t in by_length.get(n, ())], n=3, cutoff=0.9)
+                    best[one] = max(close, key=lambda t: (difflib.SequenceMatcher(None, one, t).ratio(), freq[t])) if close else None  # noqa: B023
             if best[one]:
-                edits += 1
+                edits.add(one)
                 out = re.sub(rf"(?i)(?<![a-z0-9]){w}(?![a-z0-9])", best[one], out)
-        assert (r.repaired, r.n_repairs) == (out, edits)
+        assert (r.repaired, r.n_repairs) == (out, len(edits))
 
 
 def walks(label, edges):
@@ -108,7 +106,7 @@ def walks(label, edges):
     for a, b, c in edges:
         ways.setdefault(a, []).append((b, c))
     entered = {b for _, b, _ in edges}
-    begin = next((n for n in label if n in ways and n not in entered), None) or next((n for n in label if "start" in label[n].lower() or "creation" in label[n].lower()), edges[0][0])
+    begin = [*(n for n in label if n in ways and n not in entered), *(n for n in label if "start" in label[n].lower() or "creation" in label[n].lower()), edges[0][0]][0]
     order, depth = [begin], {begin: 0}
     for n in order:
         for b, _ in ways.get(n, ()):
