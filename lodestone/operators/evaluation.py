@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.text import refused, refused_with, target_tokens, tokenize
 from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import spread
 
 
 #: Passages that go to all tasks at once.
@@ -54,7 +55,7 @@ def gold_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found, qtype), batch.column(0).take(pa.array(rows, pa.int64()))], ["question_id", "id"])
 
         qtype = to_arrow_type(items.schema["question_id"].dataType)
-        part = docs.select("id", "text").mapInArrow(run, f"question_id {qkind}, id {kind}")
+        part = spread(docs.select("id", "text")).mapInArrow(run, f"question_id {qkind}, id {kind}")
         out = part if out is None else out.unionByName(part)
     return out
 

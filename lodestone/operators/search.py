@@ -14,13 +14,16 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.retrieval import B, DENSE_WEIGHT, FLOOR_SHARE, K1, RRF_K
 from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import spread
 
 #: Questions that go to all tasks at once, and chunks that are scored at once.
 QUESTIONS = 2048
@@ -67,7 +70,7 @@ def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
                 arrays = [pa.array([n for n, _ in found], pa.int64()), pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["id", "dl", "terms", "tfs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, dl long, terms array<string>, tfs array<int>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, dl long, terms array<string>, tfs array<int>")
 
 
 class Asked:
@@ -194,21 +197,25 @@ class Search:
     (id, text, and perhaps family, is_workflow) and vectors (id, vector).
 
     Statistics are over all chunks. A chunk or question without a vector has dense scores of 0; a chunk
-    that shares no term with a question has a lexical score of 0. Chunk and question ids are whole numbers.
+    that shares no term with a question has a lexical score of 0, as have all if not ``lexical``, which
+    spares reading the texts. Chunk and question ids are whole numbers.
     """
 
-    def __init__(self, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, *, floor: bool = True, text_col: str = "text"):
+    def __init__(self, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, *, floor: bool = True, text_col: str = "text", lexical: bool = True):
         self.spark = chunks.sparkSession
         have = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
         questions = questions.select("question_id", "query", have(questions, "vector", "array<double>"), have(questions, "intent", "boolean"), have(questions, "boost_family", "string"), have(questions, "routes", "array<string>"))
         self.questions = materialize(questions, "questions")
         n = self.questions.count()
         self.turns = max(1, -(-n // QUESTIONS))
-        self.tokens = materialize(term_counts(chunks, "id", text_col), "terms")
-        size = self.tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        self.n, self.avgdl, self.floor = size["n"], size["avgdl"] or 1.0, floor
         self.meta = chunks.select("id", have(chunks, "family", "string"), have(chunks, "is_workflow", "boolean"))
         self.vectors = vectors.select("id", "vector") if vectors is not None else None
+        self.lexical, self.floor = lexical, floor
+        if not lexical:
+            return
+        self.tokens = materialize(term_counts(chunks, "id", text_col), "terms")
+        size = self.tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        self.n, self.avgdl = size["n"], size["avgdl"] or 1.0
         self.df = materialize(self.tokens.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
 
     def idf(self) -> DataFrame:
@@ -217,25 +224,34 @@ class Search:
         out = self.df.withColumn("raw", raw)
         if not self.floor:
             return out.withColumnRenamed("raw", "idf")
-        mean = out.agg(F.avg("raw").alias("mean"))
-        return out.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR_SHARE * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+        mean = out.agg(F.avg("raw")).first()[0]
+        return out.select("term", "df", F.when(F.col("raw") < 0, FLOOR_SHARE * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
     def _turn(self, number: int) -> tuple[Asked, DataFrame]:
         """The questions of a turn, and the chunks with what these ask of them."""
         rows = self.questions.where(F.pmod(F.xxhash64("question_id"), F.lit(self.turns)) == number).orderBy("question_id").collect()
         asked = Asked(rows)
-        wanted = self.spark.createDataFrame([(t,) for t in asked.terms], "term string")
-        held = {r["term"]: r["idf"] for r in self.idf().join(F.broadcast(wanted), "term").collect()}  # terms of the stated set
-        place = {t: i for i, t in enumerate(asked.terms)}
+        cut = self._lexical(asked) if self.lexical else spread(self.meta).select("*", F.array().cast("array<int>").alias("at"), F.array().cast("array<double>").alias("gain"))
+        if self.vectors is None:
+            cut = cut.withColumn("vector", F.lit(None).cast("array<float>"))
+        else:
+            cut = cut.join(self.vectors, "id", "left")
+        return asked, materialize(cut.select("id", "at", "gain", "vector", "family", F.coalesce("is_workflow", F.lit(False)).alias("is_workflow")), "asked")
+
+    def _lexical(self, asked: Asked) -> DataFrame:
+        """The chunks with the asked terms that they have (places in ``asked.terms``) and what each is worth there."""
+        wanted = self.spark.createDataFrame(pd.DataFrame({"term": asked.terms}, dtype=object), "term string")
+        held = dict(self.idf().join(F.broadcast(wanted), "term").select("term", "idf").toPandas().itertuples(index=False))  # terms of the stated set
         weight = np.array([*(held.get(t, 0.0) for t in asked.terms), 0.0])  # the last is that of all other terms
-        avgdl = self.avgdl
+        terms_asked, avgdl = asked.terms, self.avgdl
         kind = self.tokens.schema["id"].dataType.simpleString()
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(terms_asked, pa.string())
             for batch in batches:
                 ids, dl, terms, tfs = batch.columns
-                offsets, flat, counts = np.asarray(terms.offsets), terms.flatten(), np.asarray(tfs.flatten(), np.float64)
-                at = np.fromiter((place.get(t, -1) for t in flat.to_pylist()), np.int32, len(flat))
+                offsets, counts = np.asarray(terms.offsets), np.asarray(tfs.flatten(), np.float64)
+                at = pc.fill_null(pc.index_in(terms.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
                 length = np.repeat(dl.to_numpy(zero_copy_only=False), np.diff(offsets))
                 keep = at >= 0
                 gain = weight[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / avgdl))
@@ -243,12 +259,7 @@ class Search:
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[keep])) for x in (at, gain)]
                 yield pa.RecordBatch.from_arrays([ids, *lists], ["id", "at", "gain"])
 
-        cut = self.tokens.mapInArrow(run, f"id {kind}, at array<int>, gain array<double>").join(self.meta, "id")
-        if self.vectors is None:
-            cut = cut.withColumn("vector", F.lit(None).cast("array<float>"))
-        else:
-            cut = cut.join(self.vectors, "id", "left")
-        return asked, materialize(cut.select("id", "at", "gain", "vector", "family", F.coalesce("is_workflow", F.lit(False)).alias("is_workflow")), "asked")
+        return self.tokens.mapInArrow(run, f"id {kind}, at array<int>, gain array<double>").join(self.meta, "id")
 
     def _each_turn(self, f: Callable[[Asked, DataFrame], DataFrame]) -> DataFrame:
         if not hasattr(self, "_ready"):

@@ -11,3 +11,14 @@ SMALL_ROWS = 50_000
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Tables below this size, in bytes per core, are dealt anew where they lie in fewer files than there are cores.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is a small table in few files, of which a file may be one piece; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores and len(df.inputFiles()) < cores else df

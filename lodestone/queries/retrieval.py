@@ -67,9 +67,9 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(vec, "question_id", "left").withColumn("boost_family", F.concat(F.lit("src"), (q % 20).cast("string")))
 
 
-def search(spark: SparkSession, sf_dir: str, asked_by: DataFrame | None = None) -> Search:
+def search(spark: SparkSession, sf_dir: str, asked_by: DataFrame | None = None, **kw) -> Search:
     c = chunks(spark, sf_dir).select("id", "family", "is_workflow", "text")
-    return Search(c, asked(spark, sf_dir) if asked_by is None else asked_by, vectors(spark, sf_dir))
+    return Search(c, asked(spark, sf_dir) if asked_by is None else asked_by, vectors(spark, sf_dir), **kw)
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -101,7 +101,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ch) SELECT question_id, rank, id, dense FROM r WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
-    return search(spark, sf_dir).top("dense", 5).select("question_id", "rank", "id", "dense")
+    return search(spark, sf_dir, lexical=False).top("dense", 5).select("question_id", "rank", "id", "dense")
 
 
 @query(f"WITH {RANKED} SELECT question_id, rank, id, fused FROM r WHERE rank <= 6")
@@ -222,7 +222,7 @@ SELECT id, floor((2 * micro + q) / (2 * q)) / 1e6 AS mean, CAST(rank() OVER (ORD
 def hubness_zscore(spark, sf_dir):
     """Mean score over all questions: sums are of whole millionths, so no order of tasks changes them."""
     q = questions(spark, sf_dir).count()
-    sums = search(spark, sf_dir).dense_sums()
+    sums = search(spark, sf_dir, lexical=False).dense_sums()
     micro = F.col("micro").cast("decimal(38,0)")
     n, s, ss = F.col("n").cast("double"), F.col("s").cast("double") / 1e6, F.col("ss").cast("double") / 1e12
     all_ = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("micro").alias("s"), F.sum((micro * micro).cast("decimal(38,0)")).alias("ss"))
