@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.text import parts
 from lodestone.plans.scratch import materialize
-from lodestone.plans.sizes import broadcast_if_small
+from lodestone.plans.sizes import broadcast_if_small, spread
 
 #: The training sample, of every language: so many documents a language at most and in all, each of so many characters
 #: at most, and so many characters in all. Many languages share the sums; each has one document at least.
@@ -301,7 +301,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, *, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", steps: int = STEPS) -> DataFrame:
@@ -322,4 +322,4 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.3, id_col: str = "d
                 found = reader.predict(batch.column(at).to_pylist())
                 yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

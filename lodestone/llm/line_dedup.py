@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.cuckoo import CuckooFilter, Full
 from lodestone.llm.text import WHITE, parts
 from lodestone.plans.scratch import folder, materialize
-from lodestone.plans.sizes import broadcast_if_small
+from lodestone.plans.sizes import broadcast_if_small, spread
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -61,7 +61,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hi), pa.array(lo)], ["doc_id", "hi", "lo"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, hi long, lo long")
+    return spread(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {kind}, hi long, lo long")
 
 
 # --- filters ---------------------------------------------------------------------------------

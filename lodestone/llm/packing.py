@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.text import parts
 from lodestone.llm.tokens import WordBpe
 from lodestone.plans.scratch import materialize
-from lodestone.plans.sizes import broadcast_if_small
+from lodestone.plans.sizes import broadcast_if_small, spread
 
 CAPACITY = 2048
 
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *numbers], ["doc_id", "piece", "start", "length", "ids_crc32", "block", "rank"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, rank long")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

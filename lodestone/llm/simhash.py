@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.text import fresh, parts
 from lodestone.operators.graph import connected_components
 from lodestone.plans.scratch import materialize
-from lodestone.plans.sizes import broadcast_if_small
+from lodestone.plans.sizes import broadcast_if_small, spread
 
 SHINGLE = 4
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # --- the embedding ---------------------------------------------------------------------------

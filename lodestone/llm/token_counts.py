@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import parts
+from lodestone.plans.sizes import spread
 
 # Fixed value: the vocabulary's mark for the start of a word.
 START = "▁"
@@ -150,4 +151,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
