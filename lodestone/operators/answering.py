@@ -109,6 +109,18 @@ def translate(rows: DataFrame, generator: Generator, *, to_english: bool, text:
     return said.withColumn(out, F.when(F.col("error_type").isNull(), back).otherwise(F.col(text))).drop("_m", "_prompt", "response")
 
 
+def arabic_items(items: DataFrame, generator: Generator, done: DataFrame | None = None) -> DataFrame:
+    """Evaluation items (id, question, ...) in Arabic: question, question_en and review 'machine', for nobody has read them yet.
+
+    Items that ``done`` has, with a question_en, are taken from there and not translated again.
+    """
+    held = done.where("question_en is not null") if done is not None else None
+    todo = items if held is None else items.join(held.select("id"), "id", "left_anti")
+    made = translate(todo.withColumnRenamed("question", "question_en"), generator, to_english=False, text="question_en", out="question").drop("error_type")
+    made = made.withColumn("review", F.lit("machine"))
+    return made if held is None else held.join(items.select("id"), "id", "left_semi").unionByName(made, allowMissingColumns=True)
+
+
 def answer(questions: DataFrame, hits: DataFrame, generator: Generator, whitelist: DataFrame, budget: int = 18_000) -> DataFrame:
     """Checked answers to (answer_id, question) from ranked hits (answer_id, rank, filename, section, label, text, n_chars)."""
     size = (F.col("n_chars") + F.char_length("filename") + 16).cast("long")

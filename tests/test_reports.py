@@ -86,6 +86,16 @@ def test_arabic_questions_and_withheld_answers(spark):
     assert (out.mode, out.query_used, out.verdict, out.display_answer, out.recorded) == ("new", "Which form does the PM use?", "blocked", "محجوب F-P-CM-09-09", "Use F-P-CM-09-09")
 
 
+def test_arabic_items_are_made_once(spark):
+    items = spark.createDataFrame([(1, "Who signs P-CM-01?", "x"), (2, "Which form?", "y")], "id int, question string, doc string")
+    asked = lambda p: "ترجمة ZQ0ZQ" if "ZQ0ZQ" in p.split("\n\n")[-1] else "ترجمة"
+    first = A.arabic_items(items.where("id = 1"), asked)
+    assert [(r.question, r.question_en, r.doc, r.review) for r in first.collect()] == [("ترجمة P-CM-01", "Who signs P-CM-01?", "x", "machine")]
+    held = spark.createDataFrame([(1, "قديم", "Who signs P-CM-01?", "x", "human")], "id int, question string, question_en string, doc string, review string")
+    got = {r.id: (r.question, r.review) for r in A.arabic_items(items, asked, held).collect()}
+    assert got == {1: ("قديم", "human"), 2: ("ترجمة", "machine")}
+
+
 def test_faults_of_answers():
     routes = [("Desk", "Gate", "over 5 M"), ("Desk", "Yard", None), ("Gate", "Road", "dry")]
     labels = ["Desk", "Gate", "Yard", "Road"]
