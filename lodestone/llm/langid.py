@@ -27,7 +27,7 @@ BATCH = 384
 #: Longest window; a longer token goes on in another one.
 WINDOW = 48
 #: Bytes of tokens that a worker remembers with their sums, and what a token costs besides its own bytes.
-REMEMBERED = 64 << 20
+REMEMBERED = 40 << 20
 TOKEN_BYTES = 200
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -108,8 +108,8 @@ class BiGru:
     def sums(self, windows: list[bytes]) -> np.ndarray:
         """For each window the sum of the probabilities over its bytes, and at the end their number."""
         out = np.zeros((len(windows), len(self.classes) + 1), np.float32)
-        for at in range(0, len(windows), 8192):
-            part = windows[at : at + 8192]
+        for at in range(0, len(windows), 4096):
+            part = windows[at : at + 4096]
             order, length, ahead, back, active = self._arrange(part)
             labels = self._labels(self._run(ahead, active, "f", False)[0], self._run(back, active, "b", False)[0], length, active)
             total = np.zeros((len(part), len(self.classes)), np.float32)

@@ -6,7 +6,7 @@ import regex
 
 #: Bytes of words and their ids that a worker remembers, beyond which the memory starts anew; what a word costs besides
 #: its own bytes, and the longest word that is remembered.
-REMEMBERED = 128 << 20
+REMEMBERED = 80 << 20
 WORD_BYTES = 150
 LONG = 1024
 # How the vocabulary's own pre-tokenizer cuts a lower-cased word.
