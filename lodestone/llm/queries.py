@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.filter_audit import filter_audit
 from lodestone.llm.langid import identify
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.mixing import LEVELS, mix
@@ -76,6 +77,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 def _mix_sql() -> str:
@@ -185,4 +191,40 @@ r AS (SELECT l.*, n.shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END || ':0' AS shard, depth, shard_bytes
 FROM r WHERE k = 1""",
     "op8_source_mixing": _mix_sql(),
+    "op13_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+  FROM t),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, fails),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.letter || b.letter || d.letter || e.letter || g.letter AS filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] AS bits
+  FROM x a, x b, x d, x e, x g WHERE a.bit | b.bit | d.bit | e.bit | g.bit = 31),
+s AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0) AS gone
+  FROM o, range(1, 6) r(i)),
+r AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (fails & (gone | own) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (fails & gone = 0 AND fails & own <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (fails & gone <> 0 AND fails & own <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails & gone = 0 AND fails & own <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (fails & gone = 0 AND fails & own <> 0), 0) AS toxic_lost
+  FROM (SELECT part, filter_order, step, own, CAST(gone AS BIGINT) AS gone, fails, n, good, toxic FROM s, c) GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r""",
 }
