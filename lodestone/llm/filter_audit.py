@@ -116,7 +116,7 @@ class Scan:
             """Bytes 8k to 8k + 8 of words, zero beyond their ends."""
             return eights[at[rows] + 8 * k] & cut[np.minimum(lengths[rows] - 8 * k, 8)]
 
-        keys = lengths.astype(np.uint64) + (of.astype(np.uint64) << np.uint64(32))
+        keys = _stir(lengths.astype(np.uint64) + (of.astype(np.uint64) << np.uint64(32)))
         rows, k = np.flatnonzero(short), 0
         while len(rows):
             keys[rows] = _stir(keys[rows] ^ eight(rows, k))

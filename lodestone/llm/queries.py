@@ -17,8 +17,10 @@ from lodestone.llm.packing import pack
 from lodestone.llm.secrets import scan_secrets
 from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import near_dedup
+from lodestone.llm.token_files import read_tokens, write_tokens
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.topk import top_k
+from lodestone.plans.scratch import folder
 
 #: Bytes of text in a shard of op7: small, so that small tables are split too.
 SHARD_LIMIT = 1 << 20
@@ -78,6 +80,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return read_tokens(spark, path)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_files": op11_token_files,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
