@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import diagrams as D
 from lodestone.operators import graph as G
+from lodestone.operators import scoring as S
 from lodestone.queries import graphs
 from lodestone.queries.geometry import SEG_SQL, SHAPES_SQL, segments
 from lodestone.queries.registry import query
@@ -118,13 +119,91 @@ def _prose(spark, sf_dir):
     return G.render_prose(*graphs.both(spark, sf_dir)).select(F.col("graph").alias("answer_id"), "text")
 
 
-@query()
-def answer_route_scores(spark, sf_dir):
+def _routes(spark, sf_dir):
+    """Routes between different labels; repeated ones and their conditions stay."""
     n, e = graphs.both(spark, sf_dir)
     at = lambda c: n.select("graph", F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     gold = e.join(at("src"), ["graph", "src"]).join(at("dst"), ["graph", "dst"]).where("src_label <> dst_label")
-    gold = gold.select(F.col("graph").alias("answer_id"), F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct()
-    return D.score_answers(_prose(spark, sf_dir).withColumnRenamed("text", "answer"), gold)
+    return gold.select(F.col("graph").alias("answer_id"), F.col("src_label").alias("src"), F.col("dst_label").alias("dst"), "condition", "pos")
+
+
+@query()
+def answer_route_scores(spark, sf_dir):
+    gold = _routes(spark, sf_dir).select("answer_id", "src", "dst").distinct()
+    return S.score_answers(_prose(spark, sf_dir).withColumnRenamed("text", "answer"), gold)
+
+
+#: Each route is told by a decision of its own; some in-between lines name another step, some conditions and targets are
+#: others' or made up, and half of the answers end with a list of returns.
+RETOLD_SQL = f"""{graphs.GRAPH_SQL},
+rt AS (SELECT e.graph AS answer_id, a.label AS src, b.label AS dst, condition, e.pos FROM e JOIN n a ON a.graph = e.graph AND a.id = e.src JOIN n b ON b.graph = e.graph AND b.id = e.dst WHERE a.label <> b.label),
+ln AS (
+  SELECT *, 'Step ' || (pos % 9) AS other, CASE WHEN pos % 7 = 0 THEN 'Step ' || ((pos + 1) % 9) ELSE dst END AS target,
+         CASE pos % 6 WHEN 0 THEN 'approved' WHEN 1 THEN 'over 500 K' WHEN 2 THEN 'Not  approved' WHEN 3 THEN '"Over 500"' WHEN 4 THEN '"below zero"' ELSE 'late' END AS said FROM rt),
+an AS (
+  SELECT answer_id, 'The workflow begins with ' || arg_min(src, pos) || '.' || chr(10)
+           || string_agg(CASE WHEN pos % 5 = 0 THEN 'The process moves to ' || src || '.' ELSE (pos % 12 + 1) || '. The process moves to ' || src || '.' END
+                || CASE WHEN pos % 4 <> 3 THEN ' A decision is made:' ELSE '' END
+                || CASE WHEN pos % 3 = 0 THEN chr(10) || chr(10) || 'The ' || other || ' is informed first.' ELSE '' END
+                || chr(10) || '   - If ' || said || ', it moves to ' || target || '.', chr(10) ORDER BY pos)
+           || CASE WHEN answer_id % 2 = 0 THEN chr(10) || 'Returns and loops:' || chr(10) || '- ' || arg_max(dst, pos) || ' to ' || arg_max(src, pos) ELSE '' END AS answer,
+         string_agg(src || ' to ' || dst || coalesce(' [' || condition || ']', ''), chr(10) ORDER BY pos) AS text
+  FROM ln GROUP BY answer_id)"""
+PLAIN_SQL = "array_to_string(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'), ' ')"
+SAID_SQL = r"""coalesce(nullif(regexp_extract(line, '"([^"]{3,80})"', 1), ''), regexp_extract(line, 'If (.+?),', 1))"""
+
+
+@query(rf"""WITH {RETOLD_SQL},
+lb AS (SELECT answer_id, list(src) || list(dst) AS labels FROM rt GROUP BY answer_id),
+sp AS (SELECT answer_id, string_split(answer, chr(10)) AS s FROM an),
+l0 AS (SELECT answer_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM sp),
+l1 AS (
+  SELECT answer_id, i, line, list_filter(regexp_extract_all(line, 'Step (?:A|\d+)'), lambda x: list_contains(labels, x)) AS named, contains(line, 'begins with') AS lead,
+         contains(line, 'begins with') OR regexp_matches(line, '^\d+\.') AS head, regexp_matches(line, '^\s*-') AS bullet, starts_with(line, 'Returns') AS returns, contains(line, 'A decision is made') AS decides
+  FROM l0 JOIN lb USING (answer_id) WHERE trim(line) <> ''),
+l2 AS (
+  SELECT *, nullif(last_value(CASE WHEN returns THEN '' WHEN len(named) > 0 AND (head OR NOT bullet) THEN named[-1] END IGNORE NULLS) OVER w, '') AS walk,
+         last_value(CASE WHEN head AND len(named) > 0 THEN named[-1] END IGNORE NULLS) OVER w AS step,
+         coalesce(last_value(CASE WHEN head THEN decides END IGNORE NULLS) OVER w, false) AS deciding
+  FROM l1 WINDOW w AS (PARTITION BY answer_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+st AS (
+  SELECT DISTINCT answer_id, p[1] AS src, p[2] AS dst FROM (
+    SELECT answer_id, unnest(list_transform(range(1, len(named)), lambda k: [named[k], named[k + 1]])) AS p FROM l2 WHERE NOT returns
+    UNION ALL SELECT answer_id, [walk, named[1]] FROM l2 WHERE NOT returns AND NOT lead AND len(named) > 0 AND walk IS NOT NULL)
+  WHERE p[1] <> p[2]),
+go AS (SELECT DISTINCT answer_id, src, dst FROM rt),
+g AS (SELECT answer_id, count(*) AS gold, count(st.src) AS covered FROM go LEFT JOIN st USING (answer_id, src, dst) GROUP BY answer_id),
+x AS (SELECT answer_id, count(*) AS asserted FROM st ANTI JOIN go USING (answer_id, src, dst) GROUP BY answer_id),
+q AS (SELECT answer_id, text, unnest(regexp_extract_all(answer, '"([^"]{{3,80}})"', 1)) AS quote FROM an),
+qc AS (SELECT answer_id, count(*) AS quotes FROM q WHERE NOT contains({PLAIN_SQL.format('text')}, {PLAIN_SQL.format('quote')}) GROUP BY answer_id),
+lv AS (SELECT answer_id, src, count(*) AS n FROM rt GROUP BY answer_id, src),
+d AS (SELECT answer_id, CASE WHEN len(named) > 0 THEN named[-1] ELSE step END AS src FROM l2 WHERE decides),
+dc AS (SELECT answer_id, count(*) AS decisions FROM d LEFT JOIN lv USING (answer_id, src) WHERE d.src IS NOT NULL AND coalesce(n, 0) < 2 GROUP BY answer_id),
+b AS (SELECT * FROM l2 WHERE bullet AND NOT head AND deciding AND step IS NOT NULL),
+wc AS (SELECT answer_id, count(*) AS wrong FROM b WHERE len(named) > 0 AND NOT EXISTS (SELECT 1 FROM go WHERE go.answer_id = b.answer_id AND go.src = b.step AND go.dst = b.named[1]) GROUP BY answer_id),
+bs AS (SELECT answer_id, i, step, {PLAIN_SQL.format(SAID_SQL)} AS said FROM b),
+bk AS (
+  SELECT bs.answer_id, bs.i, bool_or(rt.src = bs.step) AS own
+  FROM bs JOIN rt ON rt.answer_id = bs.answer_id AND coalesce(rt.condition, '') <> '' AND (contains({PLAIN_SQL.format('rt.condition')}, said) OR contains(said, {PLAIN_SQL.format('rt.condition')}))
+  WHERE said NOT IN ('', 'approved', 'sent back', 'further action is required') GROUP BY bs.answer_id, bs.i),
+bc AS (SELECT answer_id, count(*) AS borrowed FROM bk WHERE NOT own GROUP BY answer_id)
+SELECT answer_id, CAST(coalesce(gold, 0) AS INTEGER) AS gold, CAST(coalesce(covered, 0) AS INTEGER) AS covered, round_even(100.0 * covered / gold, 1)::DOUBLE AS pct, CAST(coalesce(asserted, 0) AS INTEGER) AS asserted,
+       CAST(coalesce(quotes, 0) AS INTEGER) AS quotes, CAST(coalesce(decisions, 0) AS INTEGER) AS decisions, CAST(coalesce(borrowed, 0) AS INTEGER) AS borrowed, CAST(coalesce(wrong, 0) AS INTEGER) AS wrong
+FROM an LEFT JOIN g USING (answer_id) LEFT JOIN x USING (answer_id) LEFT JOIN qc USING (answer_id) LEFT JOIN dc USING (answer_id) LEFT JOIN bc USING (answer_id) LEFT JOIN wc USING (answer_id)""")
+def answer_faults(spark, sf_dir):
+    """Retold diagrams, their faults counted: see RETOLD_SQL for how they are told."""
+    routes, pos = _routes(spark, sf_dir), F.col("pos")
+    lit, step = F.lit, lambda n: F.concat(F.lit("Step "), n.cast("string"))
+    said = F.element_at(F.array(*[lit(x) for x in ("approved", "over 500 K", "Not  approved", '"Over 500"', '"below zero"', "late")]), (pos % 6 + 1).cast("int"))
+    row = F.concat(
+        F.when(pos % 5 == 0, lit("")).otherwise(F.concat((pos % 12 + 1).cast("string"), lit(". "))), lit("The process moves to "), "src", lit("."),
+        F.when(pos % 4 != 3, lit(" A decision is made:")).otherwise(""), F.when(pos % 3 == 0, F.concat(lit("\n\nThe "), step(pos % 9), lit(" is informed first."))).otherwise(""),
+        lit("\n   - If "), said, lit(", it moves to "), F.when(pos % 7 == 0, step((pos + 1) % 9)).otherwise(F.col("dst")), lit("."))
+    rows = F.array_sort(F.collect_list(F.struct("pos", row.alias("row"), "src", "dst", F.concat("src", lit(" to "), "dst", F.coalesce(F.concat(lit(" ["), "condition", lit("]")), lit(""))).alias("route"))))
+    told = routes.groupBy("answer_id").agg(rows.alias("r"))
+    last = F.element_at("r", -1)
+    answer = F.concat(lit("The workflow begins with "), F.col("r")[0]["src"], lit(".\n"), F.array_join(F.col("r.row"), "\n"), F.when(F.col("answer_id") % 2 == 0, F.concat(lit("\nReturns and loops:\n- "), last["dst"], lit(" to "), last["src"])).otherwise(""))
+    return S.score_answers(told.select("answer_id", answer.alias("answer"), F.array_join(F.col("r.route"), "\n").alias("text")), routes)
 
 
 @query()

@@ -349,13 +349,15 @@ def test_fragments(spark):
     assert rows(D.merge_fragments(back, far), "label", "n") == [("out in", 3)]
 
 
-def test_stated_routes():
-    from lodestone.operators.diagrams import label_hits, stated_routes
+def test_stated_routes(spark):
+    from lodestone.operators.scoring import answer_lines, label_hits, stated_routes
 
     labels = ["PM", "PM Review", "Finance", "COO"]
     assert label_hits("the PM review, then PM", labels) == ["PM Review", "PM"]
     said = "The flow begins with PM.\n1. Finance\n - over 3M goes to COO\n2. PM Review\nReturns and loops\nCOO"
-    assert stated_routes(said, labels) == {("PM", "Finance"), ("Finance", "COO"), ("Finance", "PM Review")}
+    routes = spark.createDataFrame([(1, "PM", "PM Review"), (1, "Finance", "COO")], "answer_id long, src string, dst string")
+    lines = answer_lines(spark.createDataFrame([(1, said)], "answer_id long, answer string"), routes)
+    assert {(r.src, r.dst) for r in stated_routes(lines).collect()} == {("PM", "Finance"), ("Finance", "COO"), ("Finance", "PM Review")}
 
 
 def test_saved_pages_and_gates(spark):

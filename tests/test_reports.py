@@ -96,17 +96,99 @@ def test_arabic_items_are_made_once(spark):
     assert got == {1: ("قديم", "human"), 2: ("ترجمة", "machine")}
 
 
-def test_faults_of_answers():
+def faults(spark, answer, routes, text=""):
+    from lodestone.operators import scoring as S
+
+    answers = spark.createDataFrame([(1, answer, text)], "answer_id long, answer string, text string")
+    table = spark.createDataFrame([(1, *r) for r in routes], "answer_id long, src string, dst string, condition string")
+    lines = S.answer_lines(answers, table)
+    pairs = lambda df, *c: [tuple(r) for r in df.orderBy("line_no").select(*c).collect()]
+    said = {(r.src, r.dst) for r in S.stated_routes(lines).collect()}
+    return pairs(S.borrowed_conditions(lines, table), "src", "condition"), pairs(S.wrong_branches(lines, table), "src", "dst"), [x for (x,) in pairs(S.false_decisions(lines, table), "label")], [r.quote for r in S.unsupported_quotes(answers).collect()], said
+
+
+def test_faults_of_answers(spark):
     routes = [("Desk", "Gate", "over 5 M"), ("Desk", "Yard", None), ("Gate", "Road", "dry")]
-    labels = ["Desk", "Gate", "Yard", "Road"]
     answer = 'The workflow begins with Desk.\n1. A decision is made:\n   - If over 5 M, it moves to Gate.\n   - If dry, it moves to Yard.\n   - If approved, it moves to Road.\n2. The process moves to Gate. A decision is made:\n   - If "dry season", it moves to Road.\nReturns and loops:\n- Yard -> Desk'
-    assert D.branch_faults(answer, labels, routes) == ([("Desk", "dry")], [("Desk", "Road")])
-    assert D.false_decisions(answer, labels, routes) == ["Gate"]
-    assert D.unsupported_quotes(answer, "Desk -> Gate [over 5 M], Gate -> Road [dry]") == ["dry season"]
-    said = D.stated_routes(answer, labels)
+    borrowed, wrong, decisions, quotes, said = faults(spark, answer, routes, "Desk -> Gate [over 5 M], Gate -> Road [dry]")
+    assert (borrowed, wrong, decisions, quotes) == ([("Desk", "dry")], [("Desk", "Road"), ("Gate", "Yard")], ["Gate"], ["dry season"])  # no heading ends a decision's bullets
     assert ("Yard", "Desk") in said and ("Gate", "Yard") not in said and ("Road", "Yard") not in said  # the list of returns is no part of the walk
 
 
+def test_plain_lines_move_the_walk_but_not_the_step(spark):
+    routes = [("Desk", "Gate", "over 5 M"), ("Desk", "Yard", None)]
+    answer = "1. The process moves to Desk. A decision is made:\nThe Gate is informed first.\n- If over 5 M, it moves to Gate.\n- If approved, it moves to Yard.\nLater a decision is made:"
+    borrowed, wrong, decisions, quotes, said = faults(spark, answer, routes)
+    assert (borrowed, wrong, decisions, quotes) == ([], [], [], [])
+    assert said == {("Desk", "Gate"), ("Gate", "Yard")}  # the walk stands on the Gate
+
+
+def retold(answer, labels, routes, text):
+    """What the docstrings say, line by line."""
+    import re
+
+    norm = lambda x: " ".join(re.findall("[a-z0-9]+", (x or "").lower()))
+    walk = step = None
+    deciding, said, decisions, borrowed, wrong = False, set(), 0, 0, 0
+    out_of = lambda n: [r for r in routes if r[0] == n]
+    for line in answer.split("\n"):
+        if not line.strip():
+            continue
+        named = [x for x in re.findall("[A-Z][a-z]+", line) if x in labels]
+        lead, bullet = "begins with" in line.lower(), line.lstrip()[0] in "-*•"
+        head = lead or bool(re.match(r"\s*\d+[.)]", line))
+        if re.search("a decision is made", line, re.I):
+            at = named[-1] if named else step
+            decisions += at is not None and len(out_of(at)) < 2
+        if bullet and not head and deciding and step:
+            wrong += bool(named) and named[0] not in [r[1] for r in out_of(step)]
+            cands = re.findall(r'"([^"]{3,80})"', line) or re.findall(r"^\s*[-*•]\s*If\s+(.+?)\s*,", line)
+            for c in map(norm, cands):
+                if not c or c in ("approved", "sent back", "further action is required"):
+                    continue
+                owners = {r[0] for r in routes if r[2] and (norm(r[2]) in c or c in norm(r[2]))}
+                if owners and step not in owners:
+                    borrowed += 1
+                    break
+        if head:
+            deciding = bool(re.search("a decision is made", line, re.I))
+            step = named[-1] if named else step
+        if re.match(r"\s*(returns and loops|send-backs)", line, re.I):
+            walk = None
+            continue
+        said |= set(zip(named, named[1:], strict=False))
+        if named and walk and not lead:
+            said.add((walk, named[0]))
+        if named and (head or not bullet):
+            walk = named[-1]
+    said, want = {p for p in said if p[0] != p[1]}, {(a, b) for a, b, _ in routes}
+    quotes = sum(norm(q) != "" and norm(q) not in norm(text) for q in re.findall(r'"([^"]{3,80})"', answer))
+    return len(want), len(want & said), len(said - want), quotes, decisions, borrowed, wrong
+
+
+def test_scores_against_plain_code(spark):
+    import random
+
+    from lodestone.operators import scoring as S
+
+    rng, names = random.Random(3), ["Desk", "Gate", "Yard", "Road", "Dock"]
+    conditions = [None, "", "over 5 M", "dry", "approved", "Dry season!"]
+    parts = ["1. ", "2) ", "- ", "  * ", "• ", "", "", "Returns and loops: ", "Send-backs ", "begins with ", "a decision is made: ", "If dry, ", "If  over 5 M , ", "If approved, ", '"dry" ', '"wet or dry season" ', '"!!!" ', "\n", "\n", "\n", "   \n", "to Desk ", "Gate ", "Yard and Road ", "the Dock ", "\n1. Desk. A decision is made:\n- If over 5 M, to Gate\n", "\n2. Road. A decision is made:\n* If \"dry\", to "]
+    answers, routes = [], []
+    for i in range(120):
+        table = [(rng.choice(names), rng.choice(names), rng.choice(conditions)) for _ in range(rng.randint(1, 6))]
+        routes += [(i, *r) for r in table]
+        answers.append((i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))), "Desk [dry season]"))
+    a = spark.createDataFrame([*answers, (500, None, None), (501, "1. Desk to Gate", None)], "answer_id long, answer string, text string")
+    r = spark.createDataFrame([*routes, (502, "Desk", "Gate", None)], "answer_id long, src string, dst string, condition string")
+    got = {x.answer_id: (x.gold, x.covered, x.asserted, x.quotes, x.decisions, x.borrowed, x.wrong) for x in S.score_answers(a, r).collect()}
+    for i, answer, text in answers:
+        own = [x[1:] for x in routes if x[0] == i]
+        assert got[i] == retold(answer, {n for x in own for n in x[:2]}, own, text), (answer, own)
+    assert got[500] == got[501] == (0,) * 7 and got[502] == (1, 0, 0, 0, 0, 0, 0)
+    assert all(sum(g[k] for g in got.values()) > 0 for k in range(7))
+
+
 def test_empty_pages(spark):
     d, s = spark.createDataFrame([], P.DRAWINGS), spark.createDataFrame([], P.SPANS)
     page = spark.createDataFrame([(1, 100.0, None)], "page long, height double, title_hint string")
