@@ -11,13 +11,16 @@ import numpy as np
 
 #: What becomes of an id: the order-2 prediction, the order-1 prediction, an id of the block so far, a new one.
 TWO, ONE, ZERO, NEW = range(4)
-#: Parts of a probability of these four, as a power of two, and the fewest that one of them gets.
+#: Parts of a probability of these four, as a power of two, the fewest that one of them gets, and what is left.
 PARTS, LEAST = 14, 16
-#: How often a prediction has held is counted up to this; the value after it says that there is none.
+FREE = (1 << PARTS) - 4 * LEAST
+#: How often predictions of an order have held in a row is counted up to this; the state after it says that there is none.
 SURE = 6
 STATES = SURE + 2
-#: How fast probabilities and the weights of the three orders follow what they see.
-RATE, FORGET = np.float32(0.05), np.float32(0.02)
+#: Probabilities and the weights of the orders follow what they have seen whenever so many ids have been coded.
+WINDOW = 64
+#: Weights are parts of this.
+WEIGHTS = 256
 #: Ids must be below this; probabilities of new ids have as many parts.
 MOST_IDS = 1 << 22
 RANGE_LOW = np.uint64(1 << 48)
@@ -26,9 +29,8 @@ WORD = np.uint64(16)
 
 def new_ids(limit: int) -> np.ndarray:
     """Bounds of the parts that each id below ``limit`` has as a new one, by Zipf's rule: vocabularies put frequent ids first."""
-    share = 1.0 / (np.arange(limit) + 1000.0)
-    room = (1 << 24) - limit
-    parts = 1 + np.floor(share * (room / share.sum())).astype(np.int64)
+    share = (1 << 32) // (np.arange(limit) + 1000)
+    parts = 1 + share * ((1 << 24) - limit) // int(share.sum())
     parts[0] += (1 << 24) - parts.sum()
     return np.concatenate([[0], np.cumsum(parts)])
 
@@ -38,98 +40,125 @@ def refreshes(block: int) -> list[int]:
     return [1 << i for i in range(4, 32) if 1 << i < block]
 
 
-def _first_guess(state: int, own: int, other: int | None = None) -> list[float]:
-    """Starting probabilities: of a prediction that has held ``state`` times."""
-    hit = 0.02 if state > SURE else (state + 1) / (state + 2.5)
-    out = [(1 - hit) * x for x in (0.1, 0.1, 0.5, 0.3)]
-    out[own] += hit
-    if other is not None:
-        out[other], out[own] = out[own], out[other]
+def _first_guess(state: int, own: int, other: int | None = None) -> list[int]:
+    """Starting counts of the four cases after ``state`` predictions of an order have held."""
+    hit = 0 if state > SURE else 2 + 4 * state
+    out = [1, 1, 5, 3]
+    out[own if other is None else other] += hit
     return out
 
 
 class Model:
-    """Predictions for blocks that are coded in step. The caller asks ``predict``, then tells ``update``."""
+    """Predictions for blocks that are coded in step. The caller asks ``predict``, then tells ``update``.
+
+    Orders 1 and 2 each predict the id that followed their context last. What such a prediction is
+    worth depends on its state; each order has counts of the four cases by state, order 0 has one
+    set. The three distributions are mixed by weights, which follow how much probability an order gave
+    to what came. Bounds of the four cases are packed into one 64-bit number (16 bits each), weighted
+    already, so that mixing is a sum.
+    """
 
     def __init__(self, blocks: int, length: int):
         self.bits = max(8, (length - 1).bit_length())
-        lanes = np.arange(blocks)
-        self.base, self.lanes = lanes << self.bits, lanes
-        self.known = [np.full(blocks << self.bits, -1, np.int32) for _ in range(2)]  # by context: (id it was followed by) * 8 + times
-        first = [np.array([_first_guess(s, ONE) for s in range(STATES)] + [_first_guess(s, ONE, TWO) for s in range(STATES)]), np.array([_first_guess(s, TWO) for s in range(STATES)])]
-        self.by_state = [np.ascontiguousarray(np.tile(x, (blocks, 1)).T, np.float32).ravel() for x in first]  # case, block, state
-        self.cases = [(np.arange(4) * len(lanes) * len(x))[:, None] for x in first]
+        self.lanes = lanes = np.arange(blocks)
+        self.base = lanes << self.bits
+        self.known = [np.full(blocks << self.bits, -1, np.int32) for _ in range(2)]  # by context: the id that followed
+        self.held = [np.zeros(blocks, np.int64) for _ in range(2)]
+        first = [[_first_guess(s, ONE) for s in range(STATES)] + [_first_guess(s, ONE, TWO) for s in range(STATES)], [_first_guess(s, TWO) for s in range(STATES)], [[1, 1, 5, 3]]]
+        self.counts = [np.ascontiguousarray(np.tile(np.array(x, np.int64), (blocks, 1)).T) for x in first]  # case, then block and state
         self.own = [lanes * len(x) for x in first]
-        self.order0 = np.tile(np.array([[0.1], [0.1], [0.5], [0.3]], np.float32), (1, blocks))
-        self.weights = np.full((3, blocks), 1 / 3, np.float32)
+        self.weights = np.full((3, blocks), WEIGHTS // 3, np.int64)
+        self.worth = np.zeros((3, blocks), np.int64)
+        self.states = np.zeros((2, WINDOW, blocks), np.int64)
+        self.cases = np.zeros((WINDOW, blocks), np.int64)
         self.before, self.before2 = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+        self.hashed = self._hash(self.before)
         self.ids = np.zeros((length, blocks), np.int32)
         self.times, self.due = 0, set(refreshes(length))
         self.counted = 0  # ids of each block that order 0 knows
         self.place = np.full(blocks << self.bits, -1, np.int32)  # by id: its run among the sorted ids
         self.run_of, self.heads, self.lengths, self.values = (np.zeros(1, np.int64) for _ in range(4))
-        self.hashed = self._hash(self.before)
+        self._mix()
 
     def _hash(self, x: np.ndarray) -> np.ndarray:
-        return ((x * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - self.bits)
+        x = x * 0x9E3779B1
+        x &= 0xFFFFFFFF
+        x >>= 32 - self.bits
+        return x
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the first n blocks: parts of the four cases (4 x n), and bounds of these."""
+    def predict(self, n: int) -> np.ndarray:
+        """Packed bounds of the first n blocks: where the cases ONE, ZERO and NEW begin, 16 bits each from bit 16 on."""
         base = self.base[:n]
-        self.at = [base + self.hashed[:n], base + self._hash(self.before[:n] * 0x2545F + self.before2[:n] + 1)]
-        held = [k.take(a) for k, a in zip(self.known, self.at, strict=True)]
-        self.held = held
-        self.guess = [h >> 3 for h in held]
-        one = self.own[0][:n] + (held[0] & 7) + STATES * (self.guess[0] == self.guess[1])
-        two = self.own[1][:n] + (held[1] & 7)
-        self.state = [one + self.cases[0], two + self.cases[1]]
-        self.said = [t.take(s) for t, s in zip(self.by_state, self.state, strict=True)] + [np.ascontiguousarray(self.order0[:, :n])]
-        w = self.weights[:, :n]
-        mixed = self.said[0] * w[0]
-        mixed += self.said[1] * w[1]
-        mixed += self.said[2] * w[2]
-        mixed *= np.float32((1 << PARTS) - 8 * LEAST)
-        parts = mixed.astype(np.int64)
-        parts += LEAST
-        bounds = np.empty((5, n), np.int64)
-        bounds[0], bounds[4] = 0, 1 << PARTS
-        bounds[1] = parts[0]
-        np.add(parts[0], parts[1], out=bounds[2])
-        np.add(bounds[2], parts[2], out=bounds[3])
-        np.subtract(bounds[4], bounds[3], out=parts[3])
-        return parts, bounds
+        context = self.before[:n] * 0x2545F
+        context += self.before2[:n]
+        context += 1
+        self.at = [self.hashed[:n] + base, self._hash(context) + base]
+        self.guess = one, two = [k.take(a) for k, a in zip(self.known, self.at, strict=True)]
+        first, second = self.states[:, self.times % WINDOW, :n]
+        np.copyto(first, np.where(one < 0, SURE + 1, self.held[0][:n]))
+        first += (one == two) * STATES
+        first += self.own[0][:n]
+        np.copyto(second, np.where(two < 0, SURE + 1, self.held[1][:n]))
+        second += self.own[1][:n]
+        bounds = self.packed[0].take(first)
+        bounds += self.packed[1].take(second)
+        bounds += self.packed[2][:n]
+        return bounds
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs of the ids of the first blocks among what order 0 knows, and whether it knows them."""
         self.asked = self._hash(ids)
-        at = self.place.take(self.base[: len(ids)] + self.asked)
-        return at, (at >= 0) & (self.values.take(at) == ids)
+        at = self.place.take(self.asked + self.base[: len(ids)])
+        return at, (self.values.take(at) == ids) & (at >= 0)
 
     def update(self, ids: np.ndarray, case: np.ndarray, hashed: np.ndarray | None = None) -> None:
         n = len(ids)
-        seen = (case.astype(np.int8) == np.arange(4, dtype=np.int8)[:, None]).astype(np.float32)
-        pick = case * n + self.lanes[:n]
-        w = self.weights[:, :n]
-        for k, said in enumerate(self.said):
-            w[k] *= said.take(pick)
-            seen_more = seen - said
-            seen_more *= RATE
-            said += seen_more
-        w /= w[0] + w[1] + w[2]
-        w += FORGET * (np.float32(1 / 3) - w)
         for k in range(2):
-            self.by_state[k][self.state[k]] = self.said[k]
-            held = self.held[k]
-            self.known[k][self.at[k]] = np.where(self.guess[k] == ids, held + ((held & 7) < SURE), ids << 3)
-        self.order0[:, :n] = self.said[2]
+            held = self.held[k][:n]
+            held += 1
+            np.minimum(held, SURE, out=held)
+            held *= self.guess[k] == ids
+            self.known[k][self.at[k]] = ids
+        self.cases[self.times % WINDOW, :n] = case
         self.ids[self.times, :n] = ids
         self.before2[:n] = self.before[:n]
         self.before[:n] = ids
         self.hashed[:n] = self._hash(ids) if hashed is None else hashed
         self.times += 1
+        if self.times % WINDOW == 0:
+            self._learn()
         if self.times in self.due:
             self._refresh()
 
+    def _learn(self) -> None:
+        """Counts and weights take in the last WINDOW ids, and forget a part of what was before."""
+        blocks = len(self.lanes)
+        for k in range(3):
+            counts = self.counts[k]
+            state = self.states[k] if k < 2 else np.broadcast_to(self.lanes, (WINDOW, blocks))
+            at = (self.cases * counts.shape[1] + state).ravel()
+            # what the order gave to what came, before it takes that in
+            self.worth[k] -= self.worth[k] >> 1
+            self.worth[k] += ((counts.ravel()[at] << 10) // counts.sum(axis=0)[state.ravel()]).reshape(WINDOW, blocks).sum(axis=0)
+            counts -= counts >> 2
+            counts += np.bincount(at, minlength=counts.size).reshape(counts.shape) * 4
+            np.maximum(counts, 1, out=counts)
+        worth = (self.worth >> 4) ** 2 + 1
+        self.weights = (WEIGHTS * worth) // worth.sum(axis=0)
+        self._mix()
+
+    def _mix(self) -> None:
+        """Weighted bounds of each order and state; all weights and probabilities are whole numbers."""
+        self.packed = []
+        for k, counts in enumerate(self.counts):
+            upto = np.cumsum(counts, axis=0)
+            bounds = FREE * upto[:3] // upto[3]
+            bounds *= np.repeat(self.weights[k], bounds.shape[1] // len(self.lanes))
+            bounds //= WEIGHTS
+            if k == 2:
+                bounds += LEAST * np.arange(1, 4)[:, None]
+            self.packed.append((bounds[0] << 16) + (bounds[1] << 32) + (bounds[2] << 48))
+
     def _refresh(self) -> None:
         """Order 0: the ids of each block so far, sorted; an id's parts are its places there."""
         t, blocks = self.times, len(self.lanes)
@@ -145,6 +174,18 @@ class Model:
         self.counted = t
 
 
+def _share(bounds: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, parts) of the cases."""
+    shift = case << 4
+    start = (bounds >> shift) & 0xFFFF
+    ends = (bounds >> 16) & 0xFFFFFFFFFFFF
+    ends |= 1 << (48 + PARTS)
+    ends >>= shift
+    ends &= 0xFFFF
+    ends -= start
+    return start, ends
+
+
 class Encoder:
     """Range coders in step, of 64 bits, that give 16 at a time."""
 
@@ -200,14 +241,13 @@ def encode(ids: np.ndarray, length: int, limit: int) -> list[bytes]:
     total = np.array([1, 1, 1, 1 << 24], np.int64)
     for t in range(steps):
         n = blocks if t < short else blocks - 1
-        x, lanes = by_step[t, :n], model.lanes[:n]
-        parts, bounds = model.predict(n)
+        x = by_step[t, :n]
+        bounds = model.predict(n)
         at, known = model.find(x)
         case = np.where(known, ZERO, NEW)
         case[x == model.guess[0]] = ONE
         case[x == model.guess[1]] = TWO
-        pick = case * n + lanes
-        coder.put(n, coder.range[:n] >> np.uint64(PARTS), bounds.take(pick), parts.take(pick))
+        coder.put(n, coder.range[:n] >> np.uint64(PARTS), *_share(bounds, case))
         start, size = np.zeros(n, np.int64), np.ones(n, np.int64)
         rows = np.flatnonzero(case == ZERO)
         runs = at[rows]
@@ -238,16 +278,16 @@ def decode(payloads: list[bytes], count: int, length: int, limit: int) -> np.nda
     total = np.array([1, 1, 1, 1 << 24], np.int64)
     for t in range(min(length, count)):
         n = blocks if t < short else blocks - 1
-        lanes, c, s = model.lanes[:n], code[:n], span[:n]
-        parts, bounds = model.predict(n)
+        c, s = code[:n], span[:n]
+        bounds = model.predict(n)
         share = s >> np.uint64(PARTS)
         value = (c // share).view(np.int64)
-        case = (value >= bounds[1]).astype(np.int64)
-        case += value >= bounds[2]
-        case += value >= bounds[3]
-        pick = case * n + lanes
-        c -= share * bounds.take(pick).view(np.uint64)
-        s[:] = share * parts.take(pick).view(np.uint64)
+        case = (value >= ((bounds >> 16) & 0xFFFF)).astype(np.int64)
+        case += value >= ((bounds >> 32) & 0xFFFF)
+        case += value >= (bounds >> 48)
+        start, parts = _share(bounds, case)
+        c -= share * start.view(np.uint64)
+        s[:] = share * parts.view(np.uint64)
         total[ZERO] = max(1, model.counted)
         whole = total.take(case)
         share = s // whole.view(np.uint64)
