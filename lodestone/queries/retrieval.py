@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import embed_text, route_families, singular, tokenize, workflow_intent
 from lodestone.operators import retrieval as R
+from lodestone.operators.index import InvertedIndex
 from lodestone.operators.search import Search
+from lodestone.plans.scratch import folder
 from lodestone.queries.registry import query
 from lodestone.sources.tables import chunks, questions, table, vectors
 
@@ -99,6 +101,33 @@ def bm25_topk(spark, sf_dir):
     return found.select("question_id", "rank", "id", "bm25")
 
 
+#: What is left of the documents after the changes of :func:`kept_index`.
+LEFT = BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 7)")
+assert LEFT != BM25
+
+
+def kept_index(spark, sf_dir):
+    """An index in three changes: two thirds of the documents, some with a text that is not theirs; the others, with these anew; some deleted."""
+    index, docs = InvertedIndex(spark, folder(spark, "index")), chunks(spark, sf_dir).select("id", "text")
+    wrong = F.when(F.col("id") % 6 == 1, F.lit("a text that will be replaced")).otherwise(F.col("text"))
+    index.add(docs.where("id % 3 <> 0").withColumn("text", wrong))
+    index.add(docs.where("id % 3 = 0 or id % 6 = 1"))
+    index.remove(docs.where("id % 10 = 7").select("id"))
+    return index
+
+
+@query(f"WITH {LEFT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS INTEGER) AS rank FROM bm) SELECT question_id, rank, id, bm25 FROM r WHERE rank <= 3")
+def bm25_index_topk(spark, sf_dir):
+    return kept_index(spark, sf_dir).top(questions(spark, sf_dir), 3).select("question_id", "rank", "id", "bm25")
+
+
+@query(f"WITH {LEFT} SELECT term, df FROM df")
+def index_terms(spark, sf_dir):
+    index = kept_index(spark, sf_dir)
+    index.compact()
+    return index.frequencies()
+
+
 @query(f"WITH {PAIRS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ch) SELECT question_id, rank, id, dense FROM r WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
     return search(spark, sf_dir, lexical=False).top("dense", 5).select("question_id", "rank", "id", "dense")
