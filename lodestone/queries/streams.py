@@ -14,28 +14,39 @@ from lodestone.queries.retrieval import ASKED, BM25, RANKED, ranked
 from lodestone.queries.validation import corpus
 from lodestone.sources.files import cached_embeddings
 from lodestone.sources.tables import chunks, questions, table
-from lodestone.streaming.sessions import session_history
+from lodestone.streaming.sessions import kept_turns, session_history, state_store
+
+
+def run_sessions(spark, sf_dir, home):
+    talk = table(spark, sf_dir, "conversations")
+    for n, part in enumerate(("turn < 5", "turn >= 5")):
+        talk.where(part).write.parquet(f"{home}/in/{n}")
+        rows = spark.readStream.schema(talk.schema).option("recursiveFileLookup", True).parquet(f"{home}/in")
+        turns = rows.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("query"), F.concat(F.col("turn").cast("string"), F.lit(". More of it.")).alias("answer"), F.array((F.col("turn") * 2).cast("long"), (F.col("turn") * 2 + 1).cast("long")).alias("hits"), (F.col("turn") % 7 == 6).alias("clear"))
+        with state_store(spark):
+            stream = session_history(turns).writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out")
+            stream.awaitTermination()
 
 
 @query("""WITH t AS (SELECT conv_id AS session_id, turn, text, turn % 7 = 6 AS clear, count(*) FILTER (turn % 7 = 6) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations),
 k AS (SELECT *, list('Q: ' || md5(text) || ' A: ' || turn || ' H: ' || turn * 2 || ',' || turn * 2 + 1) OVER (PARTITION BY session_id, part ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM t WHERE NOT clear)
 SELECT session_id, turn, coalesce(array_to_string(h, '; '), '') AS history, coalesce(len(h), 0) > 0 AS is_followup_possible FROM k""")
 def streaming_sessions(spark, sf_dir):
-    home = folder(spark, "sessions")
-    path = f"{sf_dir}/conversations.parquet"
-    schema = spark.read.parquet(path).schema
-    # a stream reads folders; a table in one file is picked out of its folder by name
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    single = spark.read.parquet(path).inputFiles()[0].rstrip("/").endswith("/conversations.parquet")
-    rows = rows.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if single else rows.parquet(path)
-    turns = rows.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("query"), F.concat(F.col("turn").cast("string"), F.lit(". More of it.")).alias("answer"), F.array((F.col("turn") * 2).cast("long"), (F.col("turn") * 2 + 1).cast("long")).alias("hits"), (F.col("turn") % 7 == 6).alias("clear"))
-    stream = session_history(turns).writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out")
-    stream.awaitTermination()
+    """Two deliveries of turns; the stream ends after the first and goes on from its state with the second."""
+    run_sessions(spark, sf_dir, home := folder(spark, "sessions"))
     out = spark.read.parquet(f"{home}/out")
     said = lambda x: F.concat(F.lit("Q: "), F.md5(x["query"]), F.lit(" A: "), F.regexp_replace(x["answer_summary"], r"\.$", ""), F.lit(" H: "), F.array_join(F.transform(x["hits"], lambda h: h.cast("string")), ","))
     return out.select("session_id", "turn", F.array_join(F.transform("history", said), "; ").alias("history"), "is_followup_possible")
 
 
+@query("""WITH t AS (SELECT conv_id AS session_id, turn, text, turn % 7 = 6 AS clear, max(CASE WHEN turn % 7 = 6 THEN turn ELSE -1 END) OVER (PARTITION BY conv_id) AS cleared FROM conversations)
+SELECT session_id, turn, md5(text) AS query, turn || '.' AS answer_summary FROM t WHERE turn > cleared QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 4""")
+def session_state(spark, sf_dir):
+    """What the state of :func:`streaming_sessions` holds at the end."""
+    run_sessions(spark, sf_dir, home := folder(spark, "sessions"))
+    return kept_turns(spark, f"{home}/state").select("session_id", "turn", F.md5("query").alias("query"), "answer_summary")
+
+
 @query(f"""WITH {RANKED}
 SELECT question_id AS answer_id, 'clean' AS verdict, true AS ok, 'F-P-CM-' || lpad(CAST(id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 7 AS VARCHAR), 2, '0') AS cited, CAST(NULL AS VARCHAR) AS error_type FROM r WHERE rank = 1""")
 def answered_questions(spark, sf_dir):
