@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ REMEMBERED = 40 << 20
 TOKEN_BYTES = 200
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+#: Characters of text whose tokens are made at once; what str.split() takes for white space.
+PIECE = 1 << 20
+_WHITE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "]")
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters that begin and end with whole tokens."""
+    at = 0
+    while at < len(text):
+        white = _WHITE.search(text, at + size) if at + size < len(text) else None
+        end = white.start() if white else len(text)
+        yield text[at:end]
+        at = end
 
 
 def windows_of(token: str) -> list[bytes]:
@@ -200,13 +214,16 @@ class Reader:
             self._reset()
         known, docs, fresh = self.known, [], []
         for text in texts:
-            tokens = (text or "").split()
-            docs.append(tokens)
-            for token in tokens:
-                if token not in known:
-                    known[token] = len(known)
-                    fresh.append(token)
-                    self.bytes += TOKEN_BYTES + 4 * len(token)
+            parts = []  # (numbers of different tokens, how often each) of each piece of the text
+            for piece in pieces(text or ""):
+                tokens = piece.split()
+                for token in dict.fromkeys(tokens):
+                    if token not in known:
+                        known[token] = len(known)
+                        fresh.append(token)
+                        self.bytes += TOKEN_BYTES + 4 * len(token)
+                parts.append(np.unique(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), return_counts=True))
+            docs.append(parts)
         if fresh:
             windows, owner = [], []
             for i, token in enumerate(fresh):
@@ -220,8 +237,8 @@ class Reader:
                 np.add.at(added, np.array(owner), sums[[distinct[w] for w in windows]])
             self.table = np.concatenate([self.table, added])
         out = []
-        for text, tokens in zip(texts, docs, strict=True):
-            pooled = self.table[[known[t] for t in tokens]].astype(np.float64).sum(0) if tokens else np.zeros(self.table.shape[1])
+        for text, parts in zip(texts, docs, strict=True):
+            pooled = sum((times @ self.table[numbers].astype(np.float64) for numbers, times in parts), np.zeros(self.table.shape[1]))
             if not pooled[-1] or not _LETTER.search(text):
                 out.append((UNKNOWN, 0.0))
                 continue
@@ -240,18 +257,23 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     """(lang, text): a bounded part of the documents of every language, none of them held out.
 
     Of l languages each gives SAMPLE_DOCS documents, or SAMPLE_ALL / l if that is less, but one at
-    least, in a seeded order, while they have no more than SAMPLE_ALL_CHARS / l characters.
+    least, in a seeded order, while they have no more than SAMPLE_ALL_CHARS / l characters. Documents
+    of over SAMPLE_CHARS characters are passed over, unless a language has no shorter one: then their
+    first SAMPLE_CHARS characters are taken. Rows that are equal in id and text are one document.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.length("text").between(1, SAMPLE_CHARS))
-    found = named.groupBy("lang").agg(F.count(F.lit(1)).alias("fit"))
-    found = materialize(found, "languages")
+    named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & (F.length("text") > 0))
+    named = named.select("lang", "id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), (F.length("text") <= SAMPLE_CHARS).alias("whole"), F.xxhash64("id", "text").alias("h"))
+    found = named.groupBy("lang", "whole").agg(F.approx_count_distinct("h").alias("fit"), F.min("h").alias("least"))
+    best = F.max(F.struct("whole", "fit", "least")).alias("b")  # whole ones, if there are any
+    found = materialize(found.groupBy("lang").agg(best).select("lang", "b.*"), "languages")
     n = max(1, found.count())
     most = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // n))
-    # a language's rows are thinned by hash to some four times what is wanted before they are put in order
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    rows = named.join(broadcast_if_small(found), "lang").where(draw * F.col("fit") < F.greatest(F.lit(4 * most), F.lit(40)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    # a language's documents are thinned by hash to some four times what is wanted before they are put in order
+    draw = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
+    rows = named.join(broadcast_if_small(found), ["lang", "whole"]).where((draw * F.col("fit") < F.greatest(F.lit(4 * most), F.lit(40))) | (F.col("h") == F.col("least")))
+    rows = rows.groupBy("lang", "id", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     rows = rows.withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where((F.col("n") == 1) | (F.col("upto") <= SAMPLE_ALL_CHARS // n))
@@ -284,7 +306,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     dashes) name no language: they get no labels and no part in the mean. Only the text is an input.
     Null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing could
     be learned. Rows that repeat an id are rows like others; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. Texts of any length are read whole, a piece at a time.
     """
     model = train(sample(docs, id_col, text_col, lang_col), steps=steps)
     kind = docs.schema[id_col].dataType.simpleString()

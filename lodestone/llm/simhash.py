@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -28,23 +29,42 @@ CELL = 4096
 SPREAD = 4
 
 
-def fingerprint(text: bytes) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, as a signed number."""
+#: Bytes of text whose words are made at once.
+PIECE = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that begin and end with whole words."""
+    at = 0
+    while at < len(text):
+        white = _WHITE.search(text, at + size) if at + size < len(text) else None
+        end = white.start() if white else len(text)
+        yield text[at:end]
+        at = end
+
+
+def fingerprint(text: bytes, size: int = PIECE) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, as a signed number. Words and hashes are made ``size`` bytes of text at a time."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
+    counts, n, last = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text, size):
+        words = last + piece.lower().split()  # of bytes: A-Z only, and ASCII white space only
         shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(SHINGLE)), strict=False)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-    counts = np.zeros(64, np.int64)
+        last = words[1 - SHINGLE :]
+        n += len(shingles)
+        _count(counts, np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+    if not n and last:  # fewer words than a shingle has
+        n = 1
+        _count(counts, np.array([xxh64_intdigest(b" ".join(last), SEED)], np.uint64))
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def _count(counts: np.ndarray, hashes: np.ndarray) -> None:
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +308,7 @@ def near_dedup(docs: DataFrame, *, distance: int = DISTANCE, id_col: str = "doc_
     where over half the hashes have it. No word, or null: fingerprint zero. Fingerprints within
     ``distance`` bits are linked, and component_id is the smallest doc_id that links reach. Rows that
     repeat an id or text are rows like others; null ids count in no minimum; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. Texts of any length are read whole, a piece at a time.
 
     Equal fingerprints are one node. Candidates come from the range join of :func:`links`; what a
     cell yields is a forest, so large groups of near copies never become all their pairs.
