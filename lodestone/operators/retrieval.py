@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lodestone.functions.text import singular
+from lodestone.functions.text import hinted_families, route_families, singular, workflow_intent
 from lodestone.plans.sizes import broadcast_if_small
 
 K1, B, FLOOR_SHARE, RRF_K, DENSE_WEIGHT = 1.5, 0.75, 0.25, 60, 0.4
@@ -106,3 +106,37 @@ def mix_floor(scored: DataFrame, k: int, floor: int = 2, rel_floor: float = 0.55
 def hybrid_search(seats: DataFrame, *, k: int = 6, floor: int = 2, min_rel: float = 0.55, min_hits: int = 3) -> DataFrame:
     """Seats and cutoff over the k best of each population (see ``Search.top`` with ``sides``)."""
     return cutoff(mix_floor(seats, k, floor), min_rel, min_hits)
+
+
+def ask_index(chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, *, fusion: str = "weighted", k: int = 6, route: bool = True, boost: float = 0.15, workflow_boost: float = 0.06, floor: int = 2, min_rel: float = 0.55, min_hits: int = 3) -> DataFrame:
+    """The whole search: (question_id, repaired, rank, id, fused, bm25, dense, is_workflow).
+
+    Questions are (question_id, query, and perhaps vector, intent, boost_families). Misspelt words are
+    repaired against the words of all chunks; what is asked for is then read from the repaired text:
+    families that it spells out narrow the search (``route``), and words for routes and approvals
+    (unless ``intent`` says) give diagrams a boost and seats. Families that the question, as it came,
+    names or hints at are boosted, all of them; ``boost_families`` takes their place. Channels are
+    fused by ``weighted`` scores or by reciprocal ranks (``rrf``), which take no boosts here; seats and
+    the cutoff follow.
+    """
+    from lodestone.operators.search import Search, term_counts
+    from lodestone.operators.spelling import repair_queries
+    from lodestone.plans.scratch import materialize
+
+    if fusion not in ("weighted", "rrf"):
+        raise ValueError(f"unknown fusion: {fusion!r}")
+    counts = term_counts(chunks, "id", "text").select(F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    words = materialize(counts.groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.tfs").alias("freq")), "vocabulary")
+    fixed = repair_queries(questions.select(F.col("question_id").alias("query_id"), "query"), words)
+    fixed = fixed.select(F.col("query_id").alias("question_id"), "repaired")
+    given = lambda c, otherwise: F.coalesce(F.col(c), otherwise) if c in questions.columns else otherwise
+    asked = questions.join(fixed, "question_id").withColumn("boost_families", given("boost_families", hinted_families(F.col("query"))))
+    asked = asked.withColumn("intent", given("intent", workflow_intent(F.col("repaired")))).withColumn("routes", route_families(F.col("repaired")))
+    asked = materialize(asked.withColumn("query", F.col("repaired")), "asked")
+    search = Search(chunks, asked, vectors)
+    if fusion == "rrf":
+        seats = search.rrf(k, sides=True, routed=route)
+    else:
+        seats = search.top("weighted", k, boosts=[b for b in (("family", boost), ("workflow", workflow_boost)) if b[1]], sides=True, routed=route)
+    found = hybrid_search(seats.drop("rank"), k=k, floor=floor, min_rel=min_rel, min_hits=min_hits)
+    return found.join(asked.select("question_id", "repaired"), "question_id").select("question_id", "repaired", "rank", "id", "fused", "bm25", "dense", "is_workflow")

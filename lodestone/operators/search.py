@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -80,8 +80,11 @@ class Asked:
         words = Words()
         self.ids = np.array([r["question_id"] for r in rows], np.int64)
         self.intent = np.array([bool(r["intent"]) for r in rows])
-        self.family = [r["boost_family"] for r in rows]
+        self.boosted = [set(r["boost_families"] or ()) for r in rows]
         self.routes = [set(r["routes"] or ()) for r in rows]
+        #: Families that some question names; a chunk's is its place here and 2, 1 for any other one, 0 for none.
+        self.named = sorted(set().union(*self.boosted, *self.routes))
+        self._tables: dict[frozenset, np.ndarray] = {}
         self.width = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
         self.vectors = np.zeros((len(rows), self.width))
         self.counts: dict[str, list[tuple[int, int]]] = {}
@@ -93,6 +96,25 @@ class Asked:
         self.terms = sorted(self.counts)
         self.weights = weights
 
+    def boost_table(self) -> np.ndarray:
+        """questions x families: is the family one that the question is boosted by?"""
+        return np.array([[False, False, *(f in b for f in self.named)] for b in self.boosted], bool).reshape(len(self.ids), len(self.named) + 2)
+
+    def route_table(self, present: set) -> np.ndarray:
+        """questions x families: may the family be found? All, or for routed questions a routed family that there is, or none."""
+        out = np.ones((len(self.ids), len(self.named) + 2), bool)
+        for i, routes in enumerate(self.routes):
+            if routes & present:
+                out[i] = [True, False, *(f in routes and f in present for f in self.named)]
+        return out
+
+    def table(self, name: str, present: set = frozenset()) -> np.ndarray:
+        """One of both, made once."""
+        key = frozenset({name, *present})
+        if key not in self._tables:
+            self._tables[key] = self.boost_table() if name == "family" else self.route_table(present)
+        return self._tables[key]
+
     def by_term(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of ``terms``: which questions have it, and how often."""
         return [tuple(np.array(x) for x in zip(*self.counts[t], strict=True)) for t in self.terms]
@@ -104,7 +126,9 @@ class Scored:
     def __init__(self, batch: pa.RecordBatch, asked: Asked, by_term: list):
         columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         self.ids = columns["id"].to_numpy(zero_copy_only=False).astype(np.int64)
-        self.family = columns["family"].to_pylist()
+        place = pc.index_in(columns["family"], value_set=pa.array(asked.named, pa.string()), skip_nulls=True)
+        place = pc.add(pc.fill_null(place, -1), 2)
+        self.family = pc.if_else(pc.is_null(columns["family"]), 0, place).to_numpy(zero_copy_only=False).astype(np.int64)
         self.workflow = np.array(columns["is_workflow"].to_pylist(), bool)
         n, m = len(asked.ids), batch.num_rows
         self.bm25, self.shares = np.zeros((n, m)), np.zeros((n, m), bool)
@@ -130,18 +154,12 @@ class Scored:
         self.asked = asked
 
     def allowed(self, routed: bool, present: set) -> np.ndarray:
-        """Which pairs may be found: all, or for routed questions chunks of a routed family that there is, or of none."""
-        out = np.ones(self.bm25.shape, bool)
-        if routed:
-            for i, routes in enumerate(self.asked.routes):
-                named = routes & present
-                if named:
-                    out[i] = [f is None or f in named for f in self.family]
-        return out
+        """Which pairs may be found."""
+        return self.asked.table("routes", present)[:, self.family] if routed else np.ones(self.bm25.shape, bool)
 
     def members(self, name: str) -> np.ndarray:
         if name == "family":
-            return np.array([[f is not None and f == g for f in self.family] for g in self.asked.family], bool).reshape(self.bm25.shape)
+            return self.asked.table("family")[:, self.family]
         return self.asked.intent[:, None] & self.workflow[None, :]
 
 
@@ -193,7 +211,7 @@ class Recipe:
 
 
 class Search:
-    """Questions (question_id, query, and perhaps vector, intent, boost_family, routes) over chunks
+    """Questions (question_id, query, and perhaps vector, intent, boost_family or boost_families, routes) over chunks
     (id, text, and perhaps family, is_workflow) and vectors (id, vector).
 
     Statistics are over all chunks. A chunk or question without a vector has dense scores of 0; a chunk
@@ -204,7 +222,7 @@ class Search:
     def __init__(self, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, *, floor: bool = True, text_col: str = "text", lexical: bool = True):
         self.spark = chunks.sparkSession
         have = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
-        questions = questions.select("question_id", "query", have(questions, "vector", "array<double>"), have(questions, "intent", "boolean"), have(questions, "boost_family", "string"), have(questions, "routes", "array<string>"))
+        questions = questions.select("question_id", "query", have(questions, "vector", "array<double>"), have(questions, "intent", "boolean"), F.coalesce(have(questions, "boost_families", "array<string>"), F.array_compact(F.array(have(questions, "boost_family", "string")))).alias("boost_families"), have(questions, "routes", "array<string>"))
         self.questions = materialize(questions, "questions")
         n = self.questions.count()
         self.turns = max(1, -(-n // QUESTIONS))
@@ -227,10 +245,14 @@ class Search:
         mean = out.agg(F.avg("raw")).first()[0]
         return out.select("term", "df", F.when(F.col("raw") < 0, FLOOR_SHARE * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
+    def _in_turn(self, number: int) -> Column:
+        return F.pmod(F.xxhash64("question_id"), F.lit(self.turns)) == number
+
     def _turn(self, number: int) -> tuple[Asked, DataFrame]:
         """The questions of a turn, and the chunks with what these ask of them."""
-        rows = self.questions.where(F.pmod(F.xxhash64("question_id"), F.lit(self.turns)) == number).orderBy("question_id").collect()
+        rows = self.questions.where(self._in_turn(number)).orderBy("question_id").collect()
         asked = Asked(rows)
+        asked.number = number
         cut = self._lexical(asked) if self.lexical else spread(self.meta).select("*", F.array().cast("array<int>").alias("at"), F.array().cast("array<double>").alias("gain"))
         if self.vectors is None:
             cut = cut.withColumn("vector", F.lit(None).cast("array<float>"))
@@ -301,8 +323,7 @@ class Search:
         Order: fused, then bm25 if channels are fused, then the smaller id. ``sides``: the k best of diagrams and of prose
         each, with ranks among both. ``only_shared``: chunks without a common term are no candidates.
         """
-        present = {r["family"] for r in self.meta.select("family").distinct().where("family is not null").collect()} if routed else set()  # families, a small dimension
-        recipe = Recipe(start, boosts, routed=routed, present=present)
+        recipe = Recipe(start, boosts, routed=routed, present=self.present() if routed else None)
 
         def one(asked: Asked, rows: DataFrame) -> DataFrame:
             done = self._bounded(asked, rows, recipe)
@@ -316,17 +337,24 @@ class Search:
             return best
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
 
-    def ranks(self, pairs: DataFrame, starts: list[str]) -> DataFrame:
-        """``pairs`` (question_id, id) with ``<start>_rank`` for each of ``starts``: exact places among all chunks.
+    def present(self) -> set[str]:
+        """The families that chunks have, a small dimension."""
+        if not hasattr(self, "_present"):
+            self._present = {r["family"] for r in self.meta.select("family").distinct().where("family is not null").collect()}
+        return self._present
+
+    def ranks(self, pairs: DataFrame, starts: list[str], routed: bool = False) -> DataFrame:
+        """``pairs`` (question_id, id) with ``<start>_rank`` for each of ``starts``: exact places among all chunks that may be found.
 
-        A stated set of pairs: how many chunks are better is counted where they lie.
+        A stated set of pairs, taken turn by turn: how many chunks are better is counted where they lie.
         """
-        wanted: dict[int, list[int]] = {}
-        for r in pairs.select("question_id", "id").distinct().collect():
-            wanted.setdefault(r["question_id"], []).append(r["id"])
+        present = self.present() if routed else None
 
         def one(asked: Asked, rows: DataFrame) -> DataFrame:
-            done = {s: self._bounded(asked, rows, Recipe(s)) for s in starts}
+            wanted: dict[int, list[int]] = {}
+            for r in pairs.where(self._in_turn(asked.number)).select("question_id", "id").distinct().collect():
+                wanted.setdefault(r["question_id"], []).append(r["id"])
+            done = {s: self._bounded(asked, rows, Recipe(s, routed=routed, present=present)) for s in starts}
             ask = [(i, x) for i, q in enumerate(asked.ids.tolist()) for x in wanted.get(q, [])]
             own = self._reduce(asked, rows, lambda: _Own(done, ask), "q int, id long, start string, score double, bm25 double")
             mine = {(r["q"], r["id"], r["start"]): (r["score"], r["bm25"]) for r in own.collect()}
@@ -336,19 +364,35 @@ class Search:
         counts = self._each_turn(one)
         return counts.select("question_id", "id", *[(F.col(s) + 1).cast("int").alias(f"{s}_rank") for s in starts])
 
-    def rrf(self, k: int, c: int = RRF_K) -> DataFrame:
-        """(question_id, id, fused, bm25, dense, rank): the k best by the sum of reciprocal ranks of both channels.
+    def rrf(self, k: int, c: int = RRF_K, *, sides: bool = False, routed: bool = False) -> DataFrame:
+        """(question_id, id, fused, bm25, dense, is_workflow, intent, rank): the k best by the sum of reciprocal ranks of both channels.
 
-        The first c + 2k of each channel are enough: what is in neither has less than 2 / (2c + 2k + 1),
-        and the first k of a channel have over 1 / (c + k) each.
+        The first m = c + 2k of each channel are enough: what is in neither has less than
+        2 / (2c + 2k + 1), and the first k of a channel have over 1 / (c + k) each. With ``sides`` the k best
+        of diagrams and of prose are wanted, whose ranks among all may be anywhere: the first m of each
+        population and channel are looked at, and twice as many until its k-th best beats whatever
+        comes after them in both channels. Ranks are among what may be found.
         """
-        m = c + 2 * k
-        both = self.top("bm25", m).unionByName(self.top("dense", m))
-        found = materialize(both.select("question_id", "id", "bm25", "dense").distinct(), "channels")
-        placed = found.join(self.ranks(found, ["bm25", "dense"]), ["question_id", "id"])
-        placed = placed.withColumn("fused", F.round(1 / (c + F.col("bm25_rank")) + 1 / (c + F.col("dense_rank")), 6))
-        order = Window.partitionBy("question_id").orderBy(F.desc("fused"), F.desc("bm25"), "id")
-        return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "id", "fused", "bm25", "dense", "rank")
+        m, of = c + 2 * k, ["question_id", *(["is_workflow"] if sides else [])]
+        place = lambda *order: F.row_number().over(Window.partitionBy(*of).orderBy(*order))
+        best = [F.desc("fused"), F.desc("bm25"), F.col("id")]
+        while True:
+            both = self.top("bm25", m, sides=sides, routed=routed).unionByName(self.top("dense", m, sides=sides, routed=routed))
+            found = materialize(both.select("question_id", "id", "bm25", "dense", "is_workflow", "intent").distinct(), "channels")
+            placed = found.join(self.ranks(found, ["bm25", "dense"], routed), ["question_id", "id"])
+            placed = placed.withColumn("fused", F.round(1 / (c + F.col("bm25_rank")) + 1 / (c + F.col("dense_rank")), 6))
+            placed = materialize(placed.withColumn("rank", place(*best)), "placed")
+            if not sides:
+                break
+            last = placed.withColumn("_a", place("bm25_rank")).withColumn("_b", place("dense_rank")).groupBy(*of).agg(*[F.max(F.when(F.col(n) == at, F.col(v))).alias(o) for n, at, v, o in (("_a", m, "bm25_rank", "a"), ("_b", m, "dense_rank", "b"), ("rank", k, "fused", "kth"))])
+            after = 1 / (c + F.col("a") + 1) + 1 / (c + F.col("b") + 1) + 1e-6  # scores are rounded
+            if last.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.coalesce("kth", F.lit(0.0)) <= after)).isEmpty():
+                break
+            m *= 2
+        placed = placed.where(F.col("rank") <= k)
+        if sides:
+            placed = placed.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*best)))
+        return placed.select("question_id", "id", "fused", "bm25", "dense", "is_workflow", "intent", "rank")
 
     def dense_sums(self) -> DataFrame:
         """(id, micro): a chunk's dense scores over all questions, in whole millionths."""
@@ -448,8 +492,9 @@ class _Better:
 
     def add(self, s: Scored) -> None:
         values = {name: recipe.value(s, recipe.parts)["fused"] for name, recipe in self.recipes.items()}
+        may = {name: s.allowed(recipe.routed, recipe.present) for name, recipe in self.recipes.items()}
         for (q, name), wanted in self.mine.items():
-            x, bm25 = values[name][q], s.bm25[q]
+            x, bm25 = np.where(may[name][q], values[name][q], -np.inf), s.bm25[q]
             ids, score, lexical = (np.array(c)[:, None] for c in zip(*wanted, strict=True))
             tie = (x[None, :] == score) & (((bm25[None, :] > lexical) | ((bm25[None, :] == lexical) & (s.ids[None, :] < ids))) if name == "weighted" else (s.ids[None, :] < ids))
             for item, n in zip(wanted, ((x[None, :] > score) | tie).sum(1).tolist(), strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import embed_text, route_families, singular, tokenize, workflow_intent
+from lodestone.functions.text import FAMILY_HINTS, embed_text, route_families, singular, tokenize, workflow_intent
 from lodestone.operators import retrieval as R
 from lodestone.operators.index import InvertedIndex
 from lodestone.operators.search import Search
@@ -243,6 +243,49 @@ def hybrid_search(spark, sf_dir):
     return hybrid(spark, sf_dir).select("question_id", "rank", "id", "fused", "is_workflow")
 
 
+#: Questions are the beginnings of every hundredth document, and what its language adds; families are those of sources.
+_BEGINNING = "array_to_string(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '')[1:12], ' ')"
+ASKED_WHOLE = f"""asked AS (SELECT doc_id AS question_id, {_BEGINNING} || CASE lang WHEN 'en' THEN ' who approves the tender handover' WHEN 'de' THEN ' see F-P-CN-02-01' WHEN 'fr' THEN ' vendor quotation, survey' ELSE '' END AS query FROM documents WHERE doc_id % 100 = 0)"""
+FAMILY_SQL = "(['PSE', 'PQD', 'PCM', 'PTN', 'PVMO', 'PCN', NULL])[TRY_CAST(regexp_extract(d.source, '[0-9]+', 0) AS INTEGER) % 7 + 1]"
+PAIRS_WHOLE = PAIRS.replace(ASKED, ASKED_WHOLE).replace("d.source AS family", f"{FAMILY_SQL} AS family")
+assert ASKED not in PAIRS_WHOLE and "d.source AS family" not in PAIRS_WHOLE
+_HINTED = "CASE WHEN contains(query, 'P-CN-02') THEN ['PCN'] ELSE list_filter(['PTN', 'PVMO', 'PCM', 'PSE', 'PQD', 'PCN'], lambda f: len(list_filter(CASE f " + " ".join(f"WHEN '{f}' THEN {list(w)!r}" for f, w in FAMILY_HINTS.items()) + " END, lambda w: contains(lower(query), w))) > 0) END"
+WHOLE = f"""{PAIRS_WHOLE},
+cw AS (SELECT ch.*, {_HINTED} AS hinted, CASE WHEN contains(query, 'P-CN-02') THEN ['PCN'] ELSE [] END AS routes, {WORKFLOW_SQL} AS intent FROM ch),
+al AS (SELECT * FROM cw WHERE len(routes) = 0 OR family IS NULL OR list_contains(routes, family) OR NOT EXISTS (SELECT 1 FROM cw x WHERE list_contains(cw.routes, x.family)))"""
+
+
+def _whole_sql(last: str) -> str:
+    return f"""{seats_sql(last, 'intent')},
+cu AS (SELECT *, max(fused) OVER (PARTITION BY question_id) * 0.55 AS bar FROM st),
+cn AS (SELECT *, count(*) FILTER (fused >= bar) OVER (PARTITION BY question_id) AS strong FROM cu)
+SELECT question_id, md5(query) AS repaired, CAST(a AS INTEGER) AS rank, id, fused, is_workflow FROM cn WHERE CASE WHEN strong >= 3 THEN fused >= bar ELSE a <= 3 END"""
+
+
+def whole(spark, sf_dir, **kw):
+    number = F.expr("try_cast(nullif(regexp_extract(family, '[0-9]+', 0), '') as int)") % 7
+    family = F.get(F.array(*[F.lit(f) for f in ("PSE", "PQD", "PCM", "PTN", "PVMO", "PCN")]), number)
+    c = chunks(spark, sf_dir).select("id", "text", family.alias("family"), "is_workflow")
+    words = F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != ""), 1, 12)
+    added = F.when(F.col("lang") == "en", " who approves the tender handover").when(F.col("lang") == "de", " see F-P-CN-02-01").when(F.col("lang") == "fr", " vendor quotation, survey").otherwise("")
+    q = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.concat(F.array_join(words, " "), added).alias("query"))
+    q = q.join(vectors(spark, sf_dir).withColumnRenamed("id", "question_id"), "question_id", "left")
+    return R.ask_index(c, q, vectors(spark, sf_dir), **kw).select("question_id", F.md5("repaired").alias("repaired"), "rank", "id", "fused", "is_workflow")
+
+
+@query(f"""WITH {WHOLE}, fu AS (SELECT *, round((1 - 0.4) * {span('bm25')} + 0.4 * {span('dense')}, 6) AS fused FROM al),
+{boosted('b1', 'fu', 'coalesce(list_contains(hinted, family), false)', 0.15)}, {boosted('b2', 'b1', 'is_workflow AND intent', 0.06)}, {_whole_sql('b2')}""")
+def whole_search(spark, sf_dir):
+    """Repair, routing, hinted families, intent, fusion, boosts, seats and cutoff, all from the question's words."""
+    return whole(spark, sf_dir)
+
+
+@query(f"""WITH {WHOLE}, kk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS ra, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS rb FROM al),
+fu AS (SELECT * EXCLUDE (ra, rb), round(1 / (60 + ra) + 1 / (60 + rb), 6) AS fused FROM kk), {_whole_sql('fu')}""")
+def whole_search_rrf(spark, sf_dir):
+    return whole(spark, sf_dir, fusion="rrf")
+
+
 @query(f"""WITH {PAIRS},
 m AS (SELECT id, CAST(sum(CAST(round(dense * 1e6) AS BIGINT)) AS BIGINT) AS micro FROM ch GROUP BY id),
 a AS (SELECT count(*)::DOUBLE AS n, sum(micro) / 1e6 AS s, sum(CAST(micro AS HUGEINT) * micro) AS ss, (SELECT count(*) FROM asked)::DOUBLE AS q FROM m)
