@@ -86,9 +86,13 @@ def accuracy(hit: DataFrame, at: list[int], *by: str) -> DataFrame:
 
 
 def verify_items(targets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc, target, problem): gold documents that are missing, and targets that they do not contain."""
-    text = docs.select(F.col("filename").alias("doc"), F.lower("text").alias("body"))
-    whole = text.groupBy("doc").agg(F.concat_ws("\n", F.collect_list("body")).alias("body"))
+    """(item_id, doc, target, problem): gold documents that are missing, and targets that they do not contain.
+
+    A document's texts are put together in the order of ``page`` and ``place``, if ``docs`` has these, then of the texts.
+    """
+    text = docs.select(F.col("filename").alias("doc"), F.lower("text").alias("body"), *[c for c in ("page", "place") if c in docs.columns])
+    rows = F.array_sort(F.collect_list(F.struct(*[c for c in ("page", "place") if c in text.columns], "body")))  # a document's chunks, in order
+    whole = text.groupBy("doc").agg(F.array_join(F.transform(rows, lambda r: r["body"]), "\n").alias("body"))
     out = targets.join(whole, "doc", "left")
     problem = F.when(F.col("body").isNull(), "no such document").when(~F.contains("body", F.lower("target")), "target not in document")
     return out.withColumn("problem", problem).where("problem is not null").select("item_id", "doc", "target", "problem")
@@ -141,7 +145,7 @@ def generation_report(rows: DataFrame, refusal: str, *by: str) -> DataFrame:
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), n(~none).alias("answerable"), n(~none & retrieved).alias("retrieved"), n(~none & right).alias("answered"), n(~none & right & ~retrieved).alias("lucky"), n(~none & retrieved & ~right).alias("blocked"),
-        n(none & refused_with(F.col("answer"), refusal)).alias("refused"), n(none & (F.size("cited") > 0)).alias("leaked"), n(F.col("verdict") != "clean").alias("flagged"), F.max("seconds").alias("slowest"), upper_median(F.col("seconds")).alias("median"),
+        n(none & refused_with(F.col("answer"), refusal)).alias("refused"), n(none & (F.size("cited") > 0)).alias("leaked"), n(F.col("verdict") != "clean").alias("flagged"), F.max("seconds").alias("slowest"), upper_median("seconds").alias("median"),
     )
 
 
@@ -151,16 +155,30 @@ def term_overlap(pairs: DataFrame, query: str = "query", text: str = "text") ->
     return pairs.withColumn("shared", F.array_sort(F.array_intersect(q, t))).withColumn("missing", F.array_sort(F.array_except(q, t)))
 
 
+def sweep(kept: DataFrame, gold: DataFrame, n: int, settings: list[str], sets: list[list[str]]) -> DataFrame:
+    """(*settings, hits, returned, mean_returned, mean_workflow, mean_prose): what the rows of each setting of ``kept`` hit and return.
+
+    ``kept`` is (*settings, question_id, id, is_workflow), ``n`` the number of questions. One pass
+    gives all ``sets`` of settings, as grouping sets: what a set leaves out is null, and its means are
+    over all the settings that it sums up.
+    """
+    right = gold.select("question_id", "id").distinct().withColumn("_gold", F.lit(True))
+    each = kept.join(right, ["question_id", "id"], "left").groupBy(*settings, "question_id").agg(F.max(F.col("_gold").isNotNull()).alias("hit"), F.count(F.lit(1)).alias("rows"), F.count_if("is_workflow").alias("wf"))
+    by = each.groupBy(*settings).agg(F.count_if("hit").alias("hits"), F.sum("rows").alias("rows"), F.sum("wf").alias("wf"))
+    sums = by.groupingSets([[F.col(c) for c in s] for s in sets], *settings).agg(F.sum("hits").alias("hits"), F.sum("rows").alias("returned"), F.sum("wf").alias("wf"), F.count(F.lit(1)).alias("of"))
+    mean = lambda c: F.round(c / (n * F.col("of")), 4)
+    return sums.select(*settings, "hits", "returned", mean(F.col("returned")).alias("mean_returned"), mean(F.col("wf")).alias("mean_workflow"), mean(F.col("returned") - F.col("wf")).alias("mean_prose"))
+
+
 def confusion(rows: DataFrame, retrieved: Column, right: Column) -> DataFrame:
     """(cell, n): right or wrong answers by whether the gold was retrieved; 'lucky' answers had none."""
     cell = F.when(retrieved & right, "ok").when(~retrieved & right, "lucky").when(retrieved & ~right, "wrong").otherwise("blocked")
     return rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value; of an even number, the upper one."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """The middle value of a column; of an even number, the upper one. Tasks count different values; no group is gathered row by row."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def coverage(gold: DataFrame, implied: DataFrame, key: list[str]) -> DataFrame:

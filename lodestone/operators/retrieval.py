@@ -58,11 +58,11 @@ def route(candidates: DataFrame, present: DataFrame, family: str = "family", rou
     return named.where(keep).drop("_known", "_named")
 
 
-def cutoff(ranked: DataFrame, share: float = 0.55, least: int = 3) -> DataFrame:
-    """Rows of at least ``share`` of the first score if ``least`` of them are; else the first ``least``."""
-    order = _q().orderBy("rank")
-    bar = F.first("fused").over(order) * share
-    strong = ranked.withColumn("_bar", bar).withColumn("_n", F.count_if(F.col("fused") >= F.col("_bar")).over(_q()))
+def cutoff(ranked: DataFrame, share: float | Column = 0.55, least: int = 3, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """Rows of at least ``share`` of the first score if ``least`` of them are; else the first ``least``; of each ``by``."""
+    every = Window.partitionBy(*by)
+    bar = F.first("fused").over(every.orderBy("rank")) * share
+    strong = ranked.withColumn("_bar", bar).withColumn("_n", F.count_if(F.col("fused") >= F.col("_bar")).over(every))
     return strong.where(F.when(F.col("_n") >= least, F.col("fused") >= F.col("_bar")).otherwise(F.col("rank") <= least)).drop("_bar", "_n")
 
 

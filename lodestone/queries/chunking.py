@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import arabic_share, is_arabic, normal_filename, share_of, text_quality_ok
 from lodestone.operators import chunking as C
 from lodestone.plans.sizes import broadcast_if_small
+from lodestone.functions.tables import register
 from lodestone.queries.registry import query
 from lodestone.sources.pages import layout_lines as layout_of
 from lodestone.sources.tables import table
@@ -160,6 +161,13 @@ def window_chunks(spark, sf_dir):
     return C.window_chunks(table(spark, sf_dir, "documents"))
 
 
+@query(f"WITH RECURSIVE {WINDOW_SQL} SELECT doc_id, \"window\", md5(text) AS text_md5 FROM wi WHERE length(text) >= 30")
+def window_table_function(spark, sf_dir):
+    """The same windows from SQL: a table function with a lateral join."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, w.window, md5(w.text) AS text_md5 FROM {docs} d, LATERAL text_windows(d.text) w", docs=table(spark, sf_dir, "documents"))
+
+
 SECTIONS_SQL = f"""{RUNON_SQL}, hh AS (SELECT doc_id, idx AS hat, text AS raw_heading FROM ro WHERE NOT in_list AND NOT duplicate AND NOT run_on),
 z AS (SELECT n.*, last_value(hat IGNORE NULLS) OVER (PARTITION BY n.doc_id ORDER BY n.idx) AS heading_idx FROM n LEFT JOIN hh ON hh.doc_id = n.doc_id AND hh.hat = n.idx),
 s AS (SELECT doc_id, heading_idx, coalesce(string_agg(text, chr(10) ORDER BY idx) FILTER (idx <> coalesce(heading_idx, -1)), '') AS body FROM z GROUP BY ALL)"""

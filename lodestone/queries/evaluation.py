@@ -82,7 +82,7 @@ def verify_eval_items(spark, sf_dir):
 @query("""SELECT event_type, count(*) AS n, max(value) AS slowest, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events GROUP BY event_type""")
 def latency_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("slowest"), E.upper_median(F.col("value")).alias("median"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("slowest"), E.upper_median("value").alias("median"))
 
 
 @query("""WITH g AS (SELECT DISTINCT user_id, event_type AS a FROM events WHERE event_id % 2 = 0), i AS (SELECT DISTINCT user_id, event_type AS a FROM events WHERE event_id % 3 = 0)

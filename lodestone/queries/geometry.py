@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import geometry as G
+from lodestone.functions.tables import register
 from lodestone.queries.registry import query
 from lodestone.sources.tables import table
 
@@ -76,13 +77,26 @@ def content_boxes(spark, sf_dir):
     return G.content_box(boxes(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT p_partkey // 24 AS page, p_partkey AS span, p_partkey % 24 % 4 AS col, p_partkey % 24 // 4 AS line FROM part),
+CLUSTERS_SQL = """WITH s AS (SELECT p_partkey // 24 AS page, p_partkey AS span, p_partkey % 24 % 4 AS col, p_partkey % 24 // 4 AS line FROM part),
 c AS (SELECT page, col, line // 3 AS part, string_agg('t' || span, ' ' ORDER BY line) AS text, min(line) AS line, min(col) * 100.0 AS x0, min(line * 14.0 + line // 3 * 40) AS y0, max(col) * 100.0 + 60 AS x1, max(line * 14.0 + line // 3 * 40) + 12 AS y1 FROM s GROUP BY page, col, line // 3)
-SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0) - 1 AS INTEGER) AS cluster, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM c""")
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0) - 1 AS INTEGER) AS cluster, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM c"""
+
+
+@query(CLUSTERS_SQL)
 def cluster_spans(spark, sf_dir):
+    return G.cluster_spans(_wrapped(spark, sf_dir)).drop("size", "spans")
+
+
+@query(CLUSTERS_SQL)
+def cluster_table_function(spark, sf_dir):
+    """The same from SQL: a table function that takes a table by page."""
+    register(spark)
+    return spark.sql("SELECT * FROM span_clusters(TABLE(SELECT * FROM {spans}))", spans=_wrapped(spark, sf_dir))
+
+
+def _wrapped(spark, sf_dir):
     """Four columns of lines of text; each column has a gap after its third line."""
     k = F.col("p_partkey")
     col, line = k % 24 % 4, F.floor(k % 24 / 4)
     x, y = (col * 100).cast("double"), (line * 14 + F.floor(line / 3) * 40).cast("double")
-    s = table(spark, sf_dir, "part").select(F.floor(k / 24).cast("long").alias("page"), F.concat(F.lit("t"), k.cast("string")).alias("text"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 12).alias("y1"))
-    return G.cluster_spans(s).drop("size", "spans")
+    return table(spark, sf_dir, "part").select(F.floor(k / 24).cast("long").alias("page"), F.concat(F.lit("t"), k.cast("string")).alias("text"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 12).alias("y1"))

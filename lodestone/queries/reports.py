@@ -107,28 +107,40 @@ def _summed_sql(rows: str, by: str) -> str:
 round(count(*) FILTER (NOT is_workflow) / (SELECT count(*) FROM asked), 4) AS mean_prose FROM (SELECT r.*, g.id IS NOT NULL AS gold FROM {rows} r LEFT JOIN gold g ON g.question_id = r.question_id AND g.id = r.id) GROUP BY {by}"""
 
 
-@query(f"""WITH {WEIGHTED}, {_GOLD},
+SWEEP_SQL = f"""{WEIGHTED}, {_GOLD},
 kk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, id) AS a, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) AS b FROM ch),
 al AS (SELECT 'weighted' AS fusion, question_id, id, is_workflow, bm25, fused FROM fu UNION ALL SELECT 'rrf', question_id, id, is_workflow, bm25, round(1 / (60 + a) + 1 / (60 + b), 6) FROM kk),
 rk AS (SELECT *, row_number() OVER (PARTITION BY fusion, question_id ORDER BY fused DESC, bm25 DESC, id) AS rank FROM al),
 tp AS (SELECT rk.*, k, rel, max(fused) OVER (PARTITION BY fusion, question_id, k, rel) * rel AS bar FROM rk, (VALUES (3), (6)) p(k), (VALUES (0.0::DOUBLE), (0.4), (0.55), (0.7)) q(rel) WHERE rank <= k),
 ct AS (SELECT *, count(*) FILTER (fused >= bar) OVER (PARTITION BY fusion, question_id, k, rel) AS strong FROM tp),
-kp AS (SELECT * FROM ct WHERE CASE WHEN strong >= 3 THEN fused >= bar ELSE rank <= 3 END)
+kp AS (SELECT * FROM ct WHERE CASE WHEN strong >= 3 THEN fused >= bar ELSE rank <= 3 END)"""
+
+
+@query(f"""WITH {SWEEP_SQL}
 {_summed_sql('kp', 'fusion, k, rel')}""")
 def sweep_fusion(spark, sf_dir):
-    """Fusion by number of results by relative floor: one search per fusion, all settings from its six best."""
+    """Fusion by number of results by relative floor."""
+    return E.sweep(_settings(spark, sf_dir), _gold(spark, sf_dir), questions(spark, sf_dir).count(), ["fusion", "k", "rel"], [["fusion", "k", "rel"]])
+
+
+def _settings(spark, sf_dir):
+    """One search per fusion; settings are rows, and all are cut from the same six best."""
     s = search(spark, sf_dir)
-    flags = chunks(spark, sf_dir).select("id", "is_workflow")
-    tops = s.top("weighted", 6).select(F.lit("weighted").alias("fusion"), "question_id", "id", "fused", "rank", "is_workflow")
-    tops = tops.unionByName(s.rrf(6).join(flags, "id").select(F.lit("rrf").alias("fusion"), "question_id", "id", "fused", "rank", "is_workflow"))
-    tops = materialize(tops, "tops")
-    out = None
-    for k in (3, 6):
-        for rel in (0.0, 0.4, 0.55, 0.7):
-            for fusion in ("weighted", "rrf"):
-                one = R.cutoff(tops.where((F.col("fusion") == fusion) & (F.col("rank") <= k)), rel).withColumn("k", F.lit(k)).withColumn("rel", F.lit(rel))
-                out = one if out is None else out.unionByName(one)
-    return _summed(out, _gold(spark, sf_dir), questions(spark, sf_dir), "fusion", "k", "rel")
+    six = lambda df, name: df.select(F.lit(name).alias("fusion"), "question_id", "id", "fused", "rank", "is_workflow")
+    tops = materialize(six(s.top("weighted", 6), "weighted").unionByName(six(s.rrf(6), "rrf")), "tops")
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(rel).alias("rel")) for k in (3, 6) for rel in (0.0, 0.4, 0.55, 0.7)])
+    rows = tops.withColumn("s", F.explode(grid)).select("*", "s.k", "s.rel").drop("s").where(F.col("rank") <= F.col("k"))
+    return R.cutoff(rows, F.col("rel"), by=("fusion", "k", "rel", "question_id"))
+
+
+@query(f"""WITH {SWEEP_SQL},
+one AS (SELECT fusion, k, rel, count(DISTINCT question_id) FILTER (g.id IS NOT NULL) AS hits, count(*) AS n, count(*) FILTER (is_workflow) AS wf FROM kp LEFT JOIN gold g USING (question_id, id) GROUP BY fusion, k, rel)
+SELECT fusion, k, rel, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS returned, round(sum(n) / (count(*) * (SELECT count(*) FROM asked)), 4) AS mean_returned, round(sum(wf) / (count(*) * (SELECT count(*) FROM asked)), 4) AS mean_workflow,
+       round((sum(n) - sum(wf)) / (count(*) * (SELECT count(*) FROM asked)), 4) AS mean_prose FROM one GROUP BY GROUPING SETS ((fusion, k, rel), (fusion, k), (fusion), (k), (rel), ())""")
+def sweep_margins(spark, sf_dir):
+    """The sweep with its margins, in one aggregation over grouping sets."""
+    sets = [["fusion", "k", "rel"], ["fusion", "k"], ["fusion"], ["k"], ["rel"], []]
+    return E.sweep(_settings(spark, sf_dir), _gold(spark, sf_dir), questions(spark, sf_dir).count(), ["fusion", "k", "rel"], sets)
 
 
 _BOOSTS, _FLOORS = (0.0, 0.06, 0.2), (0, 1, 3)

@@ -83,7 +83,8 @@ def session_history(turns: DataFrame, silence_ms: int | None = None) -> DataFram
     and its hits, so that it can be described or replayed. A row with ``clear`` forgets the session and
     is no turn; a session that has had no turn for ``silence_ms`` is forgotten too. The state of a session
     is four turns at most. A session's turns of a micro-batch are taken in order; batches are taken as
-    they come. Start the stream inside :func:`state_store`.
+    they come. Start the stream inside :func:`state_store`. Timers make batches of their own, so with
+    ``silence_ms`` a stream that takes what is available goes on; stop it, or take one batch at a time.
     """
     have = lambda c, kind: (F.col(c) if c in turns.columns else F.lit(None)).cast(kind).alias(c)
     rows = turns.select("session_id", "turn", "query", have("answer", "string"), have("hits", "array<long>"), have("clear", "boolean"))

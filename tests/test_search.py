@@ -136,3 +136,43 @@ def test_empty_sides(spark):
     bare = X.Search(chunks.select("id", "text"), questions.select("question_id", "query"))
     assert bare.top("weighted", 3).count() == 6 and {r.dense for r in bare.top("dense", 3).collect()} == {0.0}
     assert bare.ranks(spark.createDataFrame([(0, 99)], "question_id long, id long"), ["bm25"]).count() == 0
+
+
+def test_reciprocal_ranks_of_routed_populations(spark):
+    """Diagrams that both channels put far down: their first ones in either channel are not their best ones."""
+    n = 300
+    chunks = [(i, f"common word {'x ' * (i % 37)}", "fa" if i % 2 else "fb", i >= 200) for i in range(n)]
+    vectors = [(i, [math.cos(i * 0.7), (n - i) / n if i < 200 else -1 - ((i * 53) % 97) / 97]) for i in range(n)]
+    questions = [(q, "common word", [0.2 * q, 1.0], True, "fa", ["fa"] if q else []) for q in range(3)]
+    s, want = X.Search(*frames(spark, chunks, vectors, questions)), by_hand(chunks, vectors, questions)
+    got = {(r.question_id, r.id): (r.rank, round(r.fused, 6)) for r in s.rrf(2, 1, sides=True, routed=True).collect()}
+    expected = {}
+    for q, rows in want.items():
+        rows = [r for r in rows if not q or r[3] == "fa"]
+        a = {r[0]: p for p, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+        b = {r[0]: p for p, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])), 1)}
+        scored = sorted(((-round(1 / (1 + a[r[0]]) + 1 / (1 + b[r[0]]), 6), -r[1], r[0], r[4]) for r in rows))
+        kept = sorted([x for side in (True, False) for x in [y for y in scored if y[3] == side][:2]])
+        expected |= {(q, x[2]): (p, -x[0]) for p, x in enumerate(kept, 1)}
+    assert got == expected
+
+
+def test_the_whole_search_reads_the_question(spark):
+    texts = {1: "accommodation of visitors and vendors", 2: "approval of quotations by the committee", 3: "subcontract approval procedure", 4: "tender launching and vendors", 5: "approval chain diagram of vendors"}
+    families = {1: "PSE", 2: "PVMO", 3: "PCN", 4: "PTN", 5: None}
+    chunks = spark.createDataFrame([(i, t, families[i], i == 5) for i, t in texts.items()], "id long, text string, family string, is_workflow boolean")
+    questions = spark.createDataFrame([(1, "Accommodaton of visitors?"), (2, "aproval rules in P-CN-02"), (3, "who approves vendor tenders"), (4, "rules in P-XX-01"), (5, "")], "question_id long, query string")
+    got = {}
+    for fusion in ("weighted", "rrf"):
+        for r in R.ask_index(chunks, questions, None, fusion=fusion, min_rel=0.0).collect():
+            got.setdefault((fusion, r.question_id), []).append((r.rank, r.id, r.repaired))
+    for fusion in ("weighted", "rrf"):
+        assert min(got[fusion, 1])[1:] == (1, "accommodation of visitors?")
+        assert {i for _, i, _ in got[fusion, 2]} == {3, 5} and min(got[fusion, 2])[2] == "approval rules in P-CN-02"
+        assert len(got[fusion, 4]) == 5  # no chunk of that family: all may be found
+        assert any(i == 5 for _, i, _ in got[fusion, 3])
+    plain = {r.id: r.fused for r in R.ask_index(chunks, questions.where("question_id = 3"), None, boost=0.0, workflow_boost=0.0, min_rel=0.0).collect()}
+    raised = {r.id: r.fused for r in R.ask_index(chunks, questions.where("question_id = 3"), None, min_rel=0.0).collect()}
+    assert [i for i in texts if raised[i] > plain[i]] == [2, 4, 5]  # both hinted families, and the diagram
+    with pytest.raises(ValueError, match="fusion"):
+        R.ask_index(chunks, questions, fusion="sum")
