@@ -13,6 +13,8 @@ from lodestone.queries.registry import query
 from lodestone.queries.retrieval import ASKED, BM25, RANKED, ranked
 from lodestone.queries.validation import corpus
 from lodestone.sources.files import cached_embeddings
+from lodestone.sources.sinks import committed
+from lodestone.sources.sinks import sink_once as put_rows
 from lodestone.sources.tables import chunks, questions, table
 from lodestone.streaming.sessions import kept_turns, session_history, state_store
 
@@ -47,6 +49,20 @@ def session_state(spark, sf_dir):
     return kept_turns(spark, f"{home}/state").select("session_id", "turn", F.md5("query").alias("query"), "answer_summary")
 
 
+@query("""WITH a AS (SELECT doc_id, source, text FROM documents), f AS (SELECT min(doc_id) AS doc_id FROM a GROUP BY doc_id)
+SELECT doc_id, md5(text) AS text_md5 FROM a WHERE doc_id IN (SELECT doc_id FROM f)""")
+def sink_once(spark, sf_dir):
+    """Three deliveries that overlap, and a run between them that ends before its commit: every document is there once."""
+    home, d = folder(spark, "sink"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema, gate = "doc_id long, text string", F.col("doc_id").isNotNull()
+    for n, part in enumerate(("doc_id % 3 = 0", "doc_id % 3 <> 2", "true")):
+        d.where(part).write.parquet(f"{home}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{home}/in")
+        put_rows(stream, f"{home}/out", f"{home}/state", "doc_id", gate).awaitTermination()
+        d.where("doc_id % 5 = 0").withColumn("batch", F.lit(1000 + n).cast("long")).write.mode("append").partitionBy("batch").parquet(f"{home}/out/rows")
+    return committed(spark, f"{home}/out", schema).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query(f"""WITH {RANKED}
 SELECT question_id AS answer_id, 'clean' AS verdict, true AS ok, 'F-P-CM-' || lpad(CAST(id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 7 AS VARCHAR), 2, '0') AS cited, CAST(NULL AS VARCHAR) AS error_type FROM r WHERE rank = 1""")
 def answered_questions(spark, sf_dir):
