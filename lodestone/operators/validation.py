@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.sayings import REFUSAL, VARIANT
 from lodestone.functions.text import display_name, form_codes, normal_code, uncited_doc_codes
 from lodestone.plans.sizes import broadcast_if_small
 
-REFUSAL = "Answer withheld: it cited form number(s) {} that do not appear in the process corpus. Please check the source document directly."
 
 
 def code_whitelist(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -115,10 +115,8 @@ def variant_conflicts(hits: DataFrame) -> DataFrame:
 
 
 def variant_label(variant: Column, family: Column, n: Column) -> Column:
-    return F.concat(
-        F.lit('(This is version "'), variant, F.lit('" of "'), family, F.lit('". '), n.cast("string"),
-        F.lit(" different versions of this process appear in the context; they are separate documents and their steps are NOT interchangeable.)"),
-    )
+    version, of, count, rest = (F.lit(x) for x in VARIANT)
+    return F.concat(version, variant, of, family, count, n.cast("string"), rest)
 
 
 def source_cards(hits: DataFrame) -> DataFrame:
