@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import amounts, slug, unique_slugs
+from lodestone.functions.text import amounts, slug
 from lodestone.operators import geometry as P
 from lodestone.operators import graph as G
 from lodestone.operators.diagrams import audit_messages, merge_fragments
@@ -67,6 +68,45 @@ def _listed(order: str, value: str, when: Column | None = None) -> Column:
     return F.transform(F.array_sort(F.collect_list(row if when is None else F.when(when, row))), lambda x: x[value])
 
 
+#: A name that another slug may have been given: a slug and a number from 2.
+NUMBERED_ID = "^(.+)_([2-9]|[1-9][0-9]+)$"
+
+
+def unique_ids(rows: DataFrame, page: str, order: str) -> DataFrame:
+    """``rows`` (page, order, slug) with ``id``: the slug, with a number from _2 behind those that were there before on the page.
+
+    A name so made is taken too, as in :func:`lodestone.functions.text.unique_slugs`, but no page is one
+    array. Made names can meet only slugs of the page that end in a number themselves: where a page has a
+    slug and one that it may become, all of that beginning go through the names one by one; all other rows are just counted.
+    """
+    known = rows.select(F.col(page).alias("_page"), "slug").distinct()
+    pairs = known.select("_page", F.col("slug").alias("made"), F.regexp_extract("slug", NUMBERED_ID, 1).alias("slug")).where("slug <> ''").join(known.withColumnRenamed("_page", "_p"), ["slug"]).where(F.col("_page").eqNullSafe(F.col("_p")))
+    met = pairs.select("_page", F.explode(F.array("slug", "made")).alias("_slug")).distinct().withColumn("_met", F.lit(True))
+    marked = rows.join(met, F.col(page).eqNullSafe(F.col("_page")) & (F.col("slug") == F.col("_slug")), "left").drop("_page", "_slug")
+    nth = F.row_number().over(Window.partitionBy(page, "slug").orderBy(order))
+    alone = marked.where("_met is null").drop("_met").withColumn("_n", nth).withColumn("id", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("_n").cast("string")))).drop("_n")
+
+    columns = alone.columns
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        taken, last, ids = set(), {}, []
+        g = g.sort_values(order)
+        for s in g["slug"]:
+            name = s
+            if s in taken:
+                n = last.get(s, 2)
+                while f"{s}_{n}" in taken:
+                    n += 1
+                last[s] = n
+                name = f"{s}_{n}"
+            taken.add(name)
+            ids.append(name)
+        return g.assign(id=ids)[columns]
+
+    stem = F.regexp_replace("slug", "(_[0-9]+)+$", "").alias("_stem")
+    return alone.unionByName(marked.where("_met").drop("_met").groupBy(page, stem).applyInPandas(run, alone.schema))
+
+
 def assemble(drawings: DataFrame, spans: DataFrame, pages: DataFrame) -> Assembled:
     """Pages (page, height, title_hint) as graphs; no step looks at more than one page, and none asks a model.
 
@@ -103,10 +143,7 @@ def assemble(drawings: DataFrame, spans: DataFrame, pages: DataFrame) -> Assembl
     joined = materialize(G.union_conditions(routed).withColumn("pos", F.struct("src", "dst")), "edges")
 
     # --- names and lanes
-    of_page = Window.partitionBy("page").orderBy("box")
-    real_nodes = kinds.where("kind <> 'junction'")
-    names = real_nodes.groupBy("page").agg(unique_slugs(F.transform(F.array_sort(F.collect_list(F.struct("box", "label"))), lambda x: slug(x["label"]))).alias("ids"))
-    real_nodes = real_nodes.withColumn("n", F.row_number().over(of_page)).join(names, "page").withColumn("id", F.element_at("ids", F.col("n")))
+    real_nodes = unique_ids(kinds.where("kind <> 'junction'").withColumn("slug", slug(F.col("label"))), "page", "box").drop("slug")
     lanes = G.lanes(real_nodes.select(F.col("page").alias("graph"), F.col("box").alias("id"), F.col("box").alias("pos")), joined.where("src <> dst"))
     number = F.dense_rank().over(Window.partitionBy("graph").orderBy("lane"))
     lanes = lanes.withColumn("k", number).withColumn("of", F.max("k").over(Window.partitionBy("graph")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import display_name, slug, unique_slugs
+from lodestone.functions.text import display_name, slug
 from lodestone.operators import pages as A
 from lodestone.operators.geometry import content_box, drawing_kind, polyline, tiles
 from lodestone.queries.registry import query
@@ -137,9 +137,7 @@ def drawing_kinds(spark, sf_dir):
 SELECT page, c_custkey, replace(lower(label), ' ', '_') || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY page, label ORDER BY c_custkey) AS k FROM s)""")
 def unique_node_ids(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), "c_custkey", F.concat(F.lit("Step "), (F.col("c_custkey") % 4).cast("string")).alias("label"))
-    by = c.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "label"))).alias("x"))
-    ids = unique_slugs(F.transform("x", lambda x: slug(x["label"])))
-    return by.select("page", F.explode(F.arrays_zip(F.transform("x", lambda x: x["c_custkey"]).alias("k"), ids.alias("id"))).alias("z")).select("page", F.col("z.k").alias("c_custkey"), F.col("z.id").alias("id"))
+    return A.unique_ids(c.withColumn("slug", slug(F.col("label"))), "page", "c_custkey").select("page", "c_custkey", "id")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_replace('PCN0' || (page_id % 10) || '_' || regexp_replace(url, '^.*/', '') || '.PDF', '\.pdf$', '', 'i'), '_', ' '), '^([PM])([A-Z]{2,3})(\d{2})\b', '\1-\2-\3')) AS shown FROM pages""")
