@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import diagrams as D
 from lodestone.operators import pages as A
 
 
@@ -27,3 +28,13 @@ def test_ids_of_a_page_without_an_array(spark):
     got = {(r.page, r.box): r.id for r in out.collect()}
     assert got == {(p, i): n for p, slugs in pages.items() for i, n in enumerate(names_one_by_one(slugs))}
     assert out.where(F.col("id").isNull()).isEmpty()
+
+
+def test_labels_of_a_page_are_compared_once(spark):
+    printed = [(1, i, f"Label  {i % 50}") for i in range(400)] + [(1, 900, "abel 4"), (1, 901, "ab\nc d"), (2, 1, "Only"), (3, 1, "7 of 9")]
+    strings = [(1, f"label {i % 50}") for i in range(0, 400, 2)] + [(1, "x ab"), (1, "c d y"), (1, None)]
+    out = D.missing_labels(spark.createDataFrame(printed, "page int, idx int, text string"), spark.createDataFrame(strings, "page int, text string"))
+    assert "LeftAnti" in optimized(out)
+    want = {(1, f"Label {i}") for i in range(1, 50, 2)} - {(1, f"Label {i}") for i in (1, 3)} | {(1, "ab c d"), (2, "Only")}
+    want |= {(1, f"Label {i}") for i in (1, 3) if not any(f"label {i}" in (s or "") for _, s in strings)}
+    assert {(r.page, r.line) for r in out.collect()} == want
