@@ -21,18 +21,21 @@ def doc_code_whitelist(docs: DataFrame, code_col: str = "doc_code") -> DataFrame
     return docs.where(F.coalesce(code_col, F.lit("")) != "").select(normal_code(F.col(code_col)).alias("code")).distinct()
 
 
-def validate(answers: DataFrame, whitelist: DataFrame, context: DataFrame | None = None, doc_whitelist: DataFrame | None = None, policy: str = "flag") -> DataFrame:
+def validate(answers: DataFrame, whitelist: DataFrame, context: DataFrame | None = None, doc_whitelist: DataFrame | None = None, policy: str = "flag", context_key: str = "answer_id") -> DataFrame:
     """Verdicts on answers (answer_id, answer): cited, unknown, ungrounded, unknown_doc_codes, ok, verdict, display_answer.
 
-    ``context`` is (answer_id, text) of what each answer was built from; null means not checked. Cited
-    codes meet the whitelist in a join, so the whitelist may be of any size.
+    ``context`` is (answer_id, text) of what each answer was built from; null means not checked. Where
+    answers share what they were built from, ``context_key`` names a column of theirs that ``context`` has
+    in place of answer_id, so that no shared text is repeated by answer. Cited codes meet the whitelist in
+    a join, so the whitelist may be of any size.
     """
     rows = answers.withColumn("cited", form_codes(F.col("answer")))
-    each = rows.select("answer_id", F.posexplode("cited").alias("pos", "code"))
+    keys = list(dict.fromkeys(["answer_id", context_key]))
+    each = rows.select(*keys, F.posexplode("cited").alias("pos", "code"))
     each = each.join(broadcast_if_small(whitelist.select("code", F.lit(True).alias("known"))), "code", "left")
     if context is not None:
-        seen = context.select("answer_id", F.explode(form_codes(F.col("text"))).alias("code")).distinct().withColumn("seen", F.lit(True))
-        each = each.join(seen, ["answer_id", "code"], "left")
+        seen = context.select(context_key, F.explode(form_codes(F.col("text"))).alias("code")).distinct().withColumn("seen", F.lit(True))
+        each = each.join(seen, [context_key, "code"], "left")
     else:
         each = each.withColumn("seen", F.lit(True))
     known, seen = F.coalesce("known", F.lit(False)), F.coalesce("seen", F.lit(False))

@@ -6,6 +6,7 @@ from lodestone.operators import diagrams as D
 from lodestone.operators import geometry as P
 from lodestone.operators import graph as G
 from lodestone.operators import pages as A
+from lodestone.operators import validation as V
 
 
 def optimized(df) -> str:
@@ -62,3 +63,13 @@ def test_large_and_small_graphs_together_without_broadcasts(spark):
     edges = spark.createDataFrame([(0, i, i + 1) for i in range(90)] + [(0, 5, 60)] + [(g, 0, 1) for g in range(1, 30)], "graph long, src long, dst long")
     got = G.reachable(edges, spark.createDataFrame([(g, 0) for g in range(30)], "graph long, id long"), one_task=20)
     assert sorted(map(tuple, got.collect())) == sorted([(0, i, i if i < 60 else i - 54) for i in range(91)] + [(g, i, i) for g in range(1, 30) for i in range(2)])
+
+
+def test_a_context_that_answers_share_is_not_repeated(spark):
+    answers = spark.createDataFrame([(1, 7, "see F-P-CM-01-02"), (2, 7, "see F-P-CM-03-04"), (3, 8, "see F-P-CM-01-02"), (4, None, "see F-P-CM-01-02"), (5, 7, "see F-P-CM-09-09")], "answer_id long, k long, answer string")
+    texts = spark.createDataFrame([(7, "by F-P-CM-01-02"), (7, "again F-P-CM-01-02"), (8, "by F-P-CM-03-04")], "k long, text string")
+    out = V.validate(answers, V.code_whitelist(texts), texts, context_key="k")
+    alone = V.validate(answers, V.code_whitelist(texts), answers.join(texts, "k").select("answer_id", "text"))
+    got = {r.answer_id: (r.verdict, r.unknown, r.ungrounded) for r in out.collect()}
+    assert got == {r.answer_id: (r.verdict, r.unknown, r.ungrounded) for r in alone.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "clean", 2: "ungrounded", 3: "ungrounded", 4: "ungrounded", 5: "flagged"}
