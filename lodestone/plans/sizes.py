@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +27,21 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SMALL_BYTES * cores and len(df.inputFiles()) < cores else df
+
+
+#: What is made of so many bytes of text or list items is held by a worker at once.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts or lists in ``column`` have about ``most`` bytes or items together; a longer one is alone."""
+    value = batch.column(column)
+    is_text = pa.types.is_string(value.type) or pa.types.is_large_string(value.type)
+    sizes = pc.fill_null(pc.binary_length(value) if is_text else pc.list_value_length(value), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.asarray(sizes, np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto

@@ -1,5 +1,7 @@
 """What grows with the tables: results on odd inputs, and plans that keep to their input."""
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import diagrams as D
@@ -7,6 +9,7 @@ from lodestone.operators import geometry as P
 from lodestone.operators import graph as G
 from lodestone.operators import pages as A
 from lodestone.operators import validation as V
+from lodestone.plans import sizes
 
 
 def optimized(df) -> str:
@@ -73,3 +76,14 @@ def test_a_context_that_answers_share_is_not_repeated(spark):
     got = {r.answer_id: (r.verdict, r.unknown, r.ungrounded) for r in out.collect()}
     assert got == {r.answer_id: (r.verdict, r.unknown, r.ungrounded) for r in alone.collect()}
     assert {k: v[0] for k, v in got.items()} == {1: "clean", 2: "ungrounded", 3: "ungrounded", 4: "ungrounded", 5: "flagged"}
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.list_(pa.string())])
+def test_pieces_of_a_batch(kind):
+    values = ["a" * n if kind == pa.string() else ["a"] * n for n in (3, 0, 50, 4, 4, 4, 0, 9)]
+    values.insert(2, None)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(values, kind)], ["id", "x"])
+    for batch in (whole, whole.slice(2, 6), whole.slice(0, 0)):
+        parts = list(sizes.pieces(batch, 1, 12))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+        assert all(p.num_rows == 1 or sum(len(x or "") + 1 for x in p.column(1).to_pylist()) <= 12 for p in parts)
