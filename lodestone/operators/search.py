@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from lodestone.operators.retrieval import B, DENSE_WEIGHT, FLOOR_SHARE, K1, RRF_K
 from lodestone.plans.scratch import materialize
-from lodestone.plans.sizes import spread
+from lodestone.plans.sizes import pieces, spread
 
 #: Questions that go to all tasks at once, and chunks that are scored at once.
 QUESTIONS = 2048
@@ -64,8 +64,7 @@ def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for part in pieces(batch, 1):
                 found = [words.counts(x.as_py()) for x in part.column(1)]
                 arrays = [pa.array([n for n, _ in found], pa.int64()), pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["id", "dl", "terms", "tfs"])
@@ -270,7 +269,7 @@ class Search:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = pa.array(terms_asked, pa.string())
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, 2)):
                 ids, dl, terms, tfs = batch.columns
                 offsets, counts = np.asarray(terms.offsets), np.asarray(tfs.flatten(), np.float64)
                 at = pc.fill_null(pc.index_in(terms.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
@@ -426,6 +425,7 @@ class _Top:
         self.recipe, self.k, self.sides, self.only_shared = recipe, k, sides, only_shared
         self.lexical = recipe.start == "weighted"
         self.best: dict[tuple, list[np.ndarray]] = {}
+        self.bars: dict = {}  # by side: what a row must reach, by question
 
     def add(self, s: Scored) -> None:
         fused = self.recipe.value(s, self.recipe.parts)["fused"]
@@ -434,14 +434,11 @@ class _Top:
             may &= s.shares
         for side in (True, False) if self.sides else (None,):
             fits = may if side is None else may & (s.workflow == side)[None, :]
-            for i in range(len(fused)):
+            bars = self.bars.setdefault(side, np.full(len(fused), -np.inf))
+            fits = fits & ((fused >= bars[:, None]) | np.isneginf(bars)[:, None])
+            for i in np.flatnonzero(fits.any(1)).tolist():
                 held = self.best.get((i, side))
-                here = fits[i]
-                if held is not None and len(held[0]) == self.k:
-                    here = here & (fused[i] >= held[0][-1])
-                here = np.flatnonzero(here)
-                if not len(here):
-                    continue
+                here = np.flatnonzero(fits[i])
                 if len(here) > self.k:
                     x = fused[i][here]
                     here = here[x >= np.partition(x, len(x) - self.k)[len(x) - self.k]]  # with all ties at the bar
@@ -449,6 +446,8 @@ class _Top:
                 both = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
                 order = np.lexsort((both[2], -both[1] if self.lexical else both[2], -both[0]))[: self.k]
                 self.best[i, side] = [x[order] for x in both]
+                if len(order) == self.k:
+                    bars[i] = both[0][order[-1]]
 
     def rows(self, asked: Asked) -> pa.RecordBatch:
         keys = list(self.best)
