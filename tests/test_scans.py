@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.operators import retrieval as R
 from lodestone.operators import search as X
 from test_search import frames, tables
 
@@ -21,3 +22,11 @@ def scans(monkeypatch):
 def test_reciprocal_ranks_take_two_scans(spark, scans):
     X.Search(*frames(spark, *tables())).rrf(2, 1).collect()
     assert len(scans) == 2  # the firsts of both channels, then their ranks
+
+
+def test_boosts_take_two_scans_and_texts_are_read_once(spark, scans, monkeypatch):
+    read, real = [], X.term_counts
+    monkeypatch.setattr(X, "term_counts", lambda *a: read.append(1) or real(*a))
+    chunks, questions, vectors = frames(spark, *tables())
+    R.ask_index(chunks, questions.select("question_id", "query"), vectors).collect()
+    assert len(scans) == 2 and len(read) == 1  # ranges of channels, then the best of each class of boosts with its range
