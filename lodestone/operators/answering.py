@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from lodestone.operators.conversation import clean_label, clean_rewrite, followu
 from lodestone.operators.retrieval import context_budget
 from lodestone.operators.validation import format_context, validate, variant_conflicts
 from lodestone.plans.scratch import materialize
+from lodestone.plans.sizes import PIECE
 
 Generator = Callable[[str], str]
 
@@ -181,16 +184,38 @@ def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     It says nothing about meaning; it stands in for a model where none is given.
     """
 
+    known: dict[int, int] = {}
+
+    def place(key: int) -> int:
+        """Where a trigram counts, and from ``dim`` on where it counts against; it is hashed once while it is remembered."""
+        at = known.get(key)
+        if at is None:
+            word = "".join(chr(key >> bits & 0x1FFFFF) for bits in (42, 21, 0))
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            at = known[key] = h % dim + (0 if h >> 63 else dim)
+        return at
+
+    def part(texts: list[str]) -> list[np.ndarray]:
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(t) for t in texts])
+        row = np.repeat(np.arange(len(texts)), sizes)
+        whole = np.flatnonzero(row[2:] == row[:-2])
+        keys = pa.array(code[whole] << 42 | code[whole + 1] << 21 | code[whole + 2]).dictionary_encode()
+        if len(known) > 200_000:
+            known.clear()
+        at = np.array([place(k) for k in keys.dictionary.to_pylist()], np.int64)[keys.indices.to_numpy()]
+        counts = np.bincount(row[whole] * 2 * dim + at, minlength=len(texts) * 2 * dim).reshape(len(texts), 2, dim)
+        v = (counts[:, 0] - counts[:, 1]).astype(np.float64)
+        return [x / (float((x * x).sum()) ** 0.5 or 1.0) for x in v]
+
     def encode(texts: pd.Series) -> pd.Series:
-        out = []
+        out, held, size = [], [], 0
         for t in texts:
-            v = [0.0] * dim
-            s = f"  {t or ''} ".lower()
-            for i in range(len(s) - 2):
-                h = int.from_bytes(hashlib.blake2b(s[i : i + 3].encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / n for x in v])
-        return pd.Series(out)
+            held.append(f"  {t or ''} ".lower())
+            size += len(held[-1])
+            if size > PIECE:
+                out += part(held)
+                held, size = [], 0
+        return pd.Series(out + part(held) if held else out, dtype=object)
 
     return encode
