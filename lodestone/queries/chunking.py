@@ -184,7 +184,9 @@ def chunk_documents(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, idx // 10 AS page, idx AS line, unnest(x) AS text, generate_subscripts(x, 1) AS span FROM (SELECT doc_id, idx, string_split(raw, ' ') AS x FROM (SELECT doc_id, generate_subscripts(y, 1) - 1 AS idx, unnest(y) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM documents))))
 SELECT doc_id, page, line AS idx, md5(string_agg(text, '' ORDER BY span)) AS text_md5, max(CAST(8 + length(text) % 5 AS DOUBLE)) AS size, bool_or(length(text) % 16 = 9) AS bold FROM w GROUP BY doc_id, page, line HAVING string_agg(text, '') <> ''""")
 def layout_lines(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    # texts are dealt by document while they are whole: lines of spans are then put together where they lie
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    x = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     w = x.select("doc_id", F.floor(F.col("line") / 10).cast("long").alias("page"), "line", F.posexplode(F.split("raw", " ")).alias("span", "text"))
     n = F.char_length("text")
     # a span's flags have bit 4 set if it is bold
