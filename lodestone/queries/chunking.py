@@ -79,8 +79,9 @@ wi AS (SELECT doc_id, CAST(w AS INTEGER) AS window, regexp_replace(arg_max(cur,
 
 
 def layout(spark, sf_dir):
-    """Layout lines made from documents by rule."""
-    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "raw"))
+    """Layout lines made from documents by rule; whole texts are dealt by document once, and lines stay where theirs is."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    x = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "raw"))
     i = F.col("idx")
     page = F.floor(i / 10).cast("long")
     text = (
