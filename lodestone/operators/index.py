@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.retrieval import B, FLOOR_SHARE, K1
-from lodestone.operators.search import term_counts
+from lodestone.operators.search import QUESTIONS, RUN, _six, term_counts
 from lodestone.plans.scratch import materialize
 from lodestone.plans.sizes import broadcast_if_small
 
@@ -65,6 +67,98 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([bucket.take(at), term.take(at), *lists, *small], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows in the order of ids (the first column): a document's rows come together."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(both) for both in zip(held, rows, strict=True)]
+        at = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        if at:
+            yield [c[:at] for c in rows]
+        held = [c[at:] for c in rows]
+    if held is not None and len(held[0]):
+        yield held
+
+
+class _Asked:
+    """The questions of a turn: of every run of RUN questions its terms and what they are worth to each question."""
+
+    def __init__(self, q: np.ndarray, place: np.ndarray, worth: np.ndarray):
+        self.ids, q = np.unique(q, return_inverse=True)
+        order = np.argsort(q, kind="stable")
+        self.q, self.place, self.worth = q[order], place[order], worth[order]
+        self.terms = int(place.max(initial=-1)) + 1
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first question, by term its column or -1, questions x columns: worth, and has the question the term)."""
+        for a in range(0, len(self.ids), RUN):
+            lo, hi = np.searchsorted(self.q, [a, a + RUN])
+            terms, column = np.unique(self.place[lo:hi], return_inverse=True)
+            at = np.full(self.terms, -1)
+            at[terms] = np.arange(len(terms))
+            shape = min(RUN, len(self.ids) - a), len(terms)
+            worth, has = np.zeros(shape), np.zeros(shape, bool)
+            worth[self.q[lo:hi] - a, column] = self.worth[lo:hi]
+            has[self.q[lo:hi] - a, column] = True
+            yield a, at, worth, has
+
+
+class _First:
+    """The k best rows so far of each question of a run; ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.bars, self.rows, self.count, self.room = k, np.full(n, -np.inf), [], 0, 1 << 16
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """questions x documents, -inf for what is none of the question's."""
+        bars = self.bars
+        if len(ids) > self.k:
+            bars = np.maximum(bars, np.partition(scores, len(ids) - self.k, 1)[:, len(ids) - self.k])
+        q, at = np.nonzero((scores >= bars[:, None]) & (scores > -np.inf))
+        self.rows.append((q, scores[q, at], ids[at]))
+        self.count += len(q)
+        if self.count > self.room:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, x, ids = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        order = np.lexsort((ids, -x, q))
+        q, x, ids = q[order], x[order], ids[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.bars[q[last]] = x[last]
+        keep = place < self.k
+        self.rows = [(q[keep], x[keep], ids[keep])]
+        self.count = int(keep.sum())
+        self.room = max(1 << 16, 2 * self.count)
+        return self.rows[0]
+
+
+def _best(batches: Iterable[pa.RecordBatch], asked: _Asked, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, place, gain) in the order of ids to (question_id, id, bm25): a task's k best of each question.
+
+    A batch's postings are looked at for a run of questions after the other: questions x postings of the run's terms are held.
+    """
+    runs = [(*run, _First(len(run[2]), k)) for run in asked.runs()]
+    for ids, place, gain in _whole(batches):
+        for _, at, worth, has, best in runs:
+            mine = at[place]
+            here = np.flatnonzero(mine >= 0)
+            if not len(here):
+                continue
+            mine = mine[here]
+            starts = np.flatnonzero(np.diff(ids[here], prepend=ids[here[0]] - 1))
+            scores = _six(np.add.reduceat(worth[:, mine] * gain[here], starts, 1))
+            shares = np.logical_or.reduceat(has[:, mine], starts, 1)
+            best.add(ids[here][starts], np.where(shares, scores, -np.inf))
+    for a, _, _, _, best in runs:
+        if best.rows:
+            q, x, ids = best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[a + q]), pa.array(ids), pa.array(x)], ["question_id", "id", "bm25"])
+
+
 class InvertedIndex:
     """The index at ``path``; one that is not there yet is empty, with ``buckets`` buckets of terms."""
 
@@ -186,8 +280,19 @@ class InvertedIndex:
         Blocks of such terms are all kept.
         """
         s = s or self.state()
+        terms, postings, bars = self._bars(questions, k, s)
+        blocks = postings.join(broadcast_if_small(terms), ["bucket", "term"])
+        return blocks, blocks.join(broadcast_if_small(bars), ["question_id", "term"]).where(self._matters(s, F.col("worth"), F.col("needed")))
+
+    def _matters(self, s: Row, worth: Column, needed: Column) -> Column:
+        avgdl = (s.total / s.n if s.n else 0.0) or 1.0
+        return (worth < 0) | (worth * weight(F.col("most"), F.col("least_dl"), avgdl) >= needed)
+
+    def _bars(self, questions: DataFrame, k: int, s: Row) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(The terms of the questions, the postings of their buckets, (question_id, term, needed): what a block's bound has to reach)."""
         terms, buckets = self.asked_terms(questions, s)
-        blocks = self._postings(s).where(F.col("bucket").isin(buckets)).join(broadcast_if_small(terms), ["bucket", "term"])
+        postings = self._postings(s).where(F.col("bucket").isin(buckets))
+        blocks = postings.join(broadcast_if_small(terms), ["bucket", "term"])
         avgdl = (s.total / s.n if s.n else 0.0) or 1.0
         most = F.col("worth") * weight(F.col("most"), F.col("least_dl"), avgdl)
         whole = F.col("batch").isin(s.broken) if s.broken else F.lit(False)  # documents of such a batch may be dead
@@ -199,21 +304,36 @@ class InvertedIndex:
         kth = sized.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k).groupBy("question_id").agg(F.max("sure").alias("bar"))
         total = by_term.groupBy("question_id").agg(F.sum("top").alias("total"), F.sum("loss").alias("losses"), F.max("every").alias("surest"))
         bars = by_term.join(total, "question_id").join(kth, "question_id", "left").select("question_id", "term", (F.greatest("bar", "surest") + F.col("losses") - MARGIN - (F.col("total") - F.col("top"))).alias("needed"))
-        bars = materialize(bars, "bars")
-        return blocks, blocks.join(broadcast_if_small(bars), ["question_id", "term"]).where((F.col("worth") < 0) | (most >= F.col("needed")))
+        return terms, postings, materialize(bars, "bars")
 
     def top(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """(question_id, id, bm25, rank): the k best documents that share a term with the question (question_id, query).
 
         Only buckets of asked terms are read, of these first the sizes of blocks, then the postings of
-        blocks that may matter. Equal to a scan of all documents: ties go to the smaller id.
+        blocks that may matter to some question. These are dealt by document, once for all questions of a turn, and
+        a task gives its k best of each question; no pair of a question and a document is shuffled or held otherwise.
+        Equal to a scan of all documents: ties go to the smaller id.
         """
-        s = self.state()
+        s, turns = self.state(), max(1, -(-questions.count() // QUESTIONS))
+        turn = lambda i: questions.where(F.pmod(F.xxhash64("question_id"), F.lit(turns)) == i)
+        found = reduce(DataFrame.unionByName, [self._top(turn(i), k, s) for i in range(turns)])
+        order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "id", "bm25", "rank")
+
+    def _top(self, questions: DataFrame, k: int, s: Row) -> DataFrame:
+        terms, postings, bars = self._bars(questions, k, s)
+        needs = materialize(terms.join(bars, ["question_id", "term"]), "needs")
+        rows = needs.select("question_id", "term", "worth").toPandas()  # of a stated set
+        places, known = pd.factorize(rows["term"], sort=True)
+        known = self.spark.createDataFrame(pd.DataFrame({"term": known.to_numpy(object), "place": np.arange(len(known), dtype=np.int32)}), "term string, place int")
+        sent = self.spark.sparkContext.broadcast(_Asked(rows["question_id"].to_numpy(np.int64), places, rows["worth"].to_numpy(float)))
+        needs = broadcast_if_small(needs.select(F.col("bucket").alias("_bucket"), F.col("term").alias("_term"), F.col("worth").alias("_worth"), F.col("needed").alias("_needed")))
+        same = (F.col("bucket") == F.col("_bucket")) & (F.col("term") == F.col("_term"))
+        kept = postings.join(needs, same & self._matters(s, F.col("_worth"), F.col("_needed")), "left_semi")
+        each = kept.join(broadcast_if_small(known), "term").select("batch", "place", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         avgdl = (s.total / s.n if s.n else 0.0) or 1.0
-        kept = self.candidate_blocks(questions, k, s)[1]
-        each = kept.select("question_id", "batch", "worth", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("question_id", "batch", F.col("p.ids").alias("id"), (F.col("worth") * weight(F.col("p.tfs"), F.col("p.dls"), avgdl)).alias("part"))
+        each = each.select("batch", "place", F.col("p.ids").alias("id"), weight(F.col("p.tfs"), F.col("p.dls"), avgdl).alias("gain"))
         if s.broken:
             each = each.join(broadcast_if_small(self._dead(s).select("id", F.col("of").alias("batch"))), ["id", "batch"], "left_anti")
-        scored = each.groupBy("question_id", "id").agg(F.round(F.sum("part"), 6).alias("bm25"))
-        order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "id", "bm25", "rank")
+        each = each.select("id", "place", "gain").repartition("id").sortWithinPartitions("id")
+        return each.mapInArrow(lambda batches: _best(batches, sent.value, k), "question_id long, id long, bm25 double")

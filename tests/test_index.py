@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodestone.operators import index as I
 from lodestone.operators.index import POSTINGS, InvertedIndex
 from lodestone.operators.search import Search
 
@@ -92,3 +95,34 @@ def test_only_asked_buckets_and_blocks_that_matter_are_read(spark, tmp_path):
     assert kept.count() < blocks.count() / 2
     want = Search(spark.createDataFrame(list(held.items()), "id long, text string"), q).top("bm25", 3, only_shared=True)
     assert [tuple(r) for r in index.top(q, 3).select("id", "bm25").orderBy("bm25", "id").collect()] == [tuple(r) for r in want.select("id", "bm25").orderBy("bm25", "id").collect()]
+
+
+def test_pairs_of_questions_and_documents_are_not_shuffled(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.add(frame(spark, texts(7, range(300))))
+    plan = index.top(asked(spark, n=70), 4)._jdf.queryExecution().executedPlan().toString()
+    dealt = [row for row in plan.splitlines() if "Exchange hashpartitioning(" in row]
+    assert len(dealt) == 2 and "question_id" in dealt[0] and "hashpartitioning(id#" in dealt[1]
+    assert "Generate" in plan and "HashAggregate" not in plan  # postings are scored where they lie by document
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_best_of_a_task_whatever_its_batches(size, monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(I, "RUN", 3)
+    worth = np.round(rng.normal(size=(8, 12)), 1) * (rng.random((8, 12)) < 0.4)
+    q, place = np.nonzero(worth)
+    ids = np.sort(rng.integers(0, 90, 500))
+    terms, gain = rng.integers(0, 12, 500), np.round(rng.random(500), 1)
+    scores = {}
+    for i, t, g in zip(ids, terms, gain, strict=True):
+        for x in np.flatnonzero(worth[:, t]):
+            scores[100 + x, i] = scores.get((100 + x, i), 0.0) + worth[x, t] * g
+    want = {}
+    for (x, i), v in scores.items():
+        want.setdefault(x, []).append((-round(v, 6), i))
+    want = {(x, i, -v) for x, rows in want.items() for v, i in sorted(rows)[:4]}
+    table = pa.table({"id": ids, "place": terms.astype(np.int32), "gain": gain})
+    found = I._best(table.to_batches(size), I._Asked(100 + q, place, worth[q, place]), 4)
+    got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert {(x, i, round(v, 6) + 0.0) for x, i, v in got} == {(x, i, v + 0.0) for x, i, v in want}
