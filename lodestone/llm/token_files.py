@@ -35,7 +35,7 @@ HEADER = struct.Struct("<4sIIQQIQIIQ")
 MAGIC, VERSION = b"LTOK", 1
 #: Ids of a block; blocks that are coded in step; a segment ends with the first document that reaches so many ids.
 BLOCK = 2048
-STEP = 2048
+STEP = 4096
 SEGMENT = BLOCK * STEP
 
 
@@ -49,7 +49,7 @@ def pack_segment(ids: np.ndarray, names: list[str | None], counts: list[int], sh
     index = zlib.compress(np.array(counts, "<i8").tobytes() + lengths.tobytes() + b"".join(said), 1)
     payloads: list[bytes] = []
     for at in range(0, len(ids), block * STEP):
-        payloads += encode(ids[at : at + block * STEP].astype(np.int64), block, limit)
+        payloads += encode(ids[at : at + block * STEP], block, limit)
     packed = ids.astype("<u4").tobytes()
     table = np.array([(len(p), zlib.crc32(p), zlib.crc32(packed[4 * i * block : 4 * (i + 1) * block])) for i, p in enumerate(payloads)], "<u4")
     header = HEADER.pack(MAGIC, VERSION, block, len(names), len(ids), limit, len(payloads), shard, number, len(index))
@@ -91,7 +91,7 @@ class Segment:
             for i, p in zip(rows, payloads, strict=True):
                 if zlib.crc32(p) != self.table[i, 1]:
                     raise ValueError(f"block {i} of segment {self.shard}:{self.number} is damaged")
-            ids = decode(payloads, min(self.size - first * self.block, len(rows) * self.block), self.block, self.limit).astype("<u4")
+            ids = decode(payloads, min(self.size - first * self.block, len(rows) * self.block), self.block, self.limit).view("<u4")
             for i in rows:
                 at = (i - first) * self.block
                 if zlib.crc32(ids[at : at + self.block].data) != self.table[i, 2]:
@@ -112,10 +112,10 @@ class Segment:
                 want -= len(ids)
 
 
-def tokenized(path: str, end_id: int) -> Callable[[bytes], bytes]:
-    """Text in UTF-8 to little-endian 32-bit ids of a public word-BPE vocabulary, and the end id."""
+def tokenized(path: str, end_id: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Texts in UTF-8 to the ids of a public word-BPE vocabulary, with the end id after each, and their numbers."""
     end = end_id.to_bytes(4, "little")
-    return lambda text: WordBpe.load(path).packed(text) + end
+    return lambda texts: WordBpe.load(path).packed_all(texts, end)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, segment: int = SEGMENT, segments_per_file: int = 8) -> None:
@@ -136,22 +136,27 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = TaskContext.get().partitionId(), 0
-        names, held, size = [], [], 0
-        for batch in _with_end(parts(batches, 1)):
+        names, counts, held, size = [], [], [], 0
+        for batch in _with_end(parts(batches, 1, 8 << 20)):
             if batch is not None:
-                for doc, said in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    names.append(doc)
-                    held.append(ids_of(said.as_buffer().to_pybytes()))
-                    size += len(held[-1]) // 4
+                docs = batch.column(0).to_pylist()
+                ids, sizes = ids_of(batch.column(1))
+                at, upto = 0, np.cumsum(sizes)
+                while at < len(docs):
+                    before = int(upto[at - 1]) if at else 0
+                    end = min(int(np.searchsorted(upto, before + segment - size)) + 1, len(docs))
+                    names += docs[at:end]
+                    counts += sizes[at:end].tolist()
+                    held.append(ids[before : upto[end - 1]])
+                    size, at = size + len(held[-1]), end
                     if size >= segment:
-                        yield made(names, held, shard, number)
-                        names, held, size, number = [], [], 0, number + 1
+                        yield made(names, counts, held, shard, number)
+                        names, counts, held, size, number = [], [], [], 0, number + 1
             elif names:
-                yield made(names, held, shard, number)
+                yield made(names, counts, held, shard, number)
 
-    def made(names: list, held: list[bytes], shard: int, number: int) -> pa.RecordBatch:
-        counts = [len(h) // 4 for h in held]
-        ids = np.frombuffer(b"".join(held), "<u4").astype(np.int32)
+    def made(names: list, counts: list[int], held: list[np.ndarray], shard: int, number: int) -> pa.RecordBatch:
+        ids = np.concatenate(held).astype(np.int32)
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([pack_segment(ids, names, counts, shard, number, block)], pa.binary())], ["segment"])
 

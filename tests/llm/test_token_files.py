@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_rows import odd_rows
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import range_coder as rc
 from lodestone.llm import token_files as tf
 from lodestone.llm.queries import op11_token_files, tokenizer_path
+from lodestone.llm.tokens import Memory, WordBpe
 
 
 def ids_like_text(n, seed=0):
@@ -120,3 +122,73 @@ def test_query_against_the_library(spark):
     found = op11_token_files(spark, sf).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == [x[:4] for x in expected([tuple(r) for r in rows])]
     assert op11_token_files(spark, sf).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(r["n_tokens"] for r in found)
+
+
+END = b"\2\0\0\0"
+
+
+def odd_texts():
+    latin = [chr(c) for c in range(256)]
+    said = ["", " ", "\n", "a", " lead and trail \t", "It's we'RE 'S o'clock '", "a<|endoftext|>b <| |> <b|c>", "x" * 3000 + ".", "a1b22c333", "No.1,(2)!!?", "\u0130\u0131 \u00df\u1e9e \u03a3\u03c3\u03c2", "e\u0301 \u00e9 \u212b", "\u4f60\u597d\uff0c world \U0001f600!", "caf\u00e9 \u00c9COLE \u00d7\u00f7 \u00bd\u00b2 \u00aa\u00ba\u00b5 a\u00adb a\u00a0b"]
+    return said + [f"a{c}B{c}{c}1{c} {c}, {c}" for c in latin] + ["".join(latin[i : i + 16]) for i in range(0, 256, 5)]
+
+
+def test_texts_together_against_the_library():
+    from tokenizers import Tokenizer
+
+    t, bpe, texts = Tokenizer.from_file(tokenizer_path()), WordBpe(tokenizer_path()), odd_texts()
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    data = pa.array([x.encode() for x in texts], pa.binary())
+    for _ in range(2):  # nothing is remembered, all is
+        for part in (slice(0, len(texts)), slice(7, 90), *(slice(i, i + 1) for i in range(len(texts)))):
+            ids, counts = bpe.packed_all(data[part], END)
+            assert counts.tolist() == [len(w) for w in want[part]]
+            assert ids.tolist() == [i for w in want[part] for i in w]
+
+
+def test_bytes_that_are_no_text_are_tokenised_as_by_word():
+    bpe = WordBpe(tokenizer_path())
+    texts = [b"ok \xc3 \xc3a \xa9b", b"\xff\xc2", b"a\xc3\xc3\xa9 end"]
+    ids, counts = bpe.packed_all(pa.array(texts, pa.binary()), END)
+    assert ids.tobytes() == b"".join(bpe.packed(x) + END for x in texts)
+
+
+def test_plain_words_are_cut_together_and_pieces_looked_up_once(monkeypatch):
+    """Words that are not remembered were looked up one by one, each with calls of its own."""
+    bpe, asked, alone = WordBpe(tokenizer_path()), [], []
+    monkeypatch.setattr(WordBpe, "_loaded", {"here": bpe})
+    pieces, word = bpe._pieces, bpe.word
+    monkeypatch.setattr(bpe, "_pieces", lambda x: asked.append(len(x)) or pieces(x))
+    monkeypatch.setattr(bpe, "word", lambda x: alone.append(x) or word(x))
+    texts = [" ".join(f"{a}{b}y{end}" for a in "bcdfg" for b in "aeiou") for end in (".", ",", "", ".")]
+    tokens = tf.tokenized("here", 2)
+    for _ in range(2):
+        ids, counts = tokens(pa.array([x.encode() for x in texts], pa.binary()))
+        assert (len(counts), counts.sum()) == (4, len(ids))
+    assert (asked, alone) == ([27], [])  # 25 words, a stop and a comma
+
+
+def test_memory_is_bounded_and_right():
+    memory, made = Memory(20_000), []
+    for i in range(300):
+        keys = [b"always", *(b"%d" % (i * 10 + j) for j in range(10))]
+        assert memory.values(keys, lambda x: made.extend(x) or [k[::-1] for k in x]) == [k[::-1] for k in keys]
+        assert len(memory.new) + len(memory.old) < 200
+    assert made.count(b"always") == 1
+    long = b"x" * 5000
+    assert memory.values([long], lambda x: x) == [long] and long not in memory.new
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 1000, 49_408, rc.MOST_IDS])
+def test_new_ids_of_any_vocabulary(limit):
+    bounds = rc.new_ids(limit)
+    parts = np.diff(bounds)
+    assert (len(parts), bounds[-1]) == (limit, 1 << rc.new_bits(limit)) and parts.min() > 0
+    assert parts.max() < 1 << 63 - rc.ID_BITS - rc.SLOT_BITS and bounds[-1] <= 1 << rc.SLOT_BITS
+    ids = np.unique(np.linspace(0, limit - 1, 3000).astype(np.int64))
+    assert (rc.decode(rc.encode(ids, 100, limit), len(ids), 100, limit) == ids).all()
+
+
+def test_blocks_that_are_too_long():
+    with pytest.raises(ValueError):
+        rc.encode(np.zeros(10, np.int64), rc.LONGEST + 1, 5)
