@@ -32,7 +32,7 @@ from lodestone.plans.sizes import broadcast_if_small
 
 #: magic, version, ids of a block, documents, ids, ids are below, blocks, shard, number in the shard, bytes of the index
 HEADER = struct.Struct("<4sIIQQIQIIQ")
-MAGIC, VERSION = b"LTOK", 1
+MAGIC, VERSION = b"LTOK", 2
 #: Ids of a block; blocks that are coded in step; a segment ends with the first document that reaches so many ids.
 BLOCK = 2048
 STEP = 4096

@@ -81,6 +81,15 @@ def test_damage_is_noticed():
         tf.pack_segment(np.array([rc.MOST_IDS]), ["1"], [1], 0, 0)
 
 
+def test_segments_of_the_coding_before_are_not_read():
+    _, data = segment()
+    header = bytearray(data[: tf.HEADER.size])
+    header[4:8] = (1).to_bytes(4, "little")
+    old = bytes(header) + zlib.crc32(header).to_bytes(4, "little") + data[tf.HEADER.size + 4 :]
+    with pytest.raises(ValueError, match="version 1 "):
+        tf.Segment(memoryview(old))
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
