@@ -65,7 +65,7 @@ class WordBpe:
         self.words = _Words(self)
         self.pieces: dict[str, bytes] = {}
         self.bytes = 0
-        self.known = Memory(REMEMBERED)
+        self.known, self.known_odd = Memory(REMEMBERED), Memory(REMEMBERED // 2)
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":
@@ -111,6 +111,10 @@ class WordBpe:
         The same ids as of :meth:`packed`. The different words of the texts are cut into pieces together,
         and pieces are looked up once while they are remembered.
         """
+        if self.bytes > REMEMBERED:  # pieces of words that were looked up one by one
+            self.words.clear()
+            self.pieces.clear()
+            self.bytes = 0
         texts = texts.cast(pa.binary())
         _, offsets, data = texts.buffers()
         # strings only by name: the split asks for no more than ASCII white space, and may give empty words
@@ -128,7 +132,7 @@ class WordBpe:
         """The ids of all words in a row and how many each has: plain words are cut by classes of bytes, others one by one."""
         starts, lowered, odd = _cut(words)
         if odd.any():
-            rest = [self.word(w) for w in words.filter(pa.array(odd)).to_pylist()]
+            rest = self.known_odd.values(words.filter(pa.array(odd)).to_pylist(), lambda new: [self.word(w) for w in new])
             some, some_sizes = self._words(words.filter(pa.array(~odd)))
             ids = np.concatenate([some, np.frombuffer(b"".join(rest), "<u4")])
             sizes = np.concatenate([some_sizes, np.fromiter(map(len, rest), np.int64, len(rest)) >> 2])

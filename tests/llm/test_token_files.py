@@ -201,3 +201,18 @@ def test_new_ids_of_any_vocabulary(limit):
 def test_blocks_that_are_too_long():
     with pytest.raises(ValueError):
         rc.encode(np.zeros(10, np.int64), rc.LONGEST + 1, 5)
+
+
+def test_odd_words_are_remembered_in_bounded_memory(monkeypatch):
+    from lodestone.llm import tokens
+
+    bpe, alone = WordBpe(tokenizer_path()), []
+    word = bpe.word
+    monkeypatch.setattr(bpe, "word", lambda x: alone.append(x) or word(x))
+    for _ in range(2):
+        bpe.packed_all(pa.array(["it's \u0434\u0430".encode()], pa.binary()), END)
+    assert len(alone) == 2
+    monkeypatch.setattr(tokens, "REMEMBERED", 2000)
+    for i in range(100):
+        bpe.packed_all(pa.array([f"w{i}x{'y' * (i % 50)}'s".encode()], pa.binary()), END)
+        assert len(bpe.pieces) < 40
