@@ -181,7 +181,8 @@ def ask(messages: DataFrame, find: Callable[[DataFrame], DataFrame], generator:
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     """A deterministic stand-in for an embedding model: signed hashes of character trigrams, normalised.
 
-    It says nothing about meaning; it stands in for a model where none is given.
+    Where all signs of a text cancel out, as they can in short ones, trigrams count without them, so that no text is left
+    without a direction. It says nothing about meaning; it stands in for a model where none is given.
     """
 
     known: dict[int, int] = {}
@@ -206,6 +207,8 @@ def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
         at = np.array([place(k) for k in keys.dictionary.to_pylist()], np.int64)[keys.indices.to_numpy()]
         counts = np.bincount(row[whole] * 2 * dim + at, minlength=len(texts) * 2 * dim).reshape(len(texts), 2, dim)
         v = (counts[:, 0] - counts[:, 1]).astype(np.float64)
+        none = ~v.any(1)
+        v[none] = counts[none].sum(1)
         return [x / (float((x * x).sum()) ** 0.5 or 1.0) for x in v]
 
     def encode(texts: pd.Series) -> pd.Series:
