@@ -4,7 +4,9 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from lodestone.operators import retrieval as R
@@ -176,3 +178,77 @@ def test_the_whole_search_reads_the_question(spark):
     assert [i for i in texts if raised[i] > plain[i]] == [2, 4, 5]  # both hinted families, and the diagram
     with pytest.raises(ValueError, match="fusion"):
         R.ask_index(chunks, questions, fusion="sum")
+
+
+def expected_rrf(want, k, c, allowed=lambda q, r: True):
+    """(question, id) -> (rank, fused) of the k best of either population, by hand."""
+    out = {}
+    for q, rows in want.items():
+        rows = [r for r in rows if allowed(q, r)]
+        a = {r[0]: p for p, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+        b = {r[0]: p for p, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])), 1)}
+        scored = sorted((-round(1 / (c + a[r[0]]) + 1 / (c + b[r[0]]), 6), -r[1], r[0], r[4]) for r in rows)
+        kept = sorted(x for side in (True, False) for x in [y for y in scored if y[3] == side][:k])
+        out |= {(q, x[2]): (p, -x[0]) for p, x in enumerate(kept, 1)}
+    return out
+
+
+def test_only_open_questions_are_searched_again(spark, monkeypatch):
+    """The first rows of either channel do not settle question 1; the others are settled by their first scan."""
+    n = 300
+    chunks = [(i, f"common word {'x ' * (i % 37)}" if i < 200 or i % 2 else "common word other", None, i >= 200) for i in range(n)]
+    vectors = [(i, [(n - i) / n if i < 200 else -1 - ((i * 53) % 97) / 97, 1.0 if i >= 200 else 0.0, i / n]) for i in range(n)]
+    questions = [(0, "common word", [1.0, 0.0, 0.0], True, None, []), (1, "other", [0.0, 1.0, 0.001], True, None, []), (2, "common word", [1.0, 0.0, 0.01], True, None, [])]
+    s, want = X.Search(*frames(spark, chunks, vectors, questions)), by_hand(chunks, vectors, questions)
+    calls, seen = [], X.Search._each_turn
+
+    def each(self, f, only=None):
+        calls.append(None if only is None else sorted(only.tolist()))
+        return seen(self, f, only)
+
+    monkeypatch.setattr(X.Search, "_each_turn", each)
+    got = {(r.question_id, r.id): (r.rank, round(r.fused, 6)) for r in s.rrf(2, 1, sides=True).collect()}
+    assert got == expected_rrf(want, 2, 1)
+    assert calls[:2] == [None, None] and len(calls) > 2 and all(c == [1] for c in calls[2:])
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_pairs_of_a_run_are_looked_up_at_once(large, monkeypatch):
+    """Equal scores, ids that repeat, segments that may not be found and scores beyond whole millionths."""
+    rnd, m, n = np.random.default_rng(3), 40, 5
+    x = rnd.integers(-3, 4, (n, m)) * (1e13 if large else 0.25)
+    x[2] = 0.0
+    ids = rnd.permutation(np.repeat(np.arange(0, 40, 2), 2))
+    may = np.ones((n, m), bool)
+    may[1, ::3] = False
+    by_id = np.argsort(ids, kind="stable")
+    block = SimpleNamespace(m=m, ids=ids, by_id=by_id, id_place=ids[by_id].searchsorted(ids))
+    scored = SimpleNamespace(a=0, b=n, block=block, raw=lambda name: x, six=lambda name: x, allowed=lambda recipe: may, spread=lambda y: y, empty=lambda name: False)
+    q = np.repeat(np.arange(n - 1), 30)  # the last question has no pairs
+    own, values = rnd.integers(-1, 41, len(q)), rnd.choice(x[0], len(q))
+    wanted = X._Wanted(q, own, np.zeros(len(q)), {"dense": values}, n)
+    better = X._Better({"dense": SimpleNamespace(value=lambda s: x)}, wanted)
+    if not large:
+        monkeypatch.setattr(X._Better, "_ties", lambda *a: pytest.fail("pairs one by one"))
+    better.add(scored)
+    by = np.lexsort((own, q))
+    for i, place in enumerate(wanted.order["dense"]):
+        at = by[place]
+        row, can = x[q[at]], may[q[at]]
+        assert better.n["dense"][i] == (can & ((row > values[at]) | ((row == values[at]) & (ids < own[at])))).sum()
+
+
+def test_questions_without_a_vector_rank_by_id(spark):
+    data = tables(seed=7)
+    questions = [(q, t, None, i, f, r) for q, t, _, i, f, r in data[2]]
+    got = {(r.question_id, r.id): (r.rank, round(r.fused, 6)) for r in X.Search(*frames(spark, data[0], data[1], questions)).rrf(3, sides=True).collect()}
+    assert got == expected_rrf(by_hand(data[0], data[1], questions), 3, 60)
+
+
+def test_the_whole_search_counts_terms_once(spark, monkeypatch):
+    names, real = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, name="cut": names.append(name) or real(df, name))
+    chunks = spark.createDataFrame([(1, "approval of visitors visitors"), (2, "approval")], "id long, text string")
+    out = R.ask_index(chunks, spark.createDataFrame([(1, "visitors approval")], "question_id long, query string"), None, fusion="rrf", min_rel=0.0)
+    assert [(r.rank, r.id) for r in out.orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert "questions" in names and "df" not in names
