@@ -252,3 +252,18 @@ def test_the_whole_search_counts_terms_once(spark, monkeypatch):
     out = R.ask_index(chunks, spark.createDataFrame([(1, "visitors approval")], "question_id long, query string"), None, fusion="rrf", min_rel=0.0)
     assert [(r.rank, r.id) for r in out.orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert "questions" in names and "df" not in names
+
+
+def test_tasks_of_a_scan_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(X, "TASKS", 1, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        data = tables(n=200)
+        chunks, questions, vectors = frames(spark, *data)
+        s = X.Search(chunks, questions, vectors)
+        scans = s._each_turn(lambda asked, rows: s._reduce(asked, rows.repartition(30), lambda: [X._Best(X.Recipe("bm25"), 3, False, False)], X.BEST))
+        assert scans.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        got = {(r.question_id, r.id): (r.rank, round(r.fused, 6)) for r in s.rrf(3, sides=True).collect()}
+        assert got == expected_rrf(by_hand(*data), 3, 60)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
